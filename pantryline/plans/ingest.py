@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -9,23 +10,28 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pantryline.functions.text import sorted_csv
 from pantryline.functions.versions import UNKNOWN, version_from_path
-from pantryline.operators.dedup import distinct_pairs, first_wins
-from pantryline.operators.integrity import null_keys, orphans
 from pantryline.plans.taxonomy import Taxonomy
 from pantryline.schemas import TAXONOMY_TABLES
-from pantryline.sources.tables import publish, read_table, write_tables
+from pantryline.sources.tables import publish, read_checked, read_table, write_checked, write_tables
 from pantryline.sources.taxonomy_xml import read_document_date, read_segments, spread_families
 
 # Fixed value: the Food/Beverage segment.
 FOOD_SEGMENTS = ("50000000",)
 
-# level -> (element it is nested in, name of the repeated element)
-_NESTING = {
-    "families": ("segments", "family"),
-    "classes": ("families", "class"),
-    "bricks": ("classes", "brick"),
-    "attribute_types": ("bricks", "attType"),
-    "attribute_values": ("attribute_types", "attValue"),
+# level table -> repeated element, from the outermost level inwards
+_ELEMENTS = {
+    "families": "family",
+    "classes": "class",
+    "bricks": "brick",
+    "attribute_types": "attType",
+    "attribute_values": "attValue",
+}
+LEVEL_TABLES = ("segments", *_ELEMENTS)
+
+# junction table -> level whose visits it records, each with its parent
+JUNCTION_TABLES = {
+    "brick_attribute_types": "attribute_types",
+    "attribute_type_values": "attribute_values",
 }
 
 
@@ -36,121 +42,143 @@ def keep_segments(docs: DataFrame, codes: tuple[str, ...] | None = FOOD_SEGMENTS
     return docs.filter(F.col("_code").isin(list(codes)))
 
 
-def visits(docs: DataFrame) -> dict[str, DataFrame]:
-    """Every element visited, per level: (ord, parent_code, code, text, node).
+def visits(docs: DataFrame, tables: tuple[str, ...] = LEVEL_TABLES) -> DataFrame:
+    """(table_name, parent_code, code, text, ord): every element of the asked-for levels, in one pass.
 
-    `ord` is the place of the segment followed by the position at each level, so
-    comparing it compares document order. An element without children adds no
-    child rows but keeps its own.
+    Documents are unnested once, no deeper than asked for, down to single paths. A path
+    also stands for the elements above it when it is the first path below each of them,
+    so every element is reported exactly once and documents are not read per table.
+    `ord` compares document order within a table: the place of the document, then the
+    position at each level.
     """
-    out = {
-        "segments": docs.select(
-            "ord",
-            F.lit(None).cast("string").alias("parent_code"),
-            F.col("_code").alias("code"),
-            F.col("_text").alias("text"),
-            F.struct("family").alias("node"),
+    elements = list(_ELEMENTS.values())
+    depth_of = {name: depth for depth, name in enumerate(LEVEL_TABLES)}
+    deepest = max(depth_of[name] for name in tables)
+    kept = ["ord", "lead", "code_0", "text_0"]
+    rows = docs.select(
+        "ord", "lead", F.col("_code").alias("code_0"), F.col("_text").alias("text_0"), F.col("family").alias("below")
+    )
+    for depth in range(1, deepest + 1):
+        own = {
+            f"at_{depth}": F.col("at"),
+            f"is_{depth}": F.col("node").isNotNull(),
+            f"code_{depth}": F.col("node._code"),
+            f"text_{depth}": F.col("node._text"),
+        }
+        below = [F.col("node")[elements[depth]].alias("below")] if depth < deepest else []
+        rows = rows.select(*kept, F.posexplode_outer("below").alias("at", "node")).select(
+            *kept, *[c.alias(n) for n, c in own.items()], *below
         )
-    }
-    for table, (above, element) in _NESTING.items():
-        out[table] = (
-            out[above]
-            .select(
-                "ord",
-                F.col("code").alias("parent_code"),
-                F.posexplode(F.col(f"node.{element}")).alias("at", "node"),
-            )
-            .select(
-                F.struct("ord", "at").alias("ord"),
-                "parent_code",
-                F.col("node._code").alias("code"),
-                F.col("node._text").alias("text"),
-                "node",
-            )
+        kept += list(own)
+
+    def entry(table: str) -> Column:
+        depth = depth_of[table]
+        present = F.col(f"is_{depth}") if depth else F.col("lead")
+        for d in range(depth + 1, deepest + 1):
+            present = present & (F.coalesce(F.col(f"at_{d}"), F.lit(0)) == 0)
+        parent = F.col(f"code_{depth - 1}") if depth else F.lit(None).cast("string")
+        return F.when(
+            present,
+            F.struct(
+                F.lit(table).alias("table_name"),
+                parent.alias("parent_code"),
+                F.col(f"code_{depth}").alias("code"),
+                F.col(f"text_{depth}").alias("text"),
+            ),
         )
-    return out
 
+    place = F.struct("ord", *[f"at_{d}" for d in range(1, deepest + 1)]) if deepest else F.col("ord")
+    entries = F.array_compact(F.array(*[entry(name) for name in tables]))
+    return (
+        rows.select(place.alias("ord"), F.explode(entries).alias("e")).select("e.*", "ord")
+    )
 
-def flatten(docs: DataFrame) -> dict[str, DataFrame]:
-    """The eight tables, first occurrence in document order winning; no checks yet."""
-    seen = visits(docs)
-    tables: dict[str, DataFrame] = {}
-    for name, (columns, keys, parents) in TAXONOMY_TABLES.items():
-        if len(keys) == 2:
-            source = "attribute_types" if name == "brick_attribute_types" else "attribute_values"
-            pairs = seen[source].select(
-                F.col("parent_code").alias(keys[0]), F.col("code").alias(keys[1])
-            )
-            tables[name] = distinct_pairs(pairs, *keys)
-            continue
-        named = {columns[0]: F.col("code"), columns[1]: F.col("text")}
-        if parents:
-            named[columns[2]] = F.col("parent_code")
-        rows = seen[name].select("ord", *[c.alias(n) for n, c in named.items()])
-        tables[name] = first_wins(rows, keys, F.col("ord"), columns[1:])
-    return tables
 
+def first_visits(seen: DataFrame) -> DataFrame:
+    """(table_name, code, parent_code, text, visits): the first visit of every code, and their number.
 
-def _below(arrays: Column, field: str) -> Column:
-    """All `field` children of an array of elements, as one array."""
-    nested = F.filter(F.transform(arrays, lambda e: e[field]), lambda a: a.isNotNull())
-    return F.flatten(nested)
+    One shuffle serves all levels; visits of a code are combined before it.
+    """
+    first = F.min_by(F.struct("parent_code", "text"), "ord")
+    return (
+        seen.groupBy("table_name", "code")
+        .agg(first.alias("first"), F.count(F.lit(1)).alias("visits"))
+        .select("table_name", "code", "first.parent_code", "first.text", "visits")
+    )
+
+
+def visited_pairs(seen: DataFrame) -> DataFrame:
+    """(table_name, parent_code, code, visits): every distinct parent and child, per level."""
+    return seen.groupBy("table_name", "parent_code", "code").agg(F.count(F.lit(1)).alias("visits"))
+
+
+def level_table(first: DataFrame, name: str) -> DataFrame:
+    """One of the six level tables from `first_visits`, with its own column names."""
+    columns = TAXONOMY_TABLES[name][0]
+    rows = first.filter(F.col("table_name") == name)
+    return rows.select(*[F.col(c).alias(n) for n, c in zip(columns, ["code", "text", "parent_code"])])
+
+
+def junction_table(pairs: DataFrame, name: str) -> DataFrame:
+    """One of the two junction tables from `visited_pairs`."""
+    parent, child = TAXONOMY_TABLES[name][0]
+    rows = pairs.filter(F.col("table_name") == JUNCTION_TABLES[name])
+    return rows.select(F.col("parent_code").alias(parent), F.col("code").alias(child))
+
+
+def tables_of(seen: DataFrame) -> dict[str, DataFrame]:
+    """The eight tables, first occurrence in document order winning; no checks yet."""
+    levels = {
+        name: level_table(first_visits(seen.filter(F.col("table_name") == name)), name)
+        for name in LEVEL_TABLES
+    }
+    junctions = {
+        name: junction_table(visited_pairs(seen.filter(F.col("table_name") == level)), name)
+        for name, level in JUNCTION_TABLES.items()
+    }
+    return {name: {**levels, **junctions}[name] for name in TAXONOMY_TABLES}
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(table_name, occurrences): every visit counted, duplicates included, in one pass.
+def import_counts(seen: DataFrame) -> DataFrame:
+    """(table_name, occurrences, unique_rows) per table, and their totals as `total`.
 
-    Sizes are summed per document row; nothing is unnested.
+    Occurrences count every visit, duplicates included; unique rows are what is left
+    after de-duplication. Counted in one pass, first by pair, then by code, then by table.
     """
-    families = F.coalesce(F.col("family"), F.array())
-    # One projection per level, so each nested array is built once per row.
-    levels = ["families", "classes", "bricks", "attribute_types", "attribute_values"]
-    step = docs.select("lead", families.alias("families"))
-    for above, here, element in zip(levels, levels[1:], ["class", "brick", "attType", "attValue"]):
-        step = step.withColumn(here, _below(F.col(above), element)).withColumn(
-            above, F.size(above).cast("bigint")
-        )
-    step = step.withColumn(levels[-1], F.size(levels[-1]).cast("bigint"))
-    totals = step.agg(
-        F.count_if("lead").alias("segments"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in levels],
+    per_code = (
+        visited_pairs(seen)
+        .groupBy("table_name", "code")
+        .agg(F.sum("visits").alias("visits"), F.count(F.lit(1)).alias("pairs"))
     )
-    source = {
-        **{name: name for name in ["segments", *levels]},
-        "brick_attribute_types": "attribute_types",
-        "attribute_type_values": "attribute_values",
-    }
-    return totals.select(
-        F.explode(
+    per_level = per_code.groupBy("table_name").agg(
+        F.sum("visits").alias("occurrences"),
+        F.count(F.lit(1)).alias("codes"),
+        F.sum("pairs").alias("pairs"),
+    )
+    # A level counts for itself by code, and for its junction table by pair. Levels
+    # without any visit still report 0.
+    names = [(name, name, False) for name in LEVEL_TABLES]
+    names += [(name, level, True) for name, level in JUNCTION_TABLES.items()]
+    reported = seen.sparkSession.range(1).select(
+        F.inline(
             F.array(
                 *[
-                    F.struct(F.lit(name).alias("table_name"), F.col(col).alias("occurrences"))
-                    for name, col in source.items()
+                    F.struct(F.lit(n).alias("reported"), F.lit(lv).alias("table_name"), F.lit(j).alias("by_pair"))
+                    for n, lv, j in names
                 ]
             )
-        ).alias("__c")
-    ).select("__c.*")
-
-
-def unique_rows(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, unique_rows): what is left after de-duplication."""
-    counted = [
-        df.agg(F.count(F.lit(1)).alias("unique_rows")).select(
-            F.lit(name).alias("table_name"), "unique_rows"
         )
-        for name, df in tables.items()
-    ]
-    return reduce(DataFrame.unionByName, counted)
-
-
-def import_counts(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, occurrences, unique_rows) per table, and their totals as `total`."""
-    # Eight rows on each side by construction.
-    per_table = occurrences(docs).join(unique_rows(tables), "table_name")
-    total = per_table.agg(
-        F.sum("occurrences").alias("occurrences"), F.sum("unique_rows").alias("unique_rows")
-    ).select(F.lit("total").alias("table_name"), "occurrences", "unique_rows")
-    return per_table.unionByName(total)
+    )
+    unique = F.when(F.col("by_pair"), F.col("pairs")).otherwise(F.col("codes"))
+    return (
+        reported.join(per_level, "table_name", "left")
+        .rollup("reported")
+        .agg(
+            F.coalesce(F.sum("occurrences"), F.lit(0)).alias("occurrences"),
+            F.coalesce(F.sum(unique), F.lit(0)).alias("unique_rows"),
+        )
+        .select(F.coalesce("reported", F.lit("total")).alias("table_name"), "occurrences", "unique_rows")
+    )
 
 
 @dataclass(frozen=True)
@@ -161,31 +189,45 @@ class Checked:
     rejects: DataFrame
 
 
-def check_tables(tables: dict[str, DataFrame]) -> Checked:
+def with_reason(name: str, rows: DataFrame, good: dict[str, DataFrame]) -> DataFrame:
+    """Add `reason`: null for a sound row, `null` for a missing key or parent, else the broken reference."""
+    columns, keys, parents = TAXONOMY_TABLES[name]
+    missing = F.lit(False)
+    for column in dict.fromkeys([*keys, *parents]):
+        missing = missing | F.col(column).isNull()
+    reason = F.when(missing, "null")
+    for column, (parent, parent_key) in parents.items():
+        # Parents are unique by key, so a left join keeps the rows as they are.
+        found = good[parent].select(F.col(parent_key).alias(column), F.lit(True).alias(f"has_{column}"))
+        rows = rows.join(found, column, "left")
+        reason = reason.when(F.col(f"has_{column}").isNull(), f"orphan {column}")
+    return rows.select(*columns, reason.alias("reason"))
+
+
+def check_tables(
+    tables: dict[str, DataFrame], store: Callable[[str, DataFrame], DataFrame] | None = None
+) -> Checked:
     """Set aside rows with a null key or parent, or a reference to an absent row.
 
     Levels are checked top down, so the children of a rejected row are rejected too.
-    `rejects` has (table_name, reason, key).
+    `store` may write a table with its `reason` column and return it read back, so that
+    nothing is computed twice. `rejects` has (table_name, reason, key).
     """
     good: dict[str, DataFrame] = {}
     bad: list[DataFrame] = []
-
-    def reject(name: str, reason: str, rows: DataFrame, keys: list[str]) -> None:
+    for name, (columns, keys, _) in TAXONOMY_TABLES.items():
+        checked = with_reason(name, tables[name], good)
+        if store:
+            checked = store(name, checked)
+        sound = F.col("ok") if "ok" in checked.columns else F.col("reason").isNull()
+        good[name] = checked.filter(sound).select(*columns)
         # concat_ws would drop a null part and shift the others
         key = F.concat_ws("|", *[F.coalesce(F.col(k), F.lit("")) for k in keys])
-        bad.append(rows.select(F.lit(name).alias("table_name"), F.lit(reason).alias("reason"), key.alias("key")))
-
-    for name, (_, keys, parents) in TAXONOMY_TABLES.items():
-        rows = tables[name]
-        required = list(dict.fromkeys([*keys, *parents]))
-        reject(name, "null", null_keys(rows, required), keys)
-        rows = rows.dropna(subset=required)
-        for column, (parent, parent_key) in parents.items():
-            reject(name, f"orphan {column}", orphans(rows, good[parent], column, parent_key), keys)
-            rows = rows.join(
-                good[parent].select(F.col(parent_key).alias(column)), column, "left_semi"
-            ).select(*tables[name].columns)
-        good[name] = rows
+        bad.append(
+            checked.filter(~sound).select(
+                F.lit(name).alias("table_name"), "reason", key.alias("key")
+            )
+        )
     return Checked(good, reduce(DataFrame.unionByName, bad))
 
 
@@ -217,36 +259,44 @@ def ingest_taxonomy(
     segments: tuple[str, ...] | None = FOOD_SEGMENTS,
     on_violation: str = "fail",
 ) -> DataFrame:
-    """Full refresh: read XML, write the eight tables, counts, rejects and metadata, publish.
+    """Full refresh: read XML, write the eight tables, counts and metadata, publish.
 
-    The kept segments are first written once as Parquet, family by family: the XML is
-    parsed a single time, and every table reads only the nested columns it needs. A broken reference
-    stops the import, or with `on_violation='quarantine'` goes to `rejects`. Rows with
-    a null key or parent are set aside in either case. Returns the counts.
+    The XML is parsed and unnested a single time, into visits partitioned by
+    level that tables and counts read. A broken reference
+    stops the import, or with `on_violation='quarantine'` is set aside (`read_rejects`),
+    as rows with a null key or parent are in either case. Returns the counts.
     """
     if on_violation not in ("fail", "quarantine"):
         raise ValueError("on_violation is 'fail' or 'quarantine'")
     kept = keep_segments(read_segments(spark, xml), segments)
-    write_tables({"_staged": spread_families(kept)}, out, version)
-    docs = read_table(spark, out, "_staged", version)
-    # Written before the checks, which read every table several times.
-    write_tables({f"_flat/{name}": df for name, df in flatten(docs).items()}, out, version)
-    checked = check_tables(
-        {name: read_table(spark, out, f"_flat/{name}", version) for name in TAXONOMY_TABLES}
-    )
+    staged = visits(spread_families(kept))
+    write_tables({"_visits": staged}, out, version, partition_by="table_name")
+    seen = read_table(spark, out, "_visits", version, staged.schema)
+
+    def store(name: str, rows: DataFrame) -> DataFrame:
+        write_checked(name, rows, out, version)
+        return read_checked(spark, name, out, version)
+
+    checked = check_tables(tables_of(seen), store)
     if on_violation == "fail":
         broken = checked.rejects.filter(F.col("reason") != "null").limit(5).collect()
         if broken:
             raise ValueError(f"broken references, for example {[tuple(r) for r in broken]}")
     metadata = ingest_metadata(read_document_date(spark, xml), xml, segments)
-    write_tables(
-        {**checked.tables, "rejects": checked.rejects, "gpc_metadata": metadata}, out, version
-    )
-    written = {name: read_table(spark, out, name, version) for name in TAXONOMY_TABLES}
-    write_tables({"import_counts": import_counts(docs, written)}, out, version)
+    write_tables({"gpc_metadata": metadata, "import_counts": import_counts(seen)}, out, version)
     publish(spark, out, version)
     return read_table(spark, out, "import_counts", version)
 
 
+def read_rejects(spark: SparkSession, out: str, version: str) -> DataFrame:
+    """(table_name, reason, key) of the rows an import set aside."""
+    rows = []
+    for name, (_, keys, _) in TAXONOMY_TABLES.items():
+        key = F.concat_ws("|", *[F.coalesce(F.col(k), F.lit("")) for k in keys])
+        bad = read_checked(spark, name, out, version).filter(~F.col("ok"))
+        rows.append(bad.select(F.lit(name).alias("table_name"), "reason", key.alias("key")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def as_taxonomy(tables: dict[str, DataFrame]) -> Taxonomy:
     return Taxonomy(**{name: tables[name] for name in TAXONOMY_TABLES})

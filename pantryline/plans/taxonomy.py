@@ -11,7 +11,7 @@ from pantryline.operators.groups import PART_ROWS, attach_lists, nested_list
 from pantryline.operators.integrity import missing_keys
 from pantryline.operators.paging import DEFAULT_PAGE_SIZE, Page, page_after, page_of
 from pantryline.schemas import TAXONOMY_TABLES
-from pantryline.sources.tables import current_version, read_table
+from pantryline.sources.tables import current_version, read_checked
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,12 @@ class Taxonomy:
     def read(cls, spark: SparkSession, root: str, version: str | None = None) -> Taxonomy:
         """The tables of one published version, the current one by default."""
         version = version or current_version(spark, root)
-        return cls(**{name: read_table(spark, root, name, version) for name in TAXONOMY_TABLES})
+        return cls(
+            **{
+                name: read_checked(spark, name, root, version).filter("ok").select(*columns)
+                for name, (columns, _, _) in TAXONOMY_TABLES.items()
+            }
+        )
 
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}

@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+
+from pantryline.schemas import TAXONOMY_TABLES
 
 
 def table_path(root: str, version: str, name: str) -> str:
     return f"{root}/versions/{version}/{name}"
 
 
-def write_tables(tables: dict[str, DataFrame], root: str, version: str) -> None:
+def write_tables(
+    tables: dict[str, DataFrame], root: str, version: str, partition_by: str | None = None
+) -> None:
     """Write tables below a version folder. Nothing is visible before `publish`."""
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(table_path(root, version, name))
+        writer = df.write.mode("overwrite")
+        if partition_by:
+            writer = writer.partitionBy(partition_by)
+        writer.parquet(table_path(root, version, name))
 
 
 def publish(spark: SparkSession, root: str, version: str) -> None:
@@ -41,9 +49,25 @@ def current_version(spark: SparkSession, root: str) -> str | None:
         raise
 
 
-def read_table(spark: SparkSession, root: str, name: str, version: str | None = None) -> DataFrame:
-    """One table of a version, the current one by default."""
+def read_table(
+    spark: SparkSession, root: str, name: str, version: str | None = None, schema: StructType | None = None
+) -> DataFrame:
+    """One table of a version, the current one by default. `schema` allows for no rows at all."""
     version = version or current_version(spark, root)
     if version is None:
         raise FileNotFoundError(f"no published version below {root}")
-    return spark.read.parquet(table_path(root, version, name))
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(table_path(root, version, name))
+
+
+def write_checked(name: str, rows: DataFrame, root: str, version: str) -> None:
+    """Write a taxonomy table with its `reason` column; sound and rejected rows in folders of their own."""
+    flagged = rows.withColumn("ok", F.col("reason").isNull())
+    write_tables({name: flagged}, root, version, partition_by="ok")
+
+
+def read_checked(spark: SparkSession, name: str, root: str, version: str | None = None) -> DataFrame:
+    """All rows of a taxonomy table with `reason` and `ok`; a filter on `ok` prunes the folders."""
+    columns = [*TAXONOMY_TABLES[name][0], "reason"]
+    schema = StructType([StructField(c, StringType()) for c in columns] + [StructField("ok", BooleanType())])
+    return read_table(spark, root, name, version, schema)

@@ -230,9 +230,9 @@ SELECT 'customer', l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-'
 UNION ALL
 SELECT 'null', cast(p_partkey AS varchar) FROM part WHERE p_type = 'STANDARD' AND p_size > 25"""
 
-_FIRST_TEXT = """SELECT '{table}' AS table_name, {code} AS c1, {text} AS c2, cast(NULL AS varchar) AS c3 FROM (
-  SELECT *, row_number() OVER (PARTITION BY {code} ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn
-  FROM lines) WHERE rn = 1"""
+_FIRST_TEXT = """SELECT '{table}' AS table_name, {code} AS code, {text} AS text, visits FROM (
+  SELECT *, row_number() OVER (PARTITION BY {code} ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn,
+    count(*) OVER (PARTITION BY {code}) AS visits FROM lines) WHERE rn = 1"""
 
 _HIERARCHY_ROWS = """
 SELECT 'segments' AS table_name, segment_code AS c1, description AS c2, cast(NULL AS varchar) AS c3 FROM segments
@@ -347,7 +347,12 @@ UNION ALL SELECT 'classes', family_code, count(*) FROM class_visits WHERE family
 UNION ALL SELECT 'bricks', class_code, count(*) FROM kept_chain GROUP BY 2
 UNION ALL SELECT 'attribute_types', brick_code, count(*) FROM kept_lines GROUP BY 2
 UNION ALL SELECT 'attribute_values', att_type_code, count(*) FROM kept_lines GROUP BY 2""",
-    "ingest_flatten_hierarchy": f"WITH {HIERARCHY} {_HIERARCHY_ROWS}",
+    "ingest_flatten_hierarchy": f"""WITH {VISITS}, counts AS (
+  SELECT 'segments' AS table_name, segment_code AS c1, count(*) AS visits FROM segment_visits GROUP BY ALL
+  UNION ALL SELECT 'families', family_code, count(*) FROM family_visits GROUP BY ALL
+  UNION ALL SELECT 'classes', class_code, count(*) FROM class_visits GROUP BY ALL
+  UNION ALL SELECT 'bricks', brick_code, count(*) FROM chain GROUP BY ALL)
+SELECT table_name, c1 AS code, c2 AS text, c3 AS parent_code, visits FROM ({_HIERARCHY_ROWS}) JOIN counts USING (table_name, c1)""",
     "ingest_flatten_attributes": f"WITH {VISITS} "
     + _FIRST_TEXT.format(
         table="attribute_types", code="att_type_code", text="'Part ' || att_type_code || ' ' || l_returnflag"
@@ -356,7 +361,10 @@ UNION ALL SELECT 'attribute_values', att_type_code, count(*) FROM kept_lines GRO
     + _FIRST_TEXT.format(
         table="attribute_values", code="att_value_code", text="'Supplier ' || att_value_code || ' ' || l_linestatus"
     ),
-    "ingest_junctions": f"WITH {HIERARCHY} {_JUNCTION_ROWS}",
+    "ingest_junctions": f"""WITH {VISITS}
+SELECT 'attribute_types' AS table_name, brick_code AS parent_code, att_type_code AS code, count(*) AS visits
+FROM lines GROUP BY ALL
+UNION ALL SELECT 'attribute_values', att_type_code, att_value_code, count(*) FROM lines GROUP BY ALL""",
     "ingest_counts": f"""WITH {VISITS}, {_COUNTS}
 SELECT * FROM counted UNION ALL SELECT 'total', sum(occurrences), sum(unique_rows) FROM counted""",
     "ingest_roundtrip": f"""WITH {HIERARCHY} {_HIERARCHY_ROWS}

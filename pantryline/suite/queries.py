@@ -215,49 +215,42 @@ def dedup_first_wins(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def ingest_segment_filter(spark: SparkSession, sf: str) -> DataFrame:
     docs = ingest.keep_segments(s.documents(spark, sf), ("1", "3", "7"))
-    seen = ingest.visits(docs)
-    counts = [
-        df.groupBy(F.lit(name).alias("table_name"), "parent_code").agg(F.count(F.lit(1)).alias("visits"))
-        for name, df in seen.items()
-    ]
-    return reduce(DataFrame.unionByName, counts)
-
-
-def _tables_union(tables: dict[str, DataFrame], names: list[str]) -> DataFrame:
-    """Tables of different columns as (table_name, c1, c2, c3)."""
-    shaped = []
-    for name in names:
-        columns = [F.col(c) for c in tables[name].columns] + [F.lit(None).cast("string")] * 2
-        shaped.append(
-            tables[name].select(
-                F.lit(name).alias("table_name"), *[c.alias(f"c{i}") for i, c in enumerate(columns[:3], 1)]
-            )
-        )
-    return reduce(DataFrame.unionByName, shaped)
+    return ingest.visits(docs).groupBy("table_name", "parent_code").agg(F.count(F.lit(1)).alias("visits"))
 
 
 @query
 def ingest_flatten_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
-    tables = ingest.flatten(s.documents(spark, sf))
-    return _tables_union(tables, ["segments", "families", "classes", "bricks"])
+    levels = ("segments", "families", "classes", "bricks")
+    return ingest.first_visits(ingest.visits(s.documents(spark, sf, attributes=False), levels))
 
 
 @query
 def ingest_flatten_attributes(spark: SparkSession, sf: str) -> DataFrame:
-    tables = ingest.flatten(s.documents(spark, sf))
-    return _tables_union(tables, ["attribute_types", "attribute_values"])
+    seen = ingest.visits(s.documents(spark, sf), ("attribute_types", "attribute_values"))
+    return ingest.first_visits(seen).select("table_name", "code", "text", "visits")
 
 
 @query
 def ingest_junctions(spark: SparkSession, sf: str) -> DataFrame:
-    tables = ingest.flatten(s.documents(spark, sf))
-    return _tables_union(tables, ["brick_attribute_types", "attribute_type_values"])
+    return ingest.visited_pairs(ingest.visits(s.documents(spark, sf), ("attribute_types", "attribute_values")))
 
 
 @query
 def ingest_counts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = s.documents(spark, sf)
-    return ingest.import_counts(docs, ingest.flatten(docs))
+    return ingest.import_counts(ingest.visits(s.documents(spark, sf)))
+
+
+def _tables_union(tables: dict[str, DataFrame], names: list[str]) -> DataFrame:
+    """Tables of different columns as (table_name, c1, c2, c3)."""
+    shaped = []
+    for name in names:
+        columns = [F.col(c) for c in tables[name].columns] + [F.lit(None).cast("string")] * 2
+        shaped.append(
+            tables[name].select(
+                F.lit(name).alias("table_name"), *[c.alias(f"c{i}") for i, c in enumerate(columns[:3], 1)]
+            )
+        )
+    return reduce(DataFrame.unionByName, shaped)
 
 
 @query

@@ -77,12 +77,15 @@ def part_taxonomy(spark: SparkSession, sf: str) -> Taxonomy:
 # ---- documents to ingest --------------------------------------------------------
 
 
-def documents(spark: SparkSession, sf: str, varied: bool = True) -> DataFrame:
+def documents(
+    spark: SparkSession, sf: str, varied: bool = True, attributes: bool = True
+) -> DataFrame:
     """`segment` documents as the XML reader gives them.
 
     One per order with its lines as attribute types (an order with very many lines
     gives several documents), one per customer, one per part. Repeated elements are the
-    rule. With `varied`, the texts of a type or value differ between lines.
+    rule. With `varied`, the texts of a type or value differ between lines; without
+    `attributes`, bricks have no types.
     """
     t = taxonomy(spark, sf)
     suffix = [F.lit(" "), F.col("l_returnflag")] if varied else []
@@ -106,11 +109,15 @@ def documents(spark: SparkSession, sf: str, varied: bool = True) -> DataFrame:
     types = nested_list(
         lines, "brick_code", ["l_linenumber", "l_partkey", "l_suppkey", "attType"], "lines"
     ).select("brick_code", "part", F.transform("lines", lambda x: x["attType"]).alias("attType"))
+    if attributes:
+        with_types = t.bricks.join(types, "brick_code", "left")
+    else:
+        none = F.lit(None).cast(types.schema["attType"].dataType)
+        with_types = t.bricks.select("*", F.lit(0).alias("part"), none.alias("attType"))
 
     upper = class_path(t)
     bricks = (
-        t.bricks.join(types, "brick_code", "left")
-        .withColumnRenamed("description", "brick_text")
+        with_types.withColumnRenamed("description", "brick_text")
         .join(upper, "class_code")
         .select(
             F.struct(
