@@ -74,13 +74,13 @@ def tag_label(tag: Column) -> Column:
 
 # Letters that have case. A capital starts every run of them, so digits,
 # apostrophes and caseless scripts all end a run.
-_CASED = r"[\p{IsLowercase}\p{IsUppercase}\p{Lt}]"
-_RUNS = rf"({_CASED}+|[^\p{{IsLowercase}}\p{{IsUppercase}}\p{{Lt}}]+)"
+_CASE_CLASSES = r"\p{IsLowercase}\p{IsUppercase}\p{Lt}"
+_RUNS = rf"([{_CASE_CLASSES}]+|[^{_CASE_CLASSES}]+)"
+# A Unicode noncharacter, so it does not occur in text meant for interchange.
+_MARK = "\ufdd0"
 
 
-def title_case(c: Column) -> Column:
-    """Capitalise every run of cased letters: `o'brien 3rd` -> `O'Brien 3Rd`."""
-
+def _title_by_run(c: Column) -> Column:
     def one(run: Column) -> Column:
         # The leading letter keeps a final sigma final when the tail is lowered alone.
         tail = F.substr(F.lower(F.concat(F.lit("a"), F.substr(run, F.lit(2)))), F.lit(2))
@@ -89,6 +89,17 @@ def title_case(c: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_RUNS), F.lit(1)), one), "")
 
 
+def title_case(c: Column) -> Column:
+    """Capitalise every run of cased letters: `o'brien 3rd` -> `O'Brien 3Rd`.
+
+    `initcap` only starts words after a blank, so a marked blank is put before every
+    other run and taken out again. Text that holds the mark itself goes run by run.
+    """
+    marked = F.regexp_replace(c, rf"(?<=[^{_CASE_CLASSES} ])(?=[{_CASE_CLASSES}])", _MARK + " ")
+    titled = F.replace(F.initcap(marked), F.lit(_MARK + " "), F.lit(""))
+    return F.when(F.contains(c, F.lit(_MARK)), _title_by_run(c)).otherwise(titled)
+
+
 def fallback_label(tag: Column) -> Column:
     """The title-cased label of a tag with a colon; other tags unchanged."""
     return F.when(F.contains(tag, F.lit(":")), title_case(tag_label(tag))).otherwise(tag)
