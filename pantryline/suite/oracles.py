@@ -396,7 +396,7 @@ SELECT event_id, cast(floor(us / 60000000) AS bigint) AS elapsed_minutes, coales
     "metadata_upsert": """SELECT event_type || '/' || user_id AS key, 'v' || max(event_id) AS value
 FROM events GROUP BY 1""",
     "metadata_lookup": """SELECT 'v' || max(event_id) AS value FROM events
-WHERE event_type = 'signup' AND user_id = 42 HAVING count(*) > 0""",
+WHERE event_type = 'signup' AND user_id = 1 HAVING count(*) > 0""",
     "catalog_summary": f"""WITH {VERSIONS}, last AS (SELECT * FROM versions ORDER BY o_orderkey DESC LIMIT 1)
 SELECT (SELECT count(*) FROM supplier) AS segments, version, coalesce(xml_date, 'unknown') AS xml_date,
   cast(NULL AS varchar) AS import_timestamp FROM last""",

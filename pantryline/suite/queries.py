@@ -383,7 +383,7 @@ def metadata_upsert(spark: SparkSession, sf: str) -> DataFrame:
 def metadata_lookup(spark: SparkSession, sf: str) -> DataFrame:
     rows = s.metadata_rows(spark, sf)
     stored = metadata.upsert(rows, rows, "seq")
-    return metadata.lookup(stored, "signup/42")
+    return metadata.lookup(stored, "signup/1")
 
 
 @query

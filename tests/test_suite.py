@@ -1,0 +1,110 @@
+"""Registered queries: equal to their SQL, and planned the way they should be."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+
+import check
+from __spark_entry__ import entry, oracle_sql, queries
+from pantryline.functions.text import contains
+from pantryline.plans import taxonomy as tx
+from pantryline.plans.categories import map_categories
+from pantryline.plans.products import shape_off
+from pantryline.suite import standins as s
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    return check.connect(SF)
+
+
+def test_every_query_has_sql():
+    assert set(queries()) == set(oracle_sql())
+
+
+@pytest.mark.parametrize("name", list(queries()))
+def test_query_equals_sql(spark, con, name):
+    problem = check.compare(spark, con, SF, name)
+    assert problem in (None, "no rows")
+    if problem:
+        assert name in {"list_bricks_of_class", "list_segments", "list_classes"}
+
+
+def test_entry(spark):
+    assert entry(spark).limit(1).count() == 1
+
+
+def plan(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+# They write files and read them back, so their plan is only the last read.
+STAGED = {"ingest_roundtrip", "stream_enrich"}
+
+
+@pytest.mark.parametrize("name", sorted(set(queries()) - STAGED))
+def test_no_cross_join_and_no_python(spark, name):
+    text = queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    physical = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "BatchEvalPython", "InPandas"):
+        assert bad not in physical, bad
+    assert "Join Cross" not in text
+
+
+def test_code_lookup_reaches_the_scan(spark):
+    text = plan(s.taxonomy(spark, SF).segments.filter("segment_code = '3'"))
+    assert "region" not in text
+    detail = tx.brick_path(s.taxonomy(spark, SF), ["7"])
+    assert re.search(r"PushedFilters: \[[^\]]*o_orderkey|IsNotNull", plan(detail))
+
+
+def test_only_needed_columns_are_read(spark):
+    text = plan(tx.matching(s.taxonomy(spark, SF), "brick", "low"))
+    schema = re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)
+    assert {c.split(":")[0] for c in schema.split(",")} == {"o_orderkey", "o_orderpriority"}
+
+
+def test_paging_keeps_only_the_page(spark):
+    text = plan(tx.list_level(s.taxonomy(spark, SF), "brick", page=2).rows)
+    assert "TakeOrderedAndProject" in text
+
+
+def test_brick_path_shuffles_bricks_once_without_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = tx.brick_path(s.taxonomy(spark, SF))._jdf.queryExecution().executedPlan().toString()
+        bricks_side = text.split("SortMergeJoin")[1]
+        # three joins, two shuffles each: only one of the six is of the brick table
+        assert len(re.findall("Exchange hashpartitioning", text)) <= 6
+        assert len(re.findall(r"Exchange hashpartitioning\(class_code", text)) == 2, bricks_side
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_results_do_not_depend_on_join_strategy(spark):
+    """Without any broadcast, as with tables too large for it."""
+    shaped = shape_off(s.off_raw(spark, SF))
+    run = lambda: sorted(
+        map(str, map_categories(shaped, s.part_taxonomy(spark, SF)).select("barcode", "category_hierarchy").collect())
+    )
+    want = run()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert run() == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_contains_is_one_jvm_expression(spark):
+    df = s.taxonomy(spark, SF).bricks.filter(contains(F.col("description"), "low"))
+    assert "rlike" in plan(df).lower()
