@@ -19,17 +19,20 @@ def split_groups(
     items: list[str],
     part_rows: int = PART_ROWS,
     weight: Column | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add `part`, so that a (key, part) group holds about `part_rows` rows at most.
 
-    Group sizes come from a partial aggregation. Only keys over the bound are joined
+    Group sizes come from a partial aggregation, of `counted` if given: a cheaper
+    relation with at least as many rows per key. Only keys over the bound are joined
     back, salted, so neither the join nor the later grouping meets a hot key.
     """
     if part_rows < 1:
         raise ValueError("part_rows must be positive")
     size = F.sum(weight) if weight is not None else F.count(F.lit(1))
     large = (
-        df.groupBy(key)
+        (df if counted is None else counted)
+        .groupBy(key)
         .agg(size.alias("__size"))
         .filter(F.col("__size") > part_rows)
         .select(
@@ -55,12 +58,13 @@ def nested_list(
     name: str,
     part_rows: int = PART_ROWS,
     weight: Column | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """(key, part, name): the items of each key as an array of structs ordered by the first item."""
     entry = F.struct(*items)
     scalar = [f.name for f in df.schema.fields if f.name in items and f.dataType.typeName() != "array"]
     return (
-        split_groups(df, key, scalar, part_rows, weight)
+        split_groups(df, key, scalar, part_rows, weight, counted)
         .groupBy(key, "part")
         .agg(F.array_sort(F.collect_list(entry)).alias(name))
     )

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from pantryline.session import staged
 
 DEFAULT_PAGE_SIZE = 20
 MAX_PAGE_SIZE = 100
+# Up to here a page is a top-k; beyond it rows are numbered in parallel.
+DEEP_ROWS = 100_000
 
 
 def next_page(page: Column, size: Column, total: Column) -> Column:
@@ -42,8 +46,42 @@ class Page:
         )
 
 
-def page_of(df: DataFrame, order: str, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> Page:
-    """Page by offset. Each task keeps `page * page_size` rows; use `page_after` when deep."""
+def number_rows(df: DataFrame, order: str, name: str = "position") -> DataFrame:
+    """Add the 1-based place of every row in the whole order, without a single-task window.
+
+    Rows are split into ranges of `order`, and the split is staged, so that it stays
+    the same however often it is read. Rows are then counted within their range, and
+    each range starts after the sizes of those before it. `order` must be unique: equal
+    values are numbered in no particular order.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = staged(
+        df.repartitionByRange(ranges, order).withColumn("__range", F.spark_partition_id()), "numbered"
+    )
+    # At most one row per range.
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = split.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).select(
+        "__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start")
+    )
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(order))
+    return (
+        split.withColumn("__within", within)
+        .join(starts, "__range")
+        .select(*df.columns, (F.col("__start") + F.col("__within")).alias(name))
+    )
+
+
+def page_of(
+    df: DataFrame,
+    order: str,
+    page: int = 1,
+    page_size: int = DEFAULT_PAGE_SIZE,
+    deep_rows: int = DEEP_ROWS,
+) -> Page:
+    """Page by offset: a top-k of `page * page_size` rows, numbered rows beyond `deep_rows`.
+
+    `page_after` is cheaper still when the last code of the previous page is known.
+    """
     check_page(page, page_size)
     p, s = F.lit(page).cast("bigint"), F.lit(page_size).cast("bigint")
     info = df.agg(F.count(F.lit(1)).alias("count")).select(
@@ -51,8 +89,12 @@ def page_of(df: DataFrame, order: str, page: int = 1, page_size: int = DEFAULT_P
         next_page(p, s, F.col("count")).alias("next"),
         previous_page(p).alias("previous"),
     )
-    rows = df.orderBy(order).offset((page - 1) * page_size).limit(page_size)
-    return Page(rows, info)
+    offset = (page - 1) * page_size
+    if offset + page_size <= deep_rows:
+        return Page(df.orderBy(order).offset(offset).limit(page_size), info)
+    place = F.col("__position")
+    rows = number_rows(df, order, "__position").filter((place > offset) & (place <= offset + page_size))
+    return Page(rows.drop("__position").orderBy(order), info)
 
 
 def page_after(df: DataFrame, order: str, last: str | None, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from pantryline.functions.text import fallback_label, tag_label
 from pantryline.operators.containment import first_containing
-from pantryline.plans.taxonomy import Taxonomy, brick_path
+from pantryline.plans.taxonomy import Taxonomy, with_brick_path
+from pantryline.session import staged
 
 MAPPED_TAGS = 3
 FALLBACK_TAGS = 5
@@ -19,39 +20,41 @@ def label_paths(labels: DataFrame, t: Taxonomy) -> DataFrame:
     """
     texts = t.bricks.select(F.col("brick_code").alias("code"), F.col("description").alias("text"))
     found = first_containing(labels, texts).withColumnRenamed("code", "brick_code")
-    codes = found.select("brick_code").distinct()
-    paths = brick_path(t, codes).select("brick_code", "path_parts")
-    return found.join(paths, "brick_code").filter(F.size("path_parts") > 0)
+    paths = with_brick_path(found.join(t.bricks, "brick_code"), t)
+    return paths.select("label", "brick_code", "path_parts").filter(F.size("path_parts") > 0)
 
 
 def map_tag_lists(tags: DataFrame, t: Taxonomy) -> DataFrame:
-    """(head, brick_code, path_parts) for every distinct leading tag list that maps.
+    """(head, brick_code, path_parts, matched_label) for every distinct leading tag list that maps.
 
     `tags` has `head`, the first tags of a product. The first tag, in order, with a
-    brick decides.
+    brick decides. The distinct lists and labels are staged: each is used several
+    times below, and the products should be read for them only once.
     """
-    heads = tags.select("head").filter(F.size("head") > 0).distinct()
+    heads = staged(tags.select("head").filter(F.size("head") > 0).distinct(), "heads")
     placed = heads.select("head", F.posexplode("head").alias("at", "tag")).select(
         "head", "at", tag_label(F.col("tag")).alias("label")
     )
-    paths = label_paths(placed.select("label").distinct(), t)
+    paths = label_paths(staged(placed.select("label").distinct(), "labels"), t)
     hit = placed.join(paths, "label").groupBy("head").agg(
-        F.min_by(F.struct("brick_code", "path_parts"), "at").alias("hit")
+        F.min_by(F.struct("brick_code", "path_parts", F.col("label").alias("matched_label")), "at").alias("hit")
     )
-    return hit.select("head", "hit.brick_code", "hit.path_parts")
+    return hit.select("head", "hit.*")
 
 
 def map_categories(products: DataFrame, t: Taxonomy, tags: str = "categories") -> DataFrame:
-    """Add `brick_code`, `category_hierarchy` and `mapped` to products with a tag array.
+    """Add `brick_code`, `matched_label`, `category_hierarchy` and `mapped` to products with tags.
 
     Tag lists repeat across products, so the distinct ones are mapped and joined back.
-    Without a mapping the first five tags stand in as labels.
+    Without a mapping the first five tags stand in as labels. An empty `matched_label`
+    comes from a tag such as `en:`, which every description contains.
     """
-    with_head = products.withColumn("head", F.slice(F.col(tags), 1, MAPPED_TAGS))
-    mapped = map_tag_lists(with_head, t)
+    head = F.slice(F.col(tags), 1, MAPPED_TAGS)
+    mapped = map_tag_lists(products.select(head.alias("head")), t)
     fallback = F.transform(F.slice(F.col(tags), 1, FALLBACK_TAGS), fallback_label)
     return (
-        with_head.join(mapped, "head", "left")
+        products.withColumn("head", head)
+        .join(mapped, "head", "left")
         .withColumn("mapped", F.col("path_parts").isNotNull())
         .withColumn("category_hierarchy", F.coalesce(F.col("path_parts"), fallback, F.array()))
         .drop("head", "path_parts")

@@ -37,8 +37,8 @@ def reconcile(
     a barcode cannot multiply rows or make a join partition hot. Barcodes without any
     source are dropped.
     """
-    unique = one_per_key(off, "barcode")
-    categorised = map_categories(unique, t)
+    # Mapped before de-duplication: the latter leaves rows partitioned for the joins.
+    categorised = one_per_key(map_categories(off, t), "barcode")
     left = categorised.select(
         F.col("barcode").alias("gtin"), F.struct(*[c for c in categorised.columns if c != "barcode"]).alias("o")
     )

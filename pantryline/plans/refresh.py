@@ -11,7 +11,7 @@ from pantryline.functions.versions import (
     version_status,
 )
 from pantryline.plans.taxonomy import Taxonomy
-from pantryline.sources.metadata import as_map
+from pantryline.sources.metadata import as_map, upsert
 
 
 def staleness(
@@ -36,9 +36,21 @@ def refresh_plan(datasets: DataFrame, now: Column, interval: int = CHECK_INTERVA
     return datasets.withColumn("status", status)
 
 
+def record_check(metadata: DataFrame, now: Column) -> DataFrame:
+    """Metadata with `last_version_check` set to `now`, whatever the check found."""
+    stamp = F.date_format(
+        F.to_utc_timestamp(now, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"
+    )
+    check = metadata.sparkSession.range(1).select(
+        F.lit("last_version_check").alias("key"), stamp.alias("value")
+    )
+    return upsert(metadata, check)
+
+
 def catalog_summary(t: Taxonomy, metadata: DataFrame) -> DataFrame:
     """One row: segment count, version, date and import time."""
-    meta = as_map(metadata).scalar()
+    shown = ["gpc_version", "xml_date", "import_timestamp"]
+    meta = as_map(metadata.filter(F.col("key").isin(shown))).scalar()
     return t.segments.agg(F.count(F.lit(1)).alias("segments")).select(
         "segments",
         F.try_element_at(meta, F.lit("gpc_version")).alias("version"),

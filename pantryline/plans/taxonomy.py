@@ -169,11 +169,11 @@ def class_path(t: Taxonomy, codes: list[str] | DataFrame | None = None) -> DataF
     )
 
 
-def brick_path(t: Taxonomy, codes: list[str] | DataFrame | None = None) -> DataFrame:
-    """Bricks with class, family, segment, breadcrumb and its non-empty parts.
+def with_brick_path(bricks: DataFrame, t: Taxonomy) -> DataFrame:
+    """Add the levels above, breadcrumb and its non-empty parts to rows of `bricks`.
 
-    The levels above are joined to each other first, so the brick table, by far the
-    largest, is shuffled at most once.
+    The levels above are joined to each other first, so the brick rows, by far the
+    most, are shuffled at most once. Further columns are kept.
     """
     upper = class_path(t).select(
         "class_code",
@@ -189,24 +189,19 @@ def brick_path(t: Taxonomy, codes: list[str] | DataFrame | None = None) -> DataF
         F.col("class_description"),
         F.col("description"),
     ]
-    return (
-        _only(t.bricks, "brick_code", codes)
-        .join(upper, "class_code", "left")
-        .select(
-            "brick_code",
-            "description",
-            "class_code",
-            "class_description",
-            "family_code",
-            "family_description",
-            "segment_code",
-            "segment_description",
-            breadcrumb(*chain).alias("full_path"),
-            path_parts(*chain).alias("path_parts"),
-        )
+    return bricks.join(upper, "class_code", "left").select(
+        *bricks.columns,
+        *[c for c in upper.columns if c != "class_code"],
+        breadcrumb(*chain).alias("full_path"),
+        path_parts(*chain).alias("path_parts"),
     )
 
 
+def brick_path(t: Taxonomy, codes: list[str] | DataFrame | None = None) -> DataFrame:
+    """Bricks with class, family, segment, breadcrumb and its non-empty parts."""
+    return with_brick_path(_only(t.bricks, "brick_code", codes), t)
+
+
 def parent_ref(code: str, columns: dict[str, str]) -> Column:
     """A record of the parent levels, null when the parent code is null or empty."""
     return F.when(
@@ -293,6 +288,7 @@ def type_values(
         ["att_value_code", "att_value_text"],
         "values",
         part_rows,
+        counted=links,
     )
 
 
@@ -367,9 +363,14 @@ def brick_attributes(
     types = t.attribute_types.join(counted, "att_type_code", "left").select(
         "att_type_code", "att_type_text", F.coalesce("n_values", F.lit(0)).alias("n_values")
     )
-    entries = _only(t.brick_attribute_types, "brick_code", codes).join(types, "att_type_code", "inner")
+    links = _only(t.brick_attribute_types, "brick_code", codes)
     lists = nested_list(
-        entries, "brick_code", ["att_type_code", "att_type_text", "n_values"], "attributes", part_rows
+        links.join(types, "att_type_code", "inner"),
+        "brick_code",
+        ["att_type_code", "att_type_text", "n_values"],
+        "attributes",
+        part_rows,
+        counted=links,
     )
     return attach_lists(_brick_parents(t, codes), lists, "brick_code", "attributes").select(
         *_BRICK_COLUMNS

@@ -165,8 +165,8 @@ tags AS (SELECT code, unnest(tags) AS tag, generate_subscripts(tags, 1) AS pos F
 labelled AS (SELECT code, pos, {_label("tag")} AS label FROM tags WHERE pos <= 3),
 label_brick AS (SELECT label, min(brick_code) AS brick_code FROM (SELECT DISTINCT label FROM labelled)
   JOIN part_path ON description ILIKE '%' || label || '%' GROUP BY label),
-mapped AS (SELECT code, brick_code, path FROM (
-  SELECT code, brick_code, path, row_number() OVER (PARTITION BY code ORDER BY pos) AS rn
+mapped AS (SELECT code, brick_code, path, label AS matched_label FROM (
+  SELECT code, brick_code, path, label, row_number() OVER (PARTITION BY code ORDER BY pos) AS rn
   FROM labelled JOIN label_brick USING (label) JOIN part_path USING (brick_code) WHERE path <> '') WHERE rn = 1),
 fallback AS (SELECT code, count(*) AS n, string_agg({_fallback("tag")}, '{{sep}}' ORDER BY pos) AS labels
   FROM tags WHERE pos <= 5 GROUP BY code)"""
@@ -292,6 +292,9 @@ ORACLES: dict[str, str] = {
     "list_bricks_after": f"""WITH {HIERARCHY} SELECT brick_code, description FROM bricks
   WHERE (brick_code ILIKE '%_-NOT%spec%' OR description ILIKE '%_-NOT%spec%') AND brick_code > '5'
   ORDER BY brick_code LIMIT 100""",
+    "list_positions": f"""WITH {HIERARCHY}, numbered AS (
+  SELECT brick_code, description, row_number() OVER (ORDER BY brick_code) AS position FROM bricks)
+SELECT *, (position + 19) // 20 AS page FROM numbered""",
     "list_count": f"WITH {HIERARCHY} "
     + " UNION ALL ".join(
         f"SELECT '{level}' AS level, count(*) AS n FROM {table}"
@@ -366,7 +369,8 @@ SELECT 'attribute_types' AS table_name, brick_code AS parent_code, att_type_code
 FROM lines GROUP BY ALL
 UNION ALL SELECT 'attribute_values', att_type_code, att_value_code, count(*) FROM lines GROUP BY ALL""",
     "ingest_counts": f"""WITH {VISITS}, {_COUNTS}
-SELECT * FROM counted UNION ALL SELECT 'total', sum(occurrences), sum(unique_rows) FROM counted""",
+SELECT * FROM counted
+UNION ALL SELECT 'total', cast(sum(occurrences) AS bigint), cast(sum(unique_rows) AS bigint) FROM counted""",
     "ingest_roundtrip": f"""WITH {HIERARCHY} {_HIERARCHY_ROWS}
 UNION ALL SELECT 'attribute_types', att_type_code, 'Part ' || att_type_code, NULL FROM brick_attribute_types GROUP BY ALL
 UNION ALL SELECT 'attribute_values', att_value_code, 'Supplier ' || att_value_code, NULL FROM attribute_type_values GROUP BY ALL
@@ -429,7 +433,7 @@ FROM foods f LEFT JOIN names USING (fdc_id) LEFT JOIN wide w USING (fdc_id)""",
     "usda_by_upc": f"""WITH {FDC_RAW} SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY gtin ORDER BY fdc_id) AS rn FROM foods
   WHERE data_type = 'Branded' AND gtin IN (SELECT cast(p_partkey AS varchar) FROM part)) WHERE rn = 1""",
-    "category_map": f"WITH {CATEGORIES} SELECT code AS barcode, brick_code, path FROM mapped",
+    "category_map": f"WITH {CATEGORIES} SELECT code AS barcode, brick_code, matched_label, path FROM mapped",
     "category_fallback": f"""WITH {CATEGORIES.replace("{sep}", "|")}
 SELECT code AS barcode, coalesce(n, 0) AS n_labels, coalesce(labels, '') AS labels
 FROM (SELECT code FROM off_raw) LEFT JOIN fallback USING (code) WHERE code NOT IN (SELECT code FROM mapped)""",

@@ -12,7 +12,7 @@ from pantryline.functions.text import fallback_label, sorted_csv, tag_label, tit
 from pantryline.functions.versions import file_stem, strip_v, version_from_path, version_status
 from pantryline.operators.dedup import first_wins
 from pantryline.operators.integrity import null_keys, orphans
-from pantryline.operators.paging import next_page, previous_page
+from pantryline.operators.paging import next_page, number_rows, previous_page
 from pantryline.plans import ingest, products, refresh, search, taxonomy as tx
 from pantryline.plans.categories import map_categories
 from pantryline.plans.reconcile import reconcile
@@ -79,6 +79,14 @@ def list_bricks_after(spark: SparkSession, sf: str) -> DataFrame:
     return tx.list_level_after(s.taxonomy(spark, sf), "brick", last="5", search="_-NOT%spec", page_size=100)
 
 
+@query
+def list_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """The page of 20 on which each brick of the whole list appears."""
+    t = s.taxonomy(spark, sf)
+    numbered = number_rows(tx.matching(t, "brick"), "brick_code")
+    return numbered.withColumn("page", F.ceil(F.col("position") / 20))
+
+
 @query
 def list_count(spark: SparkSession, sf: str) -> DataFrame:
     t = s.taxonomy(spark, sf)
@@ -344,7 +352,7 @@ def _datasets(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-NOW = "timestamp'2024-01-31 12:00:00'"
+NOW = "timestamp'2024-01-31 12:00:00+00:00'"
 
 
 @query
@@ -368,7 +376,7 @@ def staleness(spark: SparkSession, sf: str) -> DataFrame:
         "ELSE date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") END"
     )
     checks = s.table(spark, sf, "events").select("event_id", stamp.alias("last_check"))
-    out = refresh.staleness(checks, "last_check", F.expr("timestamp'2024-01-30 12:00:00'"))
+    out = refresh.staleness(checks, "last_check", F.expr("timestamp'2024-01-30 12:00:00+00:00'"))
     return out.select("event_id", F.floor("elapsed_minutes").alias("elapsed_minutes"), "stale")
 
 
@@ -507,7 +515,7 @@ def usda_by_upc(spark: SparkSession, sf: str) -> DataFrame:
 def category_map(spark: SparkSession, sf: str) -> DataFrame:
     shaped = products.shape_off(s.off_raw(spark, sf))
     mapped = map_categories(shaped, s.part_taxonomy(spark, sf)).filter("mapped")
-    return mapped.select("barcode", "brick_code", F.array_join("category_hierarchy", " > ").alias("path"))
+    return mapped.select("barcode", "brick_code", "matched_label", F.array_join("category_hierarchy", " > ").alias("path"))
 
 
 @query

@@ -10,7 +10,7 @@ from pantryline.operators.containment import first_containing
 from pantryline.operators.dedup import first_wins, last_wins, one_per_key
 from pantryline.operators.groups import attach_lists, nested_list, split_groups
 from pantryline.operators.integrity import missing_keys, null_keys, orphans
-from pantryline.operators.paging import page_after, page_of
+from pantryline.operators.paging import number_rows, page_after, page_of
 
 
 def test_first_wins_ignores_input_order(spark):
@@ -152,3 +152,19 @@ def test_first_containing_without_wildcards_or_texts(spark):
     assert [tuple(r) for r in first_containing(lab, t).collect()] == [("a", "0")]
     assert first_containing(lab, t.limit(0)).count() == 0
     assert first_containing(lab.limit(0), t).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_number_rows(spark, partitions):
+    codes = [str(i) for i in range(500)]
+    df = spark.createDataFrame([(c,) for c in codes], "code string").repartition(partitions)
+    got = {r["code"]: r["position"] for r in number_rows(df, "code").collect()}
+    assert got == {c: i for i, c in enumerate(sorted(codes), 1)}
+    assert number_rows(df.limit(0), "code").count() == 0
+
+
+def test_deep_page_equals_shallow_page(spark):
+    df = spark.createDataFrame([(str(i),) for i in range(300)], "code string").repartition(3)
+    for page in (1, 7, 15, 16):
+        want = [r[0] for r in page_of(df, "code", page, 20).rows.collect()]
+        assert [r[0] for r in page_of(df, "code", page, 20, deep_rows=0).rows.collect()] == want

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pantryline.functions import versions as v
-from pantryline.plans.refresh import refresh_plan, staleness
+from pantryline.plans.refresh import record_check, refresh_plan, staleness
 
 NOW = datetime(2025, 6, 2, 12, 0, 0, tzinfo=timezone.utc)
 
@@ -93,3 +93,9 @@ def test_refresh_plan(spark):
     df = spark.createDataFrame(rows, "k string, stored string, last_check string, candidate string")
     got = {r["k"]: r["status"] for r in refresh_plan(df, F.lit(NOW)).collect()}
     assert got == {"a": "build", "b": "recent", "c": "refresh", "d": "keep", "e": "current"}
+
+
+def test_record_check(spark):
+    old = spark.createDataFrame([("last_version_check", "never"), ("a", "1")], "key string, value string")
+    got = dict(map(tuple, record_check(old, F.lit(NOW)).collect()))
+    assert got["a"] == "1" and datetime.fromisoformat(got["last_version_check"]) == NOW
