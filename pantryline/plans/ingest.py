@@ -52,46 +52,40 @@ def visits(docs: DataFrame, tables: tuple[str, ...] = LEVEL_TABLES) -> DataFrame
     position at each level.
     """
     elements = list(_ELEMENTS.values())
-    depth_of = {name: depth for depth, name in enumerate(LEVEL_TABLES)}
-    deepest = max(depth_of[name] for name in tables)
-    kept = ["ord", "lead", "code_0", "text_0"]
+    deepest = max(LEVEL_TABLES.index(name) for name in tables)
+    # `depth` is how far down the path goes, `top` the highest element it is first below.
     rows = docs.select(
-        "ord", "lead", F.col("_code").alias("code_0"), F.col("_text").alias("text_0"), F.col("family").alias("below")
+        "ord",
+        F.array("_code").alias("codes"),
+        F.array("_text").alias("texts"),
+        F.array(F.lit(None).cast("int")).alias("places"),
+        F.lit(0).alias("depth"),
+        F.when(F.col("lead"), 0).otherwise(1).alias("top"),
+        F.col("family").alias("below"),
     )
     for depth in range(1, deepest + 1):
-        own = {
-            f"at_{depth}": F.col("at"),
-            f"is_{depth}": F.col("node").isNotNull(),
-            f"code_{depth}": F.col("node._code"),
-            f"text_{depth}": F.col("node._text"),
-        }
+        found = F.col("node").isNotNull()
         below = [F.col("node")[elements[depth]].alias("below")] if depth < deepest else []
-        rows = rows.select(*kept, F.posexplode_outer("below").alias("at", "node")).select(
-            *kept, *[c.alias(n) for n, c in own.items()], *below
+        rows = rows.select("*", F.posexplode_outer("below").alias("at", "node")).select(
+            "ord",
+            F.concat("codes", F.array("node._code")).alias("codes"),
+            F.concat("texts", F.array("node._text")).alias("texts"),
+            F.concat("places", F.array("at")).alias("places"),
+            F.when(found, depth).otherwise(F.col("depth")).alias("depth"),
+            F.when(F.col("at") > 0, depth).otherwise(F.col("top")).alias("top"),
+            *below,
         )
-        kept += list(own)
-
-    def entry(table: str) -> Column:
-        depth = depth_of[table]
-        present = F.col(f"is_{depth}") if depth else F.col("lead")
-        for d in range(depth + 1, deepest + 1):
-            present = present & (F.coalesce(F.col(f"at_{d}"), F.lit(0)) == 0)
-        parent = F.col(f"code_{depth - 1}") if depth else F.lit(None).cast("string")
-        return F.when(
-            present,
-            F.struct(
-                F.lit(table).alias("table_name"),
-                parent.alias("parent_code"),
-                F.col(f"code_{depth}").alias("code"),
-                F.col(f"text_{depth}").alias("text"),
-            ),
-        )
-
-    place = F.struct("ord", *[f"at_{d}" for d in range(1, deepest + 1)]) if deepest else F.col("ord")
-    entries = F.array_compact(F.array(*[entry(name) for name in tables]))
-    return (
-        rows.select(place.alias("ord"), F.explode(entries).alias("e")).select("e.*", "ord")
+    seen = rows.filter(F.col("top") <= F.col("depth")).select(
+        "ord", "codes", "texts", "places", F.explode(F.sequence("top", "depth")).alias("depth")
     )
+    names = F.array(*[F.lit(name) for name in LEVEL_TABLES])
+    return seen.select(
+        F.get(names, F.col("depth")).alias("table_name"),
+        F.get(F.col("codes"), F.col("depth") - 1).alias("parent_code"),
+        F.get(F.col("codes"), F.col("depth")).alias("code"),
+        F.get(F.col("texts"), F.col("depth")).alias("text"),
+        F.struct("ord", F.slice("places", 1, F.col("depth") + 1).alias("places")).alias("ord"),
+    ).filter(F.col("table_name").isin(list(tables)))
 
 
 def first_visits(seen: DataFrame) -> DataFrame:
