@@ -20,11 +20,6 @@ def last_wins(df: DataFrame, keys: list[str], order: Column, keep: list[str]) ->
     return picked.select(*keys, *[F.col("__row")[c].alias(c) for c in keep])
 
 
-def distinct_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    """The distinct (a, b) pairs; the whole row is the key, so any copy will do."""
-    return df.select(a, b).dropDuplicates([a, b])
-
-
 def one_per_key(df: DataFrame, key: str) -> DataFrame:
     """One whole row per key: the smallest row. Equal rows are the only possible ties."""
     rest = [c for c in df.columns if c != key]

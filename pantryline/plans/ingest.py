@@ -198,6 +198,12 @@ def with_reason(name: str, rows: DataFrame, good: dict[str, DataFrame]) -> DataF
     return rows.select(*columns, reason.alias("reason"))
 
 
+def _reject_rows(name: str, bad: DataFrame) -> DataFrame:
+    """(table_name, reason, key) of rejected rows; a null part of the key shows as empty."""
+    parts = [F.coalesce(F.col(k), F.lit("")) for k in TAXONOMY_TABLES[name][1]]
+    return bad.select(F.lit(name).alias("table_name"), "reason", F.concat_ws("|", *parts).alias("key"))
+
+
 def check_tables(
     tables: dict[str, DataFrame], store: Callable[[str, DataFrame], DataFrame] | None = None
 ) -> Checked:
@@ -209,19 +215,13 @@ def check_tables(
     """
     good: dict[str, DataFrame] = {}
     bad: list[DataFrame] = []
-    for name, (columns, keys, _) in TAXONOMY_TABLES.items():
+    for name, (columns, _, _) in TAXONOMY_TABLES.items():
         checked = with_reason(name, tables[name], good)
         if store:
             checked = store(name, checked)
         sound = F.col("ok") if "ok" in checked.columns else F.col("reason").isNull()
         good[name] = checked.filter(sound).select(*columns)
-        # concat_ws would drop a null part and shift the others
-        key = F.concat_ws("|", *[F.coalesce(F.col(k), F.lit("")) for k in keys])
-        bad.append(
-            checked.filter(~sound).select(
-                F.lit(name).alias("table_name"), "reason", key.alias("key")
-            )
-        )
+        bad.append(_reject_rows(name, checked.filter(~sound)))
     return Checked(good, reduce(DataFrame.unionByName, bad))
 
 
@@ -285,10 +285,9 @@ def ingest_taxonomy(
 def read_rejects(spark: SparkSession, out: str, version: str) -> DataFrame:
     """(table_name, reason, key) of the rows an import set aside."""
     rows = []
-    for name, (_, keys, _) in TAXONOMY_TABLES.items():
-        key = F.concat_ws("|", *[F.coalesce(F.col(k), F.lit("")) for k in keys])
+    for name in TAXONOMY_TABLES:
         bad = read_checked(spark, name, out, version).filter(~F.col("ok"))
-        rows.append(bad.select(F.lit(name).alias("table_name"), "reason", key.alias("key")))
+        rows.append(_reject_rows(name, bad))
     return reduce(DataFrame.unionByName, rows)
 
 

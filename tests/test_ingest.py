@@ -151,7 +151,8 @@ def test_broken_reference(spark, tmp_path):
     ]
 
 
-# A class without a code still has a child class table entry for its bricks' parent.
+# The family has no code, so its class has no parent and is set aside, and the brick is left
+# with a reference to an absent class.
 ORPHANS = """<schema><segment code="50000000"><family><class code="c1"><brick code="b1"/></class></family></segment></schema>"""
 
 
