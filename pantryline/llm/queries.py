@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pantryline.llm import bpe, tokenfile
+from pantryline.llm import bpe, sharding, tokenfile, warc
 from pantryline.llm.common import table, work_dir
 
 
@@ -15,6 +15,11 @@ def ranges_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def op2_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign_shards(table(spark, sf_dir, "documents"), 40)
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "tokens")
     tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, ranges_of(spark))
@@ -25,9 +30,17 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path, with_payload=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_byte_shards": op2_byte_shards,
     "op7_token_files": op7_token_files,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_warc_round_trip": op9_warc_round_trip,
 }
 
 ORACLES: dict[str, str] = {}
