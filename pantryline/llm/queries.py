@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pantryline.llm import bpe, sharding, tokenfile, warc
+from pantryline.llm import bpe, decontaminate, neardup, sharding, tokenfile, warc
 from pantryline.llm.common import table, work_dir
 
 
@@ -20,6 +20,15 @@ def op2_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold=0.8)
+
+
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_key")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "tokens")
     tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, ranges_of(spark))
@@ -38,9 +47,11 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_shards": op2_byte_shards,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_token_files": op7_token_files,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_warc_round_trip": op9_warc_round_trip,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_benchmark_leaks": decontaminate.ORACLE}
