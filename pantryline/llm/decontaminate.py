@@ -32,18 +32,28 @@ def word_list(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add array columns that are computed once a row, however often they are used later.
+
+    The optimizer would put the expression in place of each use, also within lambdas; it doesn't
+    reach through a generator, here of one row.
+    """
+    for name, column in columns.items():
+        rows = rows.select("*", F.explode(F.array(column)).alias(name))
+    return rows
+
+
 def shingled(rows: DataFrame, keys: list[str], words: int = WORDS) -> DataFrame:
     """keys, and `shingles`: the distinct hashes, ascending."""
-    listed = rows.filter(F.col("text").isNotNull()).select(*keys, word_list(F.col("text")).alias("words"))
+    listed = computed(rows.filter(F.col("text").isNotNull()), words=word_list(F.col("text"))).select(*keys, "words")
     size = F.size("words")
     hashes = F.transform(
         F.sequence(F.lit(0), size - words),
         lambda i: F.xxhash64(*[F.get("words", i + F.lit(k)) for k in range(words)]),
     )
     short = F.array(F.xxhash64(F.array_join("words", " ")))
-    return listed.filter(size > 0).select(
-        *keys, F.sort_array(F.array_distinct(F.when(size >= words, hashes).otherwise(short))).alias("shingles")
-    )
+    distinct = F.sort_array(F.array_distinct(F.when(size >= words, hashes).otherwise(short)))
+    return computed(listed.filter(size > 0), shingles=distinct).select(*keys, "shingles")
 
 
 def _needed(n: Column, threshold: float) -> Column:
@@ -117,13 +127,13 @@ def clean_of(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, threshol
 #: The same pairs by comparing full sets, for DuckDB.
 ORACLE = r"""
 WITH listed AS (
-    SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+    SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
     FROM documents
     UNION ALL
-    SELECT 'b', item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') FROM benchmark
+    SELECT 'b', item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark
 ), shingles AS (
     SELECT DISTINCT kind, id, unnest(CASE
-        WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+        WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
         ELSE [array_to_string(w, ' ')] END) AS s
     FROM listed WHERE len(w) > 0
 ), items AS (
