@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pantryline.llm import bpe, decontaminate, neardup, sharding, tokenfile, warc
-from pantryline.llm.common import table, work_dir
+from pantryline.llm import bpe, decontaminate, langid, neardup, sharding, tokenfile, toxicity, warc
+from pantryline.llm.common import crc_of_id, table, work_dir
 
 
 def ranges_of(spark: SparkSession) -> int:
@@ -15,6 +15,27 @@ def ranges_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _held_out(df: DataFrame, parts: int, part: int) -> DataFrame:
+    return df.withColumn("held_out", F.coalesce(F.pmod(crc_of_id("doc_id"), F.lit(parts)) == part, F.lit(False)))
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> langid.Model:
+    """Learned from the documents whose crc32 leaves another remainder than 2."""
+    rows = _held_out(table(spark, sf_dir, "documents"), 4, 2)
+    return langid.learn(rows.filter(~F.col("held_out")))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Learned from the labels whose crc32 leaves another remainder than 0."""
+    rows = _held_out(table(spark, sf_dir, "labels"), 5, 0)
+    return toxicity.learn(table(spark, sf_dir, "documents"), rows.filter(~F.col("held_out")))
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.predict(table(spark, sf_dir, "documents"), language_model(spark, sf_dir))
+    return _held_out(found, 4, 2).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"), 40)
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -45,13 +66,20 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path, with_payload=False)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.predict(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return _held_out(found, 5, 0).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op2_byte_shards": op2_byte_shards,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_token_files": op7_token_files,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_warc_round_trip": op9_warc_round_trip,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {"op6_benchmark_leaks": decontaminate.ORACLE}
