@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pantryline.llm import bpe, decontaminate, langid, neardup, sharding, tokenfile, toxicity, warc
+from pantryline.llm import bpe, decontaminate, langid, licenses, neardup, neighbours, sharding, tokenfile, toxicity, warc
 from pantryline.llm.common import crc_of_id, table, work_dir
 
 
@@ -41,6 +41,22 @@ def op2_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the number of licenses in it, and that with the most matched words."""
+    hits = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    best = F.array_max(
+        F.transform("hits", lambda h: F.struct(h["matched"], (-h["first_word"]).alias("early"), h["template"], h["coverage"]))
+    )
+    return hits.select(
+        "doc_id", F.size("hits").alias("n_hits"), best["template"].alias("license"), best["coverage"].alias("coverage")
+    )
+
+
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.search(table(spark, sf_dir, "embeddings"), F.pmod(F.col("id"), F.lit(20)) == 0, 20)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold=0.8)
 
@@ -74,6 +90,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_byte_shards": op2_byte_shards,
+    "op3_license_scan": op3_license_scan,
+    "op4_neighbours": op4_neighbours,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_token_files": op7_token_files,
