@@ -405,3 +405,26 @@ def near_duplicates(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")
     )
     return placed.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, all columns, that are kept: one of each component, and every row without a doc_id.
+
+    Of rows that share a kept doc_id the one whose columns hash lowest stays.
+    """
+    found = near_duplicates(docs, words, threshold)
+    lost = staged(found.filter(~F.col("kept")).select("doc_id").distinct(), "lost")
+    again = staged(
+        docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"),
+        "repeated",
+    )
+    kept = docs.join(lost, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.xxhash64("text"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    single = (
+        kept.join(again, "doc_id", "left_semi")
+        .groupBy(F.col("doc_id").alias("__id"))
+        .agg(F.min_by(whole, order).alias("__row"))
+        .select("__row.*")
+    )
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(single)

@@ -19,16 +19,19 @@ def _held_out(df: DataFrame, parts: int, part: int) -> DataFrame:
     return df.withColumn("held_out", F.coalesce(F.pmod(crc_of_id("doc_id"), F.lit(parts)) == part, F.lit(False)))
 
 
+def learnable(df: DataFrame, parts: int, part: int) -> DataFrame:
+    """The rows that a model may learn from: all that aren't held out by their ids."""
+    return _held_out(df, parts, part).filter(~F.col("held_out")).drop("held_out")
+
+
 def language_model(spark: SparkSession, sf_dir: str) -> langid.Model:
     """Learned from the documents whose crc32 leaves another remainder than 2."""
-    rows = _held_out(table(spark, sf_dir, "documents"), 4, 2)
-    return langid.learn(rows.filter(~F.col("held_out")))
+    return langid.learn(learnable(table(spark, sf_dir, "documents"), 4, 2))
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Learned from the labels whose crc32 leaves another remainder than 0."""
-    rows = _held_out(table(spark, sf_dir, "labels"), 5, 0)
-    return toxicity.learn(table(spark, sf_dir, "documents"), rows.filter(~F.col("held_out")))
+    return toxicity.learn(table(spark, sf_dir, "documents"), learnable(table(spark, sf_dir, "labels"), 5, 0))
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
