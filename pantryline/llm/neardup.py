@@ -164,11 +164,12 @@ CELL = ["key", "block", "salt"]
 
 
 def verified(tests: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of `tests` whose full sets are similar enough, compared as whole numbers.
+    """(a, b): links between components, by comparing full sets as whole numbers.
 
-    `tests` has a cell (key, block, salt) for every pair, with at most BLOCK_LEADERS different `a`.
-    Sets are computed for documents in pairs only, and sent once to each cell: those of the `a` are
-    held there, those of the `b` stream past.
+    `tests` has cells (key, block, salt) with rows (id, component, targets): leaders without targets,
+    BLOCK_LEADERS of them at most, and followers with the leaders that each is tested against. Sets are
+    computed for these documents only, and sent once to each cell, where leaders are held and
+    followers stream past. Components that a link in the cell has joined are not tested again.
     """
     percent = round(100 * threshold)
 
@@ -179,39 +180,42 @@ def verified(tests: DataFrame, docs: DataFrame, words: int, threshold: float) ->
                 if len(elements):
                     yield doc_id, elements.tobytes()
 
-    wanted = staged(tests.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    wanted = staged(tests.select(F.col("id").alias("doc_id")).distinct(), "wanted")
     full = staged(
         docs.select("doc_id", "text")
         .join(wanted, "doc_id", "left_semi")
         .mapInArrow(lambda parts: batches(sets(parts), ["id", "elements"], [pa.int64(), pa.binary()], 512), "id long, elements binary"),
         "sets",
     )
-    nobody = F.lit(None).cast("array<long>")
-    leaders = tests.select(*CELL, F.col("a").alias("id")).distinct().withColumn("targets", nobody)
-    followers = tests.groupBy(*CELL, F.col("b").alias("id")).agg(F.collect_list("a").alias("targets"))
-    columns = [*CELL, "id", "targets", "elements"]
     lined_up = (
-        leaders.unionByName(followers)
-        .join(full, "id")
+        tests.join(full, "id")
         .withColumn("follows", F.col("targets").isNotNull())
         .repartition(*CELL)
-        .sortWithinPartitions(*CELL, "follows")
-        .select(*columns)
+        .sortWithinPartitions(*CELL, "follows", "id")
+        .select(*CELL, "id", "component", "targets", "elements")
     )
 
     def similar(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        current, held = None, {}
+        current, held, joined = None, {}, {}
+
+        def root(x: int) -> int:
+            while (up := joined.get(x, x)) != x:
+                x = up
+            return x
+
         for part in parts:
-            for key, block, salt, one, targets, elements in zip(*part.columns, strict=True):
-                cell, one = (key.as_py(), block.as_py(), salt.as_py()), one.as_py()
+            for key, block, salt, one, component, targets, elements in zip(*part.columns, strict=True):
+                cell, one, component = (key.as_py(), block.as_py(), salt.as_py()), one.as_py(), component.as_py()
                 if cell != current:
-                    current, held = cell, {}
+                    current, held, joined = cell, {}, {}
                 some = np.frombuffer(elements.as_py(), np.uint64)
                 if not targets.is_valid:
-                    held.setdefault(one, []).append(some)
+                    held.setdefault(one, (component, []))[1].append(some)
                     continue
                 for target in targets.as_py():
-                    if any(alike(some, other, percent) for other in held[target]):
+                    other, others = held[target]
+                    if root(component) != root(other) and any(alike(some, x, percent) for x in others):
+                        joined[root(component)] = root(other)
                         yield target, one
 
     return staged(
@@ -268,17 +272,19 @@ def _first_tests(members: DataFrame) -> DataFrame:
     leaders = leaders.select("key", (-F.col("top.low")).alias("leader"), F.col("top.degree").alias("degree"))
     met = members.join(leaders, "key").filter(F.col("id") != F.col("leader"))
     best = F.max(F.struct(F.col("times"), F.col("degree"), (-F.col("leader")).alias("low"))).alias("best")
-    return (
+    led = (
         met.groupBy("id", "leader")
         .agg(F.count(F.lit(1)).alias("times"), F.max("degree").alias("degree"))
         .groupBy("id")
         .agg(best)
-        .select((-F.col("best.low")).alias("a"), F.col("id").alias("b"))
-        .select(
-            F.col("a").alias("key"), F.lit(0).cast("long").alias("block"),
-            F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"), "a", "b",
-        )
-    )
+        .select((-F.col("best.low")).alias("leader"), "id")
+    )
+    cell = [F.col("leader").alias("key"), F.lit(0).cast("long").alias("block"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")]
+    followers = led.select(*cell, "id", F.col("id").alias("component"), F.array("leader").alias("targets"))
+    leaders = led.select(*cell, F.col("leader").alias("id")).distinct()
+    return followers.unionByName(
+        leaders.withColumns({"component": F.col("id"), "targets": F.lit(None).cast("array<long>")})
+    )
 
 
 def _open_tests(members: DataFrame, found: DataFrame, sketches: DataFrame, threshold: float, best: bool) -> DataFrame:
@@ -327,14 +333,24 @@ def _open_tests(members: DataFrame, found: DataFrame, sketches: DataFrame, thres
     )
 
     def likely(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        current, own, held, top = None, [], None, {}
+        current, own, held, top, used = None, [], None, {}, set()
+
+        def closing() -> Iterator[tuple]:
+            """What a cell leaves: followers of the likeliest, and the leaders that have followers."""
+            chosen: dict[tuple, list[int]] = {}
+            for a, (_, b) in top.items():
+                chosen.setdefault(b, []).append(a)
+            for (one, component), targets in chosen.items():
+                yield *current, one, component, targets
+            for one, component in {x[:2] for x in own if x[0] in used or x[0] in top}:
+                yield *current, one, component, None
+
         for part in parts:
             rows = [part.column(i).to_pylist() for i in range(part.num_columns)]
             for key, block, salt, follows, one, component, out, n, bands, slots in zip(*rows, strict=True):
                 if (key, block, salt) != current:
-                    for a, (_, b) in top.items():
-                        yield *current, a, b
-                    current, own, held, top = (key, block, salt), [], None, {}
+                    yield from closing()
+                    current, own, held, top, used = (key, block, salt), [], None, {}, set()
                 bands, slots = np.array(bands), np.frombuffer(slots, np.uint8)
                 if not follows:
                     own.append((one, component, n, bands, slots))
@@ -351,18 +367,21 @@ def _open_tests(members: DataFrame, found: DataFrame, sketches: DataFrame, thres
                 at = np.nonzero(at)[0]
                 at = at[keys[at, (keys[at] == bands).argmax(axis=1)] == key]  # the first bucket they share
                 same = (table[at] == slots).mean(axis=1)
-                for i in np.nonzero(same >= SKETCH_FLOOR)[0].tolist():
-                    a = int(ids[at[i]])
-                    if not best:
-                        yield key, block, salt, a, one
-                    elif a not in top or top[a][0] < same[i]:
-                        top[a] = same[i], one
-        for a, (_, b) in top.items():
-            yield *current, a, b
-
-    names = [*CELL, "a", "b"]
+                near = np.nonzero(same >= SKETCH_FLOOR)[0]
+                targets = list(dict.fromkeys(ids[at[near]].tolist()))
+                if targets and not best:
+                    used.update(targets)
+                    yield key, block, salt, one, component, targets
+                for a, share in zip(ids[at[near]].tolist(), same[near].tolist(), strict=True) if best else ():
+                    if a not in top or top[a][0] < share:
+                        top[a] = share, (one, component)
+        yield from closing()
+
+    names = [*CELL, "id", "component", "targets"]
+    types = [pa.int64()] * 5 + [pa.list_(pa.int64())]
     return lined_up.mapInArrow(
-        lambda parts: batches(likely(parts), names, [pa.int64()] * 5), "key long, block long, salt long, a long, b long"
+        lambda parts: batches(likely(parts), names, types),
+        "key long, block long, salt long, id long, component long, targets array<long>",
     )
 
 
