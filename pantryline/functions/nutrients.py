@@ -47,20 +47,28 @@ def off_nutrient_map(nutrients: Column) -> Column:
 
 
 def last_wins_map(entries: Column) -> Column:
-    """Nutrient list -> map name -> (amount, unit); of equal names the last one stays."""
-    named = F.filter(F.coalesce(entries, F.array()), lambda e: e["name"].isNotNull())
-    total = F.size(named)
-
-    def is_last(entry: Column, i: Column) -> Column:
-        later = F.slice(named, i + 2, total)
-        return ~F.exists(later, lambda other: other["name"] == entry["name"])
+    """Nutrient list -> map name -> (amount, unit); of equal names the last one stays.
 
+    Entries are sorted by name and place, so the last of a name is the one before the next name.
+    """
+    placed = F.transform(
+        F.coalesce(entries, F.array()),
+        lambda e, i: F.struct(e["name"].alias("name"), i.alias("at"), e["amount"].alias("amount"), e["unit_name"].alias("unit")),
+    )
+    ordered = F.array_sort(F.filter(placed, lambda e: e["name"].isNotNull()))
+    following = F.concat(
+        F.transform(F.slice(ordered, 2, F.greatest(F.size(ordered), F.lit(1))), lambda e: e["name"]),
+        F.array(F.lit(None).cast("string")),
+    )
+    # A name is there once more at the end of an empty list; its entry is null and is dropped.
+    paired = F.arrays_zip(ordered.alias("entry"), following.alias("next"))
+    last = F.filter(paired, lambda p: p["entry"].isNotNull() & ~p["entry"]["name"].eqNullSafe(p["next"]))
     return F.map_from_entries(
         F.transform(
-            F.filter(named, is_last),
-            lambda e: F.struct(
-                e["name"].alias("key"),
-                F.struct(e["amount"].alias("amount"), e["unit_name"].alias("unit")).alias("value"),
+            last,
+            lambda p: F.struct(
+                p["entry"]["name"].alias("key"),
+                F.struct(p["entry"]["amount"].alias("amount"), p["entry"]["unit"].alias("unit")).alias("value"),
             ),
         )
     )

@@ -1,78 +1,44 @@
-"""Nested lists whose size is bounded whatever the key distribution.
-
-A parent may own a third of all children. Its list is returned in several parts,
-each its own row and its own aggregation group; parents within the bound keep a
-single part 0 that holds their whole ordered list.
-"""
+"""Children of parents: ordered rows of one shape for any size, and nested lists for asked-for parents."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-PART_ROWS = 10_000
-SALTS = 64
+from pantryline.operators.paging import number_rows
+from pantryline.operators.skew import join_parent
 
 
-def split_groups(
-    df: DataFrame,
-    key: str,
-    items: list[str],
-    part_rows: int = PART_ROWS,
-    weight: Column | None = None,
-    counted: DataFrame | None = None,
-) -> DataFrame:
-    """Add `part`, so that a (key, part) group holds about `part_rows` rows at most.
+def numbered_children(children: DataFrame, parent: str, child: str, size: str) -> DataFrame:
+    """Add `position`, from 1 in the order of `child` among its parent's rows, and `size`, their number.
 
-    Group sizes come from a partial aggregation, of `counted` if given: a cheaper
-    relation with at least as many rows per key. Only keys over the bound are joined
-    back, salted, so neither the join nor the later grouping meets a hot key.
+    Rows are numbered over ranges of the whole (parent, child) order, and a parent's first number is
+    taken off, so a parent with a third of all rows is worked on by many tasks. Runs a job when
+    called, and writes the ranges to the shared folder.
     """
-    if part_rows < 1:
-        raise ValueError("part_rows must be positive")
-    size = F.sum(weight) if weight is not None else F.count(F.lit(1))
-    large = (
-        (df if counted is None else counted)
-        .groupBy(key)
-        .agg(size.alias("__size"))
-        .filter(F.col("__size") > part_rows)
-        .select(
-            F.col(key),
-            F.ceil(F.col("__size") / part_rows).alias("__parts"),
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("__salt"),
-        )
-    )
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*items), F.lit(SALTS)).cast("bigint"))
-    part = F.pmod(F.xxhash64(F.lit("part"), *items), F.col("__parts"))
-    return (
-        salted.join(large, [key, "__salt"], "left")
-        .withColumn("part", F.coalesce(part, F.lit(0)).cast("int"))
-        .drop("__salt", "__parts")
-        .select(*df.columns, "part")
+    numbered = number_rows(children, [parent, child], "__number")
+    first = numbered.groupBy(parent).agg(F.min("__number").alias("__first"), F.count(F.lit(1)).alias(size))
+    return join_parent(numbered, first, parent, "inner").select(
+        *children.columns, (F.col("__number") - F.col("__first") + 1).alias("position"), size
     )
 
 
-def nested_list(
-    df: DataFrame,
-    key: str,
-    items: list[str],
-    name: str,
-    part_rows: int = PART_ROWS,
-    weight: Column | None = None,
-    counted: DataFrame | None = None,
-) -> DataFrame:
-    """(key, part, name): the items of each key as an array of structs ordered by the first item."""
-    entry = F.struct(*items)
-    scalar = [f.name for f in df.schema.fields if f.name in items and f.dataType.typeName() != "array"]
-    return (
-        split_groups(df, key, scalar, part_rows, weight, counted)
-        .groupBy(key, "part")
-        .agg(F.array_sort(F.collect_list(entry)).alias(name))
-    )
+def with_children(parents: DataFrame, children: DataFrame, key: str, size: str) -> DataFrame:
+    """A row per child with its parent's columns; a parent without any has one row, position null and size 0."""
+    rest = [c for c in children.columns if c != key]
+    found = join_parent(children, parents, key, "inner").select(*parents.columns, *rest)
+    alone = parents.join(children.select(key).distinct(), key, "left_anti")
+    none = [(F.lit(0) if c == size else F.lit(None)).cast(children.schema[c].dataType).alias(c) for c in rest]
+    return found.unionByName(alone.select(*parents.columns, *none))
+
+
+def nested_list(df: DataFrame, key: str, items: list[str], name: str) -> DataFrame:
+    """(key, name): all items of each key as one array of structs ordered by the first item.
+
+    For the keys of a request: a list is one value in one task.
+    """
+    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*items))).alias(name))
 
 
 def attach_lists(parents: DataFrame, lists: DataFrame, key: str, name: str) -> DataFrame:
-    """Left join the lists to their parents; a parent without items gets `[]` as part 0."""
-    joined = parents.join(lists, key, "left")
-    return joined.withColumn("part", F.coalesce("part", F.lit(0))).withColumn(
-        name, F.coalesce(name, F.array())
-    )
+    """Left join the lists to their parents; a parent without items gets `[]`."""
+    return parents.join(lists, key, "left").withColumn(name, F.coalesce(name, F.array()))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pantryline.operators.skew import join_parent
+
 
 def missing_keys(wanted: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """The distinct wanted keys that `table` does not have."""
@@ -20,7 +22,7 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     absent = missing_keys(
         named.select(F.col(child_key).alias("__key")), parent.select(F.col(parent_key).alias("__key")), "__key"
     )
-    return named.join(absent, named[child_key] == absent["__key"], "left_semi")
+    return join_parent(named, absent.withColumnRenamed("__key", child_key), child_key, "left_semi").select(*child.columns)
 
 
 def null_keys(df: DataFrame, columns: list[str]) -> DataFrame:

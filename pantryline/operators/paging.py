@@ -10,8 +10,8 @@ from pantryline.session import staged
 
 DEFAULT_PAGE_SIZE = 20
 MAX_PAGE_SIZE = 100
-# Up to here a page is a top-k; beyond it rows are numbered in parallel.
-DEEP_ROWS = 100_000
+# A task of a top-k holds all rows up to the page's end.
+MAX_TOP_ROWS = 10_000_000
 
 
 def next_page(page: Column, size: Column, total: Column) -> Column:
@@ -39,31 +39,37 @@ class Page:
     info: DataFrame
 
     def flat(self) -> DataFrame:
-        """The page rows with the envelope as columns (a scalar subquery, no join)."""
+        """The page rows with the envelope as columns; of an empty page one row, with the envelope only."""
         info = self.info.select(F.struct("*")).scalar()
-        return self.rows.withColumn("__info", info).select(
+        rows = self.rows.withColumn("__info", info).select(
             *self.rows.columns, *[F.col("__info")[c].alias(c) for c in self.info.columns]
         )
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.rows.schema.fields]
+        found = self.rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+        return rows.unionByName(self.info.filter(found == 0).select(*none, *self.info.columns))
 
 
-def number_rows(df: DataFrame, order: str, name: str = "position") -> DataFrame:
+def number_rows(
+    df: DataFrame, order: str | list[str], name: str = "position", ranges: int | None = None
+) -> DataFrame:
     """Add the 1-based place of every row in the whole order, without a single-task window.
 
-    Rows are split into ranges of `order`, and the split is staged, so that it stays
-    the same however often it is read. Rows are then counted within their range, and
-    each range starts after the sizes of those before it. `order` must be unique: equal
-    values are numbered in no particular order.
+    Rows are split into ranges of `order`, as many as shuffle partitions unless told. Rows are then
+    counted within their range, and each range starts after the sizes of those before it. `order` must
+    be unique: equal values are numbered in no particular order. Runs a job when called: the split is
+    written to the shared folder, so that it stays the same however often it is read.
     """
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [order] if isinstance(order, str) else order
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     split = staged(
-        df.repartitionByRange(ranges, order).withColumn("__range", F.spark_partition_id()), "numbered"
+        df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "numbered"
     )
     # At most one row per range.
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = split.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).select(
         "__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start")
     )
-    within = F.row_number().over(Window.partitionBy("__range").orderBy(order))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     return (
         split.withColumn("__within", within)
         .join(starts, "__range")
@@ -71,30 +77,34 @@ def number_rows(df: DataFrame, order: str, name: str = "position") -> DataFrame:
     )
 
 
-def page_of(
-    df: DataFrame,
-    order: str,
-    page: int = 1,
-    page_size: int = DEFAULT_PAGE_SIZE,
-    deep_rows: int = DEEP_ROWS,
-) -> Page:
-    """Page by offset: a top-k of `page * page_size` rows, numbered rows beyond `deep_rows`.
-
-    `page_after` is cheaper still when the last code of the previous page is known.
-    """
-    check_page(page, page_size)
+def _envelope(df: DataFrame, page: int, page_size: int) -> DataFrame:
     p, s = F.lit(page).cast("bigint"), F.lit(page_size).cast("bigint")
-    info = df.agg(F.count(F.lit(1)).alias("count")).select(
+    return df.agg(F.count(F.lit(1)).alias("count")).select(
         "count",
         next_page(p, s, F.col("count")).alias("next"),
         previous_page(p).alias("previous"),
     )
-    offset = (page - 1) * page_size
-    if offset + page_size <= deep_rows:
-        return Page(df.orderBy(order).offset(offset).limit(page_size), info)
-    place = F.col("__position")
+
+
+def page_of(df: DataFrame, order: str, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> Page:
+    """Page by offset: a top-k of `page * page_size` rows, whatever the page.
+
+    `page_after` is cheaper when the last code of the previous page is known; `numbered_page` holds
+    no more rows for a later page than for the first.
+    """
+    check_page(page, page_size)
+    if page * page_size > MAX_TOP_ROWS:
+        raise ValueError(f"a page that ends after row {MAX_TOP_ROWS} is read by numbered_page or page_after")
+    rows = df.orderBy(order).offset((page - 1) * page_size).limit(page_size)
+    return Page(rows, _envelope(df, page, page_size))
+
+
+def numbered_page(df: DataFrame, order: str, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> Page:
+    """The same page from rows numbered in parallel. Runs a job when called, as `number_rows` does."""
+    check_page(page, page_size)
+    place, offset = F.col("__position"), (page - 1) * page_size
     rows = number_rows(df, order, "__position").filter((place > offset) & (place <= offset + page_size))
-    return Page(rows.drop("__position").orderBy(order), info)
+    return Page(rows.drop("__position").orderBy(order), _envelope(df, page, page_size))
 
 
 def page_after(df: DataFrame, order: str, last: str | None, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:

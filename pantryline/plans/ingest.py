@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pantryline.functions.text import sorted_csv
 from pantryline.functions.versions import UNKNOWN, version_from_path
+from pantryline.operators.skew import join_parent
 from pantryline.plans.taxonomy import Taxonomy
 from pantryline.schemas import TAXONOMY_TABLES
-from pantryline.sources.tables import publish, read_checked, read_table, write_checked, write_tables
+from pantryline.sources.tables import folder_of, new_run, publish, read_checked, read_table, write_checked, write_tables
 from pantryline.sources.taxonomy_xml import read_document_date, read_segments, spread_families
 
 # Fixed value: the Food/Beverage segment.
@@ -89,15 +90,31 @@ def visits(docs: DataFrame, tables: tuple[str, ...] = LEVEL_TABLES) -> DataFrame
 
 
 def first_visits(seen: DataFrame) -> DataFrame:
-    """(table_name, code, parent_code, text, visits): the first visit of every code, and their number.
+    """(table_name, code, parent_code, text, visits, unsound): the first sound visit of every code.
 
-    One shuffle serves all levels; visits of a code are combined before it.
+    A visit is sound when it has a code, and a parent where its level needs one; a later sound visit
+    counts before an earlier one that isn't. `unsound` is the number of those that aren't. A code
+    without a sound visit keeps its first one. One shuffle serves all levels; visits of a code are
+    combined before it.
     """
-    first = F.min_by(F.struct("parent_code", "text"), "ord")
+    needs_parent = [name for name in LEVEL_TABLES if TAXONOMY_TABLES[name][2]]
+    sound = F.col("code").isNotNull() & (
+        ~F.col("table_name").isin(needs_parent) | F.col("parent_code").isNotNull()
+    )
+    row = F.struct("parent_code", "text")
+    first = F.coalesce(F.min_by(row, F.when(sound, F.col("ord"))), F.min_by(row, "ord"))
     return (
         seen.groupBy("table_name", "code")
-        .agg(first.alias("first"), F.count(F.lit(1)).alias("visits"))
-        .select("table_name", "code", "first.parent_code", "first.text", "visits")
+        .agg(first.alias("first"), F.count(F.lit(1)).alias("visits"), F.count_if(~sound).alias("unsound"))
+        .select("table_name", "code", "first.parent_code", "first.text", "visits", "unsound")
+    )
+
+
+def skipped_visits(seen: DataFrame) -> DataFrame:
+    """(table_name, code, visits) of codes that are stored although some of their visits weren't sound."""
+    first = first_visits(seen)
+    return first.filter((F.col("unsound") > 0) & (F.col("unsound") < F.col("visits"))).select(
+        "table_name", "code", F.col("unsound").alias("visits")
     )
 
 
@@ -193,7 +210,7 @@ def with_reason(name: str, rows: DataFrame, good: dict[str, DataFrame]) -> DataF
     for column, (parent, parent_key) in parents.items():
         # Parents are unique by key, so a left join keeps the rows as they are.
         found = good[parent].select(F.col(parent_key).alias(column), F.lit(True).alias(f"has_{column}"))
-        rows = rows.join(found, column, "left")
+        rows = join_parent(rows, found, column)
         reason = reason.when(F.col(f"has_{column}").isNull(), f"orphan {column}")
     return rows.select(*columns, reason.alias("reason"))
 
@@ -258,18 +275,21 @@ def ingest_taxonomy(
     The XML is parsed and unnested a single time, into visits partitioned by
     level that tables and counts read. A broken reference
     stops the import, or with `on_violation='quarantine'` is set aside (`read_rejects`),
-    as rows with a null key or parent are in either case. Returns the counts.
+    as rows with a null key or parent are in either case. Every import writes into a folder
+    of its own, published last, so a failed one changes nothing that can be read. Returns the
+    counts.
     """
     if on_violation not in ("fail", "quarantine"):
         raise ValueError("on_violation is 'fail' or 'quarantine'")
     kept = keep_segments(read_segments(spark, xml), segments)
     staged = visits(spread_families(kept))
-    write_tables({"_visits": staged}, out, version, partition_by="table_name")
-    seen = read_table(spark, out, "_visits", version, staged.schema)
+    folder = new_run(version)
+    write_tables({"_visits": staged}, out, folder, partition_by="table_name")
+    seen = read_table(spark, out, "_visits", schema=staged.schema, folder=folder)
 
     def store(name: str, rows: DataFrame) -> DataFrame:
-        write_checked(name, rows, out, version)
-        return read_checked(spark, name, out, version)
+        write_checked(name, rows, out, folder)
+        return read_checked(spark, name, out, folder=folder)
 
     checked = check_tables(tables_of(seen), store)
     if on_violation == "fail":
@@ -277,16 +297,23 @@ def ingest_taxonomy(
         if broken:
             raise ValueError(f"broken references, for example {[tuple(r) for r in broken]}")
     metadata = ingest_metadata(read_document_date(spark, xml), xml, segments)
-    write_tables({"gpc_metadata": metadata, "import_counts": import_counts(seen)}, out, version)
-    publish(spark, out, version)
-    return read_table(spark, out, "import_counts", version)
+    results = {
+        "gpc_metadata": metadata, "import_counts": import_counts(seen), "skipped_visits": skipped_visits(seen),
+    }
+    write_tables(results, out, folder)
+    publish(spark, out, version, folder)
+    return read_table(spark, out, "import_counts", folder=folder)
 
 
 def read_rejects(spark: SparkSession, out: str, version: str) -> DataFrame:
-    """(table_name, reason, key) of the rows an import set aside."""
+    """(table_name, reason, key) of the rows an import set aside.
+
+    Visits that a sound one of the same code replaced are in the table `skipped_visits`.
+    """
+    folder = folder_of(spark, out, version)
     rows = []
     for name in TAXONOMY_TABLES:
-        bad = read_checked(spark, name, out, version).filter(~F.col("ok"))
+        bad = read_checked(spark, name, out, folder=folder).filter(~F.col("ok"))
         rows.append(_reject_rows(name, bad))
     return reduce(DataFrame.unionByName, rows)
 

@@ -7,11 +7,12 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pantryline.functions.text import any_contains, breadcrumb, path_parts, truthy
-from pantryline.operators.groups import PART_ROWS, attach_lists, nested_list
+from pantryline.operators.groups import attach_lists, nested_list, numbered_children, with_children
 from pantryline.operators.integrity import missing_keys
 from pantryline.operators.paging import DEFAULT_PAGE_SIZE, Page, page_after, page_of
+from pantryline.operators.skew import join_parent
 from pantryline.schemas import TAXONOMY_TABLES
-from pantryline.sources.tables import current_version, read_checked
+from pantryline.sources.tables import folder_of, read_checked
 
 
 @dataclass(frozen=True)
@@ -30,10 +31,10 @@ class Taxonomy:
     @classmethod
     def read(cls, spark: SparkSession, root: str, version: str | None = None) -> Taxonomy:
         """The tables of one published version, the current one by default."""
-        version = version or current_version(spark, root)
+        folder = folder_of(spark, root, version)
         return cls(
             **{
-                name: read_checked(spark, name, root, version).filter("ok").select(*columns)
+                name: read_checked(spark, name, root, folder=folder).filter("ok").select(*columns)
                 for name, (columns, _, _) in TAXONOMY_TABLES.items()
             }
         )
@@ -173,7 +174,8 @@ def with_brick_path(bricks: DataFrame, t: Taxonomy) -> DataFrame:
     """Add the levels above, breadcrumb and its non-empty parts to rows of `bricks`.
 
     The levels above are joined to each other first, so the brick rows, by far the
-    most, are shuffled at most once. Further columns are kept.
+    most, are shuffled at most once, and those of a class with a large share of them are
+    spread. Further columns are kept.
     """
     upper = class_path(t).select(
         "class_code",
@@ -189,7 +191,7 @@ def with_brick_path(bricks: DataFrame, t: Taxonomy) -> DataFrame:
         F.col("class_description"),
         F.col("description"),
     ]
-    return bricks.join(upper, "class_code", "left").select(
+    return join_parent(bricks, upper, "class_code").select(
         *bricks.columns,
         *[c for c in upper.columns if c != "class_code"],
         breadcrumb(*chain).alias("full_path"),
@@ -219,47 +221,18 @@ def children(t: Taxonomy, name: str, codes: list[str] | DataFrame | None = None)
     return _only(rows, up.code, codes).select(up.code, down.code, "description")
 
 
-def _with_children(
-    parents: DataFrame, t: Taxonomy, name: str, codes: list[str] | DataFrame | None, part_rows: int
-) -> DataFrame:
-    up, down = level(name), level(level(name).child)
-    lists = nested_list(
-        children(t, name, codes), up.code, [down.code, "description"], down.table, part_rows
-    )
-    return attach_lists(parents, lists, up.code, down.table)
-
-
-def segment_detail(
-    t: Taxonomy, codes: list[str] | DataFrame | None = None, part_rows: int = PART_ROWS
-) -> DataFrame:
-    """Segments with their ordered `families`; lists over `part_rows` come in parts."""
-    parents = _only(t.segments, "segment_code", codes)
-    return _with_children(parents, t, "segment", codes, part_rows).select(
-        "segment_code", "description", "part", "families"
-    )
-
-
-def family_detail(
-    t: Taxonomy, codes: list[str] | DataFrame | None = None, part_rows: int = PART_ROWS
-) -> DataFrame:
-    """Families with parent reference, breadcrumb and ordered `classes`."""
-    parents = family_path(t, codes).withColumn(
+def _family_parents(t: Taxonomy, codes: list[str] | DataFrame | None) -> DataFrame:
+    return family_path(t, codes).withColumn(
         "segment_code_details",
         parent_ref(
             "segment_code",
             {"segment_code": "segment_code", "segment_description": "segment_description"},
         ),
     )
-    return _with_children(parents, t, "family", codes, part_rows).select(
-        "family_code", "description", "segment_code", "segment_code_details", "full_path", "part", "classes"
-    )
 
 
-def class_detail(
-    t: Taxonomy, codes: list[str] | DataFrame | None = None, part_rows: int = PART_ROWS
-) -> DataFrame:
-    """Classes with parent reference, breadcrumb and ordered `bricks`."""
-    parents = class_path(t, codes).withColumn(
+def _class_parents(t: Taxonomy, codes: list[str] | DataFrame | None) -> DataFrame:
+    return class_path(t, codes).withColumn(
         "family_code_details",
         parent_ref(
             "family_code",
@@ -271,25 +244,6 @@ def class_detail(
             },
         ),
     )
-    return _with_children(parents, t, "class", codes, part_rows).select(
-        "class_code", "description", "family_code", "family_code_details", "full_path", "part", "bricks"
-    )
-
-
-def type_values(
-    t: Taxonomy, types: list[str] | DataFrame | None = None, part_rows: int = PART_ROWS
-) -> DataFrame:
-    """(att_type_code, part, values): the ordered values of each attribute type that has any."""
-    links = _only(t.attribute_type_values, "att_type_code", types)
-    rows = links.join(t.attribute_values, "att_value_code", "inner")
-    return nested_list(
-        rows.select("att_type_code", "att_value_code", "att_value_text"),
-        "att_type_code",
-        ["att_value_code", "att_value_text"],
-        "values",
-        part_rows,
-        counted=links,
-    )
 
 
 def _brick_parents(t: Taxonomy, codes: list[str] | DataFrame | None) -> DataFrame:
@@ -309,14 +263,35 @@ def _brick_parents(t: Taxonomy, codes: list[str] | DataFrame | None) -> DataFram
     )
 
 
-_BRICK_COLUMNS = [
-    "brick_code", "description", "class_code", "class_code_details", "full_path", "part", "attributes",
-]
+_SEGMENT_COLUMNS = ["segment_code", "description"]
+_FAMILY_COLUMNS = ["family_code", "description", "segment_code", "segment_code_details", "full_path"]
+_CLASS_COLUMNS = ["class_code", "description", "family_code", "family_code_details", "full_path"]
+_BRICK_COLUMNS = ["brick_code", "description", "class_code", "class_code_details", "full_path"]
 
 
-def brick_detail(
-    t: Taxonomy, codes: list[str] | DataFrame, part_rows: int = PART_ROWS
-) -> DataFrame:
+def _nested(parents: DataFrame, t: Taxonomy, name: str, codes: list[str] | DataFrame) -> DataFrame:
+    up, down = level(name), level(level(name).child)
+    lists = nested_list(children(t, name, codes), up.code, [down.code, "description"], down.table)
+    return attach_lists(parents, lists, up.code, down.table)
+
+
+def segment_detail(t: Taxonomy, codes: list[str] | DataFrame) -> DataFrame:
+    """The asked-for segments with their ordered `families`."""
+    parents = _only(t.segments, "segment_code", codes)
+    return _nested(parents, t, "segment", codes).select(*_SEGMENT_COLUMNS, "families")
+
+
+def family_detail(t: Taxonomy, codes: list[str] | DataFrame) -> DataFrame:
+    """The asked-for families with parent reference, breadcrumb and ordered `classes`."""
+    return _nested(_family_parents(t, codes), t, "family", codes).select(*_FAMILY_COLUMNS, "classes")
+
+
+def class_detail(t: Taxonomy, codes: list[str] | DataFrame) -> DataFrame:
+    """The asked-for classes with parent reference, breadcrumb and ordered `bricks`."""
+    return _nested(_class_parents(t, codes), t, "class", codes).select(*_CLASS_COLUMNS, "bricks")
+
+
+def brick_detail(t: Taxonomy, codes: list[str] | DataFrame) -> DataFrame:
     """The asked-for bricks with `attributes`, each with its ordered `values`.
 
     Values belong to types, so a type's list repeats under every brick that has it.
@@ -325,56 +300,76 @@ def brick_detail(
     once each.
     """
     links = _only(t.brick_attribute_types, "brick_code", codes)
-    values = type_values(t, links.select("att_type_code"), part_rows).select(
-        "att_type_code", F.col("part").alias("values_part"), "values"
+    wanted = links.select("att_type_code").distinct()
+    values = nested_list(
+        _value_rows(t, wanted), "att_type_code", ["att_value_code", "att_value_text"], "values"
     )
-    entries = (
-        links.join(t.attribute_types, "att_type_code", "inner")
-        .join(values, "att_type_code", "left")
-        .withColumn("values_part", F.coalesce("values_part", F.lit(0)))
-        .withColumn("values", F.coalesce("values", F.array()))
-    )
-    lists = nested_list(
-        entries,
-        "brick_code",
-        ["att_type_code", "att_type_text", "values_part", "values"],
-        "attributes",
-        part_rows,
-        weight=F.size("values") + 1,
+    types = t.attribute_types.join(wanted, "att_type_code", "left_semi").join(values, "att_type_code", "left")
+    entries = join_parent(links, types, "att_type_code", "inner").withColumn(
+        "values", F.coalesce("values", F.array())
     )
+    lists = nested_list(entries, "brick_code", ["att_type_code", "att_type_text", "values"], "attributes")
     return attach_lists(_brick_parents(t, codes), lists, "brick_code", "attributes").select(
-        *_BRICK_COLUMNS
+        *_BRICK_COLUMNS, "attributes"
     )
 
 
-def brick_attributes(
-    t: Taxonomy, codes: list[str] | DataFrame | None = None, part_rows: int = PART_ROWS
-) -> DataFrame:
-    """All bricks with their ordered attribute types, each with its number of values.
+# ---- whole levels, a row per child ----------------------------------------------
+
+
+def child_rows(t: Taxonomy, name: str) -> DataFrame:
+    """Every parent of a level with its children in order: a row per child, the same for any number.
+
+    The parent's columns, then the child's code and `child_description`, its `position` from 1 and
+    the number of children as `n_<children>`. A parent without children has one row. Runs a job when
+    called.
+    """
+    up, down = level(name), level(level(name).child)
+    parents = {
+        "segment": lambda: t.segments.select(*_SEGMENT_COLUMNS),
+        "family": lambda: _family_parents(t, None).select(*_FAMILY_COLUMNS),
+        "class": lambda: _class_parents(t, None).select(*_CLASS_COLUMNS),
+    }[name]()
+    size = f"n_{down.table}"
+    rows = children(t, name).withColumnRenamed("description", "child_description")
+    return with_children(parents, numbered_children(rows, up.code, down.code, size), up.code, size)
+
+
+def _value_rows(t: Taxonomy, types: list[str] | DataFrame | None = None) -> DataFrame:
+    """(att_type_code, att_value_code, att_value_text) of the types' known values."""
+    links = _only(t.attribute_type_values, "att_type_code", types)
+    return join_parent(links, t.attribute_values, "att_value_code", "inner").select(
+        "att_type_code", "att_value_code", "att_value_text"
+    )
+
+
+def type_values(t: Taxonomy) -> DataFrame:
+    """(att_type_code, att_value_code, att_value_text, position, n_values) of every type that has values.
+
+    Runs a job when called.
+    """
+    return numbered_children(_value_rows(t), "att_type_code", "att_value_code", "n_values")
+
+
+def brick_attributes(t: Taxonomy) -> DataFrame:
+    """All bricks with their attribute types in order, each with its number of values: a row per type.
 
     Together with `type_values` this is the whole content of `brick_detail`, without
-    repeating a type's values under every brick.
+    repeating a type's values under every brick. Runs a job when called.
     """
     counted = (
-        t.attribute_type_values.join(t.attribute_values, "att_value_code", "left_semi")
+        join_parent(t.attribute_type_values, t.attribute_values.select("att_value_code"), "att_value_code", "left_semi")
         .groupBy("att_type_code")
         .agg(F.count(F.lit(1)).alias("n_values"))
     )
     types = t.attribute_types.join(counted, "att_type_code", "left").select(
         "att_type_code", "att_type_text", F.coalesce("n_values", F.lit(0)).alias("n_values")
     )
-    links = _only(t.brick_attribute_types, "brick_code", codes)
-    lists = nested_list(
-        links.join(types, "att_type_code", "inner"),
-        "brick_code",
-        ["att_type_code", "att_type_text", "n_values"],
-        "attributes",
-        part_rows,
-        counted=links,
-    )
-    return attach_lists(_brick_parents(t, codes), lists, "brick_code", "attributes").select(
-        *_BRICK_COLUMNS
+    rows = join_parent(t.brick_attribute_types, types, "att_type_code", "inner").select(
+        "brick_code", "att_type_code", "att_type_text", "n_values"
     )
+    numbered = numbered_children(rows, "brick_code", "att_type_code", "n_types")
+    return with_children(_brick_parents(t, None).select(*_BRICK_COLUMNS), numbered, "brick_code", "n_types")
 
 
 def missing_codes(t: Taxonomy, name: str, codes: DataFrame) -> DataFrame:

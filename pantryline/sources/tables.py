@@ -1,73 +1,108 @@
-"""Versioned Parquet tables: write aside, then publish by appending to a log."""
+"""Versioned Parquet tables: write into a folder of the run, then publish by appending to a log.
+
+A version is a name; what holds its tables is the folder of the run that wrote them. So nothing
+that is published is ever written to again, and readers keep their files while a version is
+imported anew.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from pantryline.schemas import TAXONOMY_TABLES
 
+_LOG = "seq long, version string, folder string, published_at timestamp"
+
 
-def table_path(root: str, version: str, name: str) -> str:
-    return f"{root}/versions/{version}/{name}"
+def new_run(version: str) -> str:
+    """The name of a fresh folder for a version's tables."""
+    return f"{version}-{uuid.uuid4().hex}"
+
+
+def table_path(root: str, folder: str, name: str) -> str:
+    return f"{root}/versions/{folder}/{name}"
 
 
 def write_tables(
-    tables: dict[str, DataFrame], root: str, version: str, partition_by: str | None = None
+    tables: dict[str, DataFrame], root: str, folder: str, partition_by: str | None = None
 ) -> None:
-    """Write tables below a version folder. Nothing is visible before `publish`."""
+    """Write tables below a run's folder. Nothing is visible before `publish`; what exists is an error."""
     for name, df in tables.items():
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(table_path(root, version, name))
+        writer.parquet(table_path(root, folder, name))
+
+
+def _entries(spark: SparkSession, root: str) -> list:
+    """The last entry of each version, newest first: as many rows as there are versions."""
+    try:
+        log = spark.read.schema(_LOG).parquet(f"{root}/published")
+        last = log.groupBy("version").agg(F.max(F.struct("seq", "published_at", "folder")).alias("last"))
+        return last.select("version", "last.*").orderBy(F.desc("seq"), F.desc("published_at")).collect()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
 
 
-def publish(spark: SparkSession, root: str, version: str) -> None:
-    """Make a completely written version the current one.
+def publish(spark: SparkSession, root: str, version: str, folder: str) -> None:
+    """Make a completely written folder the current one, and the one of its version.
 
-    Readers follow this log, so they see the previous version until now; an
-    interrupted run leaves nothing published.
+    Readers follow this log, so they see what was published before until now; an
+    interrupted run leaves nothing published. Entries are numbered, clocks don't matter.
     """
+    seq = max((entry["seq"] for entry in _entries(spark, root)), default=0) + 1
     spark.range(1).select(
-        F.lit(version).alias("version"), F.current_timestamp().alias("published_at")
+        F.lit(seq).cast("long").alias("seq"), F.lit(version).alias("version"), F.lit(folder).alias("folder"),
+        F.current_timestamp().alias("published_at"),
     ).coalesce(1).write.mode("append").parquet(f"{root}/published")
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
     """The version published last, or None when nothing is published yet."""
-    schema = "version string, published_at timestamp"
-    try:
-        last = spark.read.schema(schema).parquet(f"{root}/published").agg(
-            F.max_by("version", F.struct("published_at", "version")).alias("version")
-        )
-        return last.first()["version"]
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    entries = _entries(spark, root)
+    return entries[0]["version"] if entries else None
+
+
+def folder_of(spark: SparkSession, root: str, version: str | None = None) -> str:
+    """The folder last published for a version, the current one by default."""
+    entries = _entries(spark, root)
+    if not entries:
+        raise FileNotFoundError(f"no published version below {root}")
+    found = [e["folder"] for e in entries if version in (None, e["version"])]
+    if not found:
+        raise FileNotFoundError(f"version {version} is not published below {root}")
+    return found[0]
 
 
 def read_table(
-    spark: SparkSession, root: str, name: str, version: str | None = None, schema: StructType | None = None
+    spark: SparkSession, root: str, name: str, version: str | None = None, schema: StructType | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
-    """One table of a version, the current one by default. `schema` allows for no rows at all."""
-    version = version or current_version(spark, root)
-    if version is None:
-        raise FileNotFoundError(f"no published version below {root}")
+    """One table of a published version, the current one by default, or of a run's `folder`.
+
+    `schema` allows for no rows at all.
+    """
+    folder = folder or folder_of(spark, root, version)
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(table_path(root, version, name))
+    return reader.parquet(table_path(root, folder, name))
 
 
-def write_checked(name: str, rows: DataFrame, root: str, version: str) -> None:
+def write_checked(name: str, rows: DataFrame, root: str, folder: str) -> None:
     """Write a taxonomy table with its `reason` column; sound and rejected rows in folders of their own."""
     flagged = rows.withColumn("ok", F.col("reason").isNull())
-    write_tables({name: flagged}, root, version, partition_by="ok")
+    write_tables({name: flagged}, root, folder, partition_by="ok")
 
 
-def read_checked(spark: SparkSession, name: str, root: str, version: str | None = None) -> DataFrame:
+def read_checked(
+    spark: SparkSession, name: str, root: str, version: str | None = None, folder: str | None = None
+) -> DataFrame:
     """All rows of a taxonomy table with `reason` and `ok`; a filter on `ok` prunes the folders."""
     columns = [*TAXONOMY_TABLES[name][0], "reason"]
     schema = StructType([StructField(c, StringType()) for c in columns] + [StructField("ok", BooleanType())])
-    return read_table(spark, root, name, version, schema)
+    return read_table(spark, root, name, version, schema, folder)

@@ -36,16 +36,24 @@ brick_path AS (
 
 
 def _page(table: str, code: str, where: str, page: int, size: int) -> str:
+    """A page with its envelope, which an empty page has as well."""
     previous = str(page - 1) if page > 1 else "cast(NULL AS bigint)"
     return f"""WITH {HIERARCHY}, hits AS (SELECT {code}, description FROM {table} WHERE {where}),
-total AS (SELECT count(*) AS n FROM hits)
+total AS (SELECT count(*) AS n FROM hits),
+page AS (SELECT * FROM hits ORDER BY {code} LIMIT {size} OFFSET {(page - 1) * size})
 SELECT {code}, description, n AS "count",
        CASE WHEN {(page - 1) * size} + {size} < n THEN {page + 1} END AS "next", {previous} AS "previous"
-FROM hits, total ORDER BY {code} LIMIT {size} OFFSET {(page - 1) * size}"""
+FROM total LEFT JOIN page ON true"""
 
 
-def _children(child: str, child_code: str, parent_code: str, name: str) -> str:
-    return f"""lists AS (SELECT {parent_code}, count(*) AS n,
+def _children(child: str, child_code: str, parent_code: str) -> str:
+    return f"""kids AS (SELECT {parent_code}, {child_code}, description AS child_description,
+   row_number() OVER (PARTITION BY {parent_code} ORDER BY {child_code}) AS position,
+   count(*) OVER (PARTITION BY {parent_code}) AS n FROM {child})"""
+
+
+def _list(child: str, child_code: str, parent_code: str) -> str:
+    return f"""lists AS (SELECT {parent_code},
    string_agg({child_code} || '=' || coalesce(description, ''), ',' ORDER BY {child_code}) AS items
    FROM {child} GROUP BY {parent_code})"""
 
@@ -60,14 +68,18 @@ chain AS (SELECT b.brick_code, b.description AS brick_text, c.class_code, c.desc
                  f.family_code, f.description AS family_text, s.segment_code, s.description AS segment_text
           FROM bricks b JOIN classes c USING (class_code) JOIN families f USING (family_code)
                JOIN segments s ON f.segment_code = s.segment_code),
-segment_visits AS (SELECT segment_code, description AS text FROM families JOIN (
-                     SELECT segment_code AS sc, description AS d FROM segments) ON segment_code = sc
-                   UNION ALL SELECT f.segment_code, c.description FROM classes c JOIN families f USING (family_code)
-                   UNION ALL SELECT segment_code, segment_text FROM chain),
-family_visits AS (SELECT family_code, segment_code FROM families
-                  UNION ALL SELECT f.family_code, f.segment_code FROM classes JOIN families f USING (family_code)
-                  UNION ALL SELECT family_code, segment_code FROM chain),
-class_visits AS (SELECT class_code, family_code FROM classes UNION ALL SELECT class_code, family_code FROM chain)
+docs AS (SELECT *, cast(brick_code AS bigint) // 16384 AS chunk FROM chain),
+segment_visits AS (SELECT segment_code FROM segments
+                   UNION ALL SELECT segment_code FROM (SELECT DISTINCT segment_code, chunk FROM docs)),
+family_visits AS (SELECT family_code, segment_code FROM families JOIN segments USING (segment_code)
+                  UNION ALL SELECT family_code, segment_code FROM (
+                    SELECT DISTINCT family_code, segment_code, chunk FROM docs)),
+class_visits AS (SELECT class_code, family_code FROM classes JOIN families USING (family_code)
+                   JOIN segments USING (segment_code)
+                 UNION ALL SELECT class_code, family_code FROM (
+                   SELECT DISTINCT class_code, family_code, chunk FROM docs)),
+placed AS (SELECT lines.*, cast(segment_code AS bigint) AS sk, chunk, cast(family_code AS bigint) AS fk,
+                  cast(class_code AS bigint) AS ck FROM lines JOIN docs USING (brick_code))
 """
 
 # ---- products
@@ -231,8 +243,9 @@ UNION ALL
 SELECT 'null', cast(p_partkey AS varchar) FROM part WHERE p_type = 'STANDARD' AND p_size > 25"""
 
 _FIRST_TEXT = """SELECT '{table}' AS table_name, {code} AS code, {text} AS text, visits FROM (
-  SELECT *, row_number() OVER (PARTITION BY {code} ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn,
-    count(*) OVER (PARTITION BY {code}) AS visits FROM lines) WHERE rn = 1"""
+  SELECT *, row_number() OVER (
+      PARTITION BY {code} ORDER BY sk, chunk, fk, ck, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn,
+    {times} * count(*) OVER (PARTITION BY {code}) AS visits FROM placed) WHERE rn = 1"""
 
 _HIERARCHY_ROWS = """
 SELECT 'segments' AS table_name, segment_code AS c1, description AS c2, cast(NULL AS varchar) AS c3 FROM segments
@@ -252,9 +265,11 @@ UNION ALL SELECT 'families', count(*), count(DISTINCT family_code) FROM family_v
 UNION ALL SELECT 'classes', count(*), count(DISTINCT class_code) FROM class_visits
 UNION ALL SELECT 'bricks', count(*), count(DISTINCT brick_code) FROM chain
 UNION ALL SELECT 'attribute_types', count(*), count(DISTINCT att_type_code) FROM lines
-UNION ALL SELECT 'attribute_values', count(*), count(DISTINCT att_value_code) FROM lines
+UNION ALL SELECT 'attribute_values', 2 * count(*), count(DISTINCT att_value_code) FROM lines
 UNION ALL SELECT 'brick_attribute_types', count(*), count(DISTINCT (brick_code, att_type_code)) FROM lines
-UNION ALL SELECT 'attribute_type_values', count(*), count(DISTINCT (att_type_code, att_value_code)) FROM lines)"""
+UNION ALL SELECT 'attribute_type_values', 2 * count(*), count(DISTINCT (att_type_code, att_value_code)) FROM lines),
+counts AS (SELECT * FROM counted
+  UNION ALL SELECT 'total', cast(sum(occurrences) AS bigint), cast(sum(unique_rows) AS bigint) FROM counted)"""
 
 
 def _search(table: str, code: str, pattern: str) -> str:
@@ -307,30 +322,58 @@ pages AS (SELECT DISTINCT class_code, total, unnest([1, 2, (total + 4) // 5, (to
 SELECT class_code, total, page, (page - 1) * 5 AS "offset",
   CASE WHEN (page - 1) * 5 + 5 < total THEN page + 1 END AS "next",
   CASE WHEN page > 1 THEN page - 1 END AS "previous" FROM pages""",
-    "segment_detail": f"""WITH {HIERARCHY}, {_children("families", "family_code", "segment_code", "families")}
-SELECT segment_code, description, 0 AS part, coalesce(n, 0) AS n_families, coalesce(items, '') AS families
-FROM segments LEFT JOIN lists USING (segment_code)""",
-    "family_detail": f"""WITH {HIERARCHY}, {_children("classes", "class_code", "family_code", "classes")}
+    "list_past_the_end": _page("segments", "segment_code", "true", 90_000, 100),
+    "list_numbered": _page("bricks", "brick_code", "brick_code ILIKE '%1%' OR description ILIKE '%1%'", 4, 100),
+    "segment_detail": f"""WITH {HIERARCHY}, {_children("families", "family_code", "segment_code")}
+SELECT segment_code, description, position, coalesce(n, 0) AS n_families, family_code, child_description
+FROM segments LEFT JOIN kids USING (segment_code)""",
+    "family_detail": f"""WITH {HIERARCHY}, {_children("classes", "class_code", "family_code")}
 SELECT f.family_code, f.description, f.segment_code, s.description AS segment_description,
   concat_ws(' > ', nullif(s.description, ''), nullif(f.description, '')) AS full_path,
-  0 AS part, coalesce(n, 0) AS n_classes, coalesce(items, '') AS classes
-FROM families f LEFT JOIN segments s USING (segment_code) LEFT JOIN lists USING (family_code)""",
-    "class_detail": f"""WITH {PATHS}, {_children("bricks", "brick_code", "class_code", "bricks")}
-SELECT c.*, 0 AS part, coalesce(n, 0) AS n_bricks, coalesce(items, '') AS bricks
-FROM class_path c LEFT JOIN lists USING (class_code)""",
-    "brick_detail": f"""WITH {PATHS},
+  position, coalesce(n, 0) AS n_classes, class_code, child_description
+FROM families f LEFT JOIN segments s USING (segment_code) LEFT JOIN kids USING (family_code)""",
+    "class_detail": f"""WITH {PATHS}, {_children("bricks", "brick_code", "class_code")}
+SELECT c.*, position, coalesce(n, 0) AS n_bricks, brick_code, child_description
+FROM class_path c LEFT JOIN kids USING (class_code)""",
+    "brick_attributes": f"""WITH {PATHS},
 n_values AS (SELECT att_type_code, count(*) AS n FROM attribute_type_values JOIN attribute_values USING (att_value_code)
   GROUP BY att_type_code),
+kids AS (SELECT brick_code, att_type_code, att_type_text, coalesce(n, 0) AS n_values,
+    row_number() OVER (PARTITION BY brick_code ORDER BY att_type_code) AS position,
+    count(*) OVER (PARTITION BY brick_code) AS n_types
+  FROM brick_attribute_types JOIN attribute_types USING (att_type_code) LEFT JOIN n_values USING (att_type_code))
+SELECT p.*, position, coalesce(n_types, 0) AS n_types, att_type_code, att_type_text, n_values
+FROM brick_path p LEFT JOIN kids USING (brick_code)""",
+    "type_values": f"""WITH {HIERARCHY}
+SELECT att_type_code, att_value_code, att_value_text,
+  row_number() OVER (PARTITION BY att_type_code ORDER BY att_value_code) AS position,
+  count(*) OVER (PARTITION BY att_type_code) AS n_values
+FROM attribute_type_values JOIN attribute_values USING (att_value_code)""",
+    "brick_detail": f"""WITH {PATHS},
+wanted AS (SELECT min(class_code) AS class_code FROM classes GROUP BY family_code),
+value_lists AS (SELECT att_type_code,
+    string_agg(att_value_code || '=' || coalesce(att_value_text, ''), ',' ORDER BY att_value_code) AS vals
+  FROM attribute_type_values JOIN attribute_values USING (att_value_code) GROUP BY att_type_code),
 lists AS (SELECT brick_code, count(*) AS n_types,
-  string_agg(att_type_code || '=' || att_type_text || '#' || coalesce(n, 0), ',' ORDER BY att_type_code) AS attributes
-  FROM brick_attribute_types JOIN attribute_types USING (att_type_code) LEFT JOIN n_values USING (att_type_code)
+    string_agg(att_type_code || '=' || att_type_text || '(' || coalesce(vals, '') || ')', ';' ORDER BY att_type_code)
+      AS attributes
+  FROM brick_attribute_types JOIN attribute_types USING (att_type_code) LEFT JOIN value_lists USING (att_type_code)
   GROUP BY brick_code)
-SELECT p.*, 0 AS part, coalesce(n_types, 0) AS n_types, coalesce(attributes, '') AS attributes
-FROM brick_path p LEFT JOIN lists USING (brick_code)""",
-    "type_values": f"""WITH {HIERARCHY}
-SELECT att_type_code, 0 AS part, count(*) AS n_values,
-  string_agg(att_value_code || '=' || coalesce(att_value_text, ''), ',' ORDER BY att_value_code) AS "values"
-FROM attribute_type_values JOIN attribute_values USING (att_value_code) GROUP BY att_type_code""",
+SELECT p.*, coalesce(n_types, 0) AS n_types, coalesce(attributes, '') AS attributes
+FROM brick_path p LEFT JOIN lists USING (brick_code) WHERE class_code IN (SELECT class_code FROM wanted)""",
+    "lookup_segments": f"""WITH {HIERARCHY}, {_list("families", "family_code", "segment_code")}
+SELECT segment_code, description, coalesce(items, '') AS families FROM segments LEFT JOIN lists USING (segment_code)
+WHERE segment_code IN (SELECT cast(o_custkey AS varchar) FROM orders)""",
+    "lookup_families": f"""WITH {HIERARCHY}, {_list("classes", "class_code", "family_code")}
+SELECT f.family_code, concat_ws(' > ', nullif(s.description, ''), nullif(f.description, '')) AS full_path,
+  coalesce(items, '') AS classes
+FROM families f LEFT JOIN segments s USING (segment_code) LEFT JOIN lists USING (family_code)
+WHERE f.family_code IN (SELECT cast(l_suppkey AS varchar) FROM lineitem)""",
+    "lookup_classes": f"""WITH {PATHS}, {_list("bricks", "brick_code", "class_code")}
+SELECT class_code, full_path, coalesce(items, '') AS bricks FROM class_path LEFT JOIN lists USING (class_code)
+WHERE class_code IN (SELECT cast(p_partkey AS varchar) FROM part)""",
+    "lookup_bricks": f"""WITH {PATHS} SELECT brick_code, class_code, full_path FROM brick_path
+WHERE brick_code IN (SELECT cast(c_custkey AS varchar) FROM customer)""",
     "missing_codes": f"""WITH {HIERARCHY} SELECT DISTINCT att_type_code AS class_code FROM brick_attribute_types b
 WHERE NOT EXISTS (SELECT 1 FROM classes c WHERE c.class_code = b.att_type_code)""",
     "search_all": f"WITH {HIERARCHY} "
@@ -349,7 +392,7 @@ UNION ALL SELECT 'classes', family_code, count(*) FROM class_visits WHERE family
   SELECT family_code FROM families WHERE segment_code IN ('1', '3', '7')) GROUP BY 2
 UNION ALL SELECT 'bricks', class_code, count(*) FROM kept_chain GROUP BY 2
 UNION ALL SELECT 'attribute_types', brick_code, count(*) FROM kept_lines GROUP BY 2
-UNION ALL SELECT 'attribute_values', att_type_code, count(*) FROM kept_lines GROUP BY 2""",
+UNION ALL SELECT 'attribute_values', att_type_code, 2 * count(*) FROM kept_lines GROUP BY 2""",
     "ingest_flatten_hierarchy": f"""WITH {VISITS}, counts AS (
   SELECT 'segments' AS table_name, segment_code AS c1, count(*) AS visits FROM segment_visits GROUP BY ALL
   UNION ALL SELECT 'families', family_code, count(*) FROM family_visits GROUP BY ALL
@@ -358,20 +401,26 @@ UNION ALL SELECT 'attribute_values', att_type_code, count(*) FROM kept_lines GRO
 SELECT table_name, c1 AS code, c2 AS text, c3 AS parent_code, visits FROM ({_HIERARCHY_ROWS}) JOIN counts USING (table_name, c1)""",
     "ingest_flatten_attributes": f"WITH {VISITS} "
     + _FIRST_TEXT.format(
-        table="attribute_types", code="att_type_code", text="'Part ' || att_type_code || ' ' || l_returnflag"
+        table="attribute_types", code="att_type_code", text="'Part ' || att_type_code || ' ' || l_returnflag", times=1
     )
     + " UNION ALL "
     + _FIRST_TEXT.format(
-        table="attribute_values", code="att_value_code", text="'Supplier ' || att_value_code || ' ' || l_linestatus"
+        table="attribute_values", code="att_value_code", text="'Supplier ' || att_value_code || ' ' || l_linestatus", times=2
     ),
     "ingest_junctions": f"""WITH {VISITS}
 SELECT 'attribute_types' AS table_name, brick_code AS parent_code, att_type_code AS code, count(*) AS visits
 FROM lines GROUP BY ALL
-UNION ALL SELECT 'attribute_values', att_type_code, att_value_code, count(*) FROM lines GROUP BY ALL""",
+UNION ALL SELECT 'attribute_values', att_type_code, att_value_code, 2 * count(*) FROM lines GROUP BY ALL""",
+    "ingest_first_sound": f"""WITH {VISITS}
+SELECT family_code AS code, CASE WHEN count(*) > 1 THEN any_value(segment_code) END AS parent_code,
+  any_value(description) AS text, count(*) AS visits, 1 AS unsound
+FROM family_visits JOIN (SELECT family_code, description FROM families) USING (family_code) GROUP BY family_code""",
     "ingest_counts": f"""WITH {VISITS}, {_COUNTS}
-SELECT * FROM counted
-UNION ALL SELECT 'total', cast(sum(occurrences) AS bigint), cast(sum(unique_rows) AS bigint) FROM counted""",
-    "ingest_roundtrip": f"""WITH {HIERARCHY} {_HIERARCHY_ROWS}
+SELECT * FROM counts""",
+    "ingest_roundtrip": f"""WITH {VISITS}, {_COUNTS} {_HIERARCHY_ROWS}
+UNION ALL SELECT 'import_counts', table_name, cast(occurrences AS varchar), cast(unique_rows AS varchar) FROM counts
+UNION ALL SELECT 'gpc_metadata', key, value, NULL FROM (VALUES ('xml_date', '11/27/2025'),
+  ('xml_source', 'en-v20251127.xml'), ('food_segments', 'all'), ('gpc_version', '20251127')) AS m(key, value)
 UNION ALL SELECT 'attribute_types', att_type_code, 'Part ' || att_type_code, NULL FROM brick_attribute_types GROUP BY ALL
 UNION ALL SELECT 'attribute_values', att_value_code, 'Supplier ' || att_value_code, NULL FROM attribute_type_values GROUP BY ALL
 UNION ALL {_JUNCTION_ROWS}""",
@@ -398,6 +447,9 @@ SELECT o_orderkey, stored, candidate, version_status,
   FROM events)
 SELECT event_id, cast(floor(us / 60000000) AS bigint) AS elapsed_minutes, coalesce(us >= 86400000000, true) AS stale FROM e""",
     "metadata_upsert": """SELECT event_type || '/' || user_id AS key, 'v' || max(event_id) AS value
+FROM events GROUP BY 1""",
+    "metadata_replace": """SELECT event_type || '/' || user_id AS key,
+  coalesce('v' || max(CASE WHEN event_id % 3 = 0 THEN event_id END), max('v' || event_id)) AS value
 FROM events GROUP BY 1""",
     "metadata_lookup": """SELECT 'v' || max(event_id) AS value FROM events
 WHERE event_type = 'signup' AND user_id = 1 HAVING count(*) > 0""",

@@ -12,12 +12,14 @@ from pantryline.functions.text import fallback_label, sorted_csv, tag_label, tit
 from pantryline.functions.versions import file_stem, strip_v, version_from_path, version_status
 from pantryline.operators.dedup import first_wins
 from pantryline.operators.integrity import null_keys, orphans
-from pantryline.operators.paging import next_page, number_rows, previous_page
+from pantryline.operators.paging import next_page, number_rows, numbered_page, previous_page
 from pantryline.plans import ingest, products, refresh, search, taxonomy as tx
 from pantryline.plans.categories import map_categories
 from pantryline.plans.reconcile import reconcile
 from pantryline.session import work_dir
 from pantryline.sources import metadata
+from pantryline.sources.products import read_fdc, read_off
+from pantryline.sources.tables import read_table
 from pantryline.sources.taxonomy_xml import write_segments
 from pantryline.streaming.enrich import enrich, write_stream
 from pantryline.suite import standins as s
@@ -118,80 +120,117 @@ def page_info(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def list_past_the_end(spark: SparkSession, sf: str) -> DataFrame:
+    """Only the envelope: no row is there."""
+    return tx.list_level(s.taxonomy(spark, sf), "segment", page=90_000, page_size=100).flat()
+
+
+@query
+def list_numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """A page from rows numbered in parallel."""
+    bricks = tx.matching(s.taxonomy(spark, sf), "brick", "1")
+    return numbered_page(bricks, "brick_code", page=4, page_size=100).flat()
+
+
 @query
 def segment_detail(spark: SparkSession, sf: str) -> DataFrame:
-    return tx.segment_detail(s.taxonomy(spark, sf)).select(
-        "segment_code",
-        "description",
-        "part",
-        F.size("families").alias("n_families"),
-        pairs_text(F.col("families"), "family_code", "description").alias("families"),
-    )
+    return tx.child_rows(s.taxonomy(spark, sf), "segment")
 
 
 @query
 def family_detail(spark: SparkSession, sf: str) -> DataFrame:
-    return tx.family_detail(s.taxonomy(spark, sf)).select(
-        "family_code",
-        "description",
-        "segment_code",
-        F.col("segment_code_details.segment_description").alias("segment_description"),
-        "full_path",
-        "part",
-        F.size("classes").alias("n_classes"),
-        pairs_text(F.col("classes"), "class_code", "description").alias("classes"),
-    )
+    rows = tx.child_rows(s.taxonomy(spark, sf), "family")
+    details = F.col("segment_code_details.segment_description").alias("segment_description")
+    return rows.select(*[c for c in rows.columns if c != "segment_code_details"], details)
 
 
 @query
 def class_detail(spark: SparkSession, sf: str) -> DataFrame:
-    return tx.class_detail(s.taxonomy(spark, sf)).select(
-        "class_code",
-        "description",
+    rows = tx.child_rows(s.taxonomy(spark, sf), "class")
+    return rows.select(
+        *[c for c in rows.columns if c not in ("family_code_details", "family_code")],
         F.col("family_code_details.family_code").alias("family_code"),
         F.col("family_code_details.description").alias("family_description"),
         F.col("family_code_details.segment_code").alias("segment_code"),
         F.col("family_code_details.segment_description").alias("segment_description"),
-        "full_path",
-        "part",
-        F.size("bricks").alias("n_bricks"),
-        pairs_text(F.col("bricks"), "brick_code", "description").alias("bricks"),
     )
 
 
+_CLASS_REF = ["class_code", "description", "family_code", "family_description", "segment_code", "segment_description"]
+
+
+def _class_ref() -> list[Column]:
+    return [
+        F.col(f"class_code_details.{c}").alias("class_description" if c == "description" else c) for c in _CLASS_REF
+    ]
+
+
 @query
-def brick_detail(spark: SparkSession, sf: str) -> DataFrame:
+def brick_attributes(spark: SparkSession, sf: str) -> DataFrame:
     """All bricks with their attribute types; `type_values` has the values, once per type."""
-    entry = lambda x: F.concat(
-        x["att_type_code"], F.lit("="), x["att_type_text"], F.lit("#"), x["n_values"].cast("string")
-    )
-    ref = [
-        "class_code", "description", "family_code", "family_description", "segment_code", "segment_description",
-    ]
     return tx.brick_attributes(s.taxonomy(spark, sf)).select(
+        "brick_code", "description", *_class_ref(), "full_path", "position", "n_types", "att_type_code", "att_type_text",
+        "n_values",
+    )
+
+
+@query
+def type_values(spark: SparkSession, sf: str) -> DataFrame:
+    return tx.type_values(s.taxonomy(spark, sf))
+
+
+@query
+def brick_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """The bricks of the families' first classes, nested: types, each with its values."""
+    t = s.taxonomy(spark, sf)
+    classes = t.classes.groupBy("family_code").agg(F.min("class_code").alias("class_code"))
+    bricks = t.bricks.join(classes, "class_code", "left_semi").select("brick_code")
+    entry = lambda x: F.concat(
+        x["att_type_code"], F.lit("="), x["att_type_text"], F.lit("("),
+        pairs_text(x["values"], "att_value_code", "att_value_text"), F.lit(")"),
+    )
+    return tx.brick_detail(t, bricks).select(
         "brick_code",
-        F.col("description"),
-        *[
-            F.col(f"class_code_details.{c}").alias("class_description" if c == "description" else c)
-            for c in ref
-        ],
+        "description",
+        *_class_ref(),
         "full_path",
-        "part",
         F.size("attributes").alias("n_types"),
-        F.array_join(F.transform("attributes", entry), ",").alias("attributes"),
+        F.array_join(F.transform("attributes", entry), ";").alias("attributes"),
     )
 
 
 @query
-def type_values(spark: SparkSession, sf: str) -> DataFrame:
-    return tx.type_values(s.taxonomy(spark, sf)).select(
-        "att_type_code",
-        "part",
-        F.size("values").alias("n_values"),
-        pairs_text(F.col("values"), "att_value_code", "att_value_text").alias("values"),
+def lookup_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments by a table of codes, some of which aren't there, with their families nested."""
+    codes = s.table(spark, sf, "orders").select(s.text("o_custkey"))
+    return tx.segment_detail(s.taxonomy(spark, sf), codes).select(
+        "segment_code", "description", pairs_text(F.col("families"), "family_code", "description").alias("families")
+    )
+
+
+@query
+def lookup_families(spark: SparkSession, sf: str) -> DataFrame:
+    codes = s.table(spark, sf, "lineitem").select(s.text("l_suppkey"))
+    return tx.family_detail(s.taxonomy(spark, sf), codes).select(
+        "family_code", "full_path", pairs_text(F.col("classes"), "class_code", "description").alias("classes")
     )
 
 
+@query
+def lookup_classes(spark: SparkSession, sf: str) -> DataFrame:
+    codes = s.table(spark, sf, "part").select(s.text("p_partkey"))
+    return tx.class_detail(s.taxonomy(spark, sf), codes).select(
+        "class_code", "full_path", pairs_text(F.col("bricks"), "brick_code", "description").alias("bricks")
+    )
+
+
+@query
+def lookup_bricks(spark: SparkSession, sf: str) -> DataFrame:
+    codes = s.table(spark, sf, "customer").select(s.text("c_custkey"))
+    return tx.brick_path(s.taxonomy(spark, sf), codes).select("brick_code", "class_code", "full_path")
+
+
 @query
 def missing_codes(spark: SparkSession, sf: str) -> DataFrame:
     t = s.taxonomy(spark, sf)
@@ -229,7 +268,15 @@ def ingest_segment_filter(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def ingest_flatten_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     levels = ("segments", "families", "classes", "bricks")
-    return ingest.first_visits(ingest.visits(s.documents(spark, sf, attributes=False), levels))
+    return ingest.first_visits(ingest.visits(s.documents(spark, sf, attributes=False), levels)).drop("unsound")
+
+
+@query
+def ingest_first_sound(spark: SparkSession, sf: str) -> DataFrame:
+    """Families whose first visits, in the segments' own documents, have lost their parent."""
+    seen = ingest.visits(s.documents(spark, sf, attributes=False), ("families",))
+    lost = F.when(F.col("ord.ord.kind") > 0, F.col("parent_code"))
+    return ingest.first_visits(seen.withColumn("parent_code", lost)).drop("table_name")
 
 
 @query
@@ -263,13 +310,19 @@ def _tables_union(tables: dict[str, DataFrame], names: list[str]) -> DataFrame:
 
 @query
 def ingest_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Written as XML, ingested from it into published tables, read back."""
+    """Written as XML, ingested from it into published tables, read back, with metadata and counts."""
     base = work_dir(spark, "roundtrip")
     xml = f"{base}/en-v20251127.xml"
     write_segments(s.documents(spark, sf, varied=False), xml, "11/27/2025")
-    ingest.ingest_taxonomy(spark, xml, f"{base}/out", "20251127", segments=None)
+    counts = ingest.ingest_taxonomy(spark, xml, f"{base}/out", "20251127", segments=None)
     t = tx.Taxonomy.read(spark, f"{base}/out")
-    return _tables_union(t.tables(), list(t.tables()))
+    # The source without its folder, and no time stamp: both differ from run to run.
+    value = F.when(F.col("key") == "xml_source", F.substring_index("value", "/", -1)).otherwise(F.col("value"))
+    stored = read_table(spark, f"{base}/out", "gpc_metadata").filter("key <> 'import_timestamp'")
+    stored = stored.select("key", value.alias("value"))
+    counted = counts.select("table_name", *[F.col(c).cast("string") for c in ("occurrences", "unique_rows")])
+    extra = {"gpc_metadata": stored, "import_counts": counted}
+    return _tables_union({**t.tables(), **extra}, [*t.tables(), *extra])
 
 
 @query
@@ -382,11 +435,20 @@ def staleness(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def metadata_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Later writes replace earlier ones of the same key; the halves share most keys, not their values."""
     rows = s.metadata_rows(spark, sf)
-    old, new = rows.filter(F.col("key") < "purchase"), rows.filter(F.col("key") >= "click/5")
+    old, new = rows.filter(F.col("seq") % 2 == 0), rows.filter(F.col("seq") % 2 == 1)
     return metadata.upsert(old, new, "seq")
 
 
+@query
+def metadata_replace(spark: SparkSession, sf: str) -> DataFrame:
+    """Without numbers the new side wins, whatever the values."""
+    rows = s.metadata_rows(spark, sf)
+    newest = metadata.upsert(rows.filter(F.col("seq") % 3 == 0), rows.limit(0), "seq")
+    return metadata.upsert(rows.groupBy("key").agg(F.max("value").alias("value")), newest)
+
+
 @query
 def metadata_lookup(spark: SparkSession, sf: str) -> DataFrame:
     rows = s.metadata_rows(spark, sf)
@@ -447,7 +509,9 @@ def _csv(name: str) -> Column:
 def off_product(spark: SparkSession, sf: str) -> DataFrame:
     gtins = s.table(spark, sf, "lineitem").select(s.text("l_suppkey"))
     wanted = gtins.union(s.table(spark, sf, "orders").select(s.text("o_orderkey")))
-    return products.off_products(s.off_raw(spark, sf), wanted).select(
+    dump = work_dir(spark, "off")
+    s.off_dump(spark, sf, dump)
+    return products.off_products(read_off(spark, dump), wanted).select(
         "barcode",
         "product_name",
         "brands",
@@ -476,12 +540,10 @@ def usda_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def usda_food(spark: SparkSession, sf: str) -> DataFrame:
-    """Full records with their nutrient map. One row per food and name is left before nesting."""
-    entry = F.struct("name", "amount", "unit_name")
-    rows = products.nutrient_rows(s.fdc_nutrients(spark, sf), "seq")
-    lists = rows.groupBy("fdc_id").agg(F.collect_list(entry).alias("nutrients"))
-    raw = s.fdc_foods(spark, sf).join(lists, "fdc_id", "left")
-    foods = products.fdc_foods(raw)
+    """Full records from a dump, with their nutrient map; of repeated names the last one stays."""
+    dump = work_dir(spark, "fdc")
+    s.fdc_dump(spark, sf, dump)
+    foods = products.fdc_foods(read_fdc(spark, dump))
     units = F.transform_values("nutrients", lambda k, v: v["unit"])
     return foods.select(
         *[c for c in foods.columns if c != "nutrients"],

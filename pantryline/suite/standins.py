@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pantryline.functions.nutrients import FDC_NUTRIENTS
-from pantryline.operators.groups import nested_list
 from pantryline.plans.taxonomy import Taxonomy, class_path
 
+# So many order keys share the documents of a segment; those of the next ones continue in further documents.
+DOCUMENT_KEYS = 16384
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -77,110 +79,93 @@ def part_taxonomy(spark: SparkSession, sf: str) -> Taxonomy:
 # ---- documents to ingest --------------------------------------------------------
 
 
+def _collected(rows: DataFrame, keys: list[str], order: str, element: Column, name: str) -> DataFrame:
+    """The elements of each group of keys, in order, as an array."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).cast("bigint").alias("at"), element.alias("x"))))
+    return rows.groupBy(*keys).agg(F.transform(listed, lambda e: e["x"]).alias(name))
+
+
 def documents(
     spark: SparkSession, sf: str, varied: bool = True, attributes: bool = True
 ) -> DataFrame:
-    """`segment` documents as the XML reader gives them.
+    """`segment` documents as the XML reader gives them, with siblings at every level.
 
-    One per order with its lines as attribute types (an order with very many lines
-    gives several documents), one per customer, one per part. Repeated elements are the
-    rule. With `varied`, the texts of a type or value differ between lines; without
-    `attributes`, bricks have no types.
+    One document per segment with all its families and classes; then documents with bricks: several
+    families, classes, bricks, types and values below each other, for DOCUMENT_KEYS order keys, so a
+    large class continues in the next document. Each value is followed by one of the same code and
+    another text, which never comes first. With `varied`, the texts of a type or value differ
+    between lines; without `attributes`, bricks have no types.
     """
     t = taxonomy(spark, sf)
     suffix = [F.lit(" "), F.col("l_returnflag")] if varied else []
     value_suffix = [F.lit(" "), F.col("l_linestatus")] if varied else []
-    lines = table(spark, sf, "lineitem").select(
-        text("l_orderkey").alias("brick_code"),
-        "l_linenumber",
-        "l_partkey",
-        "l_suppkey",
-        F.struct(
-            text("l_partkey").alias("_code"),
-            F.concat(F.lit("Part "), text("l_partkey"), *suffix).alias("_text"),
-            F.array(
-                F.struct(
-                    text("l_suppkey").alias("_code"),
-                    F.concat(F.lit("Supplier "), text("l_suppkey"), *value_suffix).alias("_text"),
-                )
-            ).alias("attValue"),
-        ).alias("attType"),
+    value = lambda *end: F.struct(
+        text("l_suppkey").alias("_code"), F.concat(F.lit("Supplier "), text("l_suppkey"), *end).alias("_text")
+    )
+    att_type = F.struct(
+        text("l_partkey").alias("_code"),
+        F.concat(F.lit("Part "), text("l_partkey"), *suffix).alias("_text"),
+        F.array(value(*value_suffix), value(F.lit(" again"))).alias("attValue"),
+    )
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", att_type.alias("x"))
+    types = (
+        table(spark, sf, "lineitem")
+        .groupBy(text("l_orderkey").alias("brick_code"))
+        .agg(F.transform(F.array_sort(F.collect_list(line)), lambda e: e["x"]).alias("attType"))
     )
-    types = nested_list(
-        lines, "brick_code", ["l_linenumber", "l_partkey", "l_suppkey", "attType"], "lines"
-    ).select("brick_code", "part", F.transform("lines", lambda x: x["attType"]).alias("attType"))
     if attributes:
         with_types = t.bricks.join(types, "brick_code", "left")
     else:
-        none = F.lit(None).cast(types.schema["attType"].dataType)
-        with_types = t.bricks.select("*", F.lit(0).alias("part"), none.alias("attType"))
+        with_types = t.bricks.withColumn("attType", F.lit(None).cast(types.schema["attType"].dataType))
 
     upper = class_path(t)
+    brick = F.struct(F.col("brick_code").alias("_code"), F.col("brick_text").alias("_text"), "attType")
+    segment = ["segment_code", "segment_description", "chunk"]
+    family, cls = ["family_code", "family_description"], ["class_code", "description"]
+    # Dealt by document once; every grouping below stays in place.
     bricks = (
         with_types.withColumnRenamed("description", "brick_text")
         .join(upper, "class_code")
-        .select(
-            F.struct(
-                F.lit(2).alias("kind"),
-                F.col("brick_code").cast("bigint").alias("key"),
-                F.coalesce("part", F.lit(0)).alias("part"),
-            ).alias("ord"),
-            "*",
-            F.struct(
-                F.col("brick_code").alias("_code"), F.col("brick_text").alias("_text"), "attType"
-            ).alias("brick"),
-        )
+        .filter(F.col("segment_description").isNotNull())
+        .withColumn("chunk", F.expr(f"cast(brick_code as bigint) div {DOCUMENT_KEYS}"))
+        .repartition("segment_code", "chunk")
     )
-    no_brick = bricks.schema["brick"].dataType
-    classes = upper.select(
-        F.struct(
-            F.lit(0).alias("kind"), F.col("class_code").cast("bigint").alias("key"), F.lit(0).alias("part")
-        ).alias("ord"),
-        "*",
-        F.lit(None).cast(no_brick).alias("brick"),
-    )
-
-    def nest(rows: DataFrame) -> DataFrame:
-        cls = F.struct(
-            F.col("class_code").alias("_code"),
-            F.col("description").alias("_text"),
-            F.when(F.col("brick").isNotNull(), F.array("brick")).alias("brick"),
+    per_class = _collected(bricks, [*segment, *family, *cls], "brick_code", brick, "brick")
+    no_brick = F.lit(None).cast(per_class.schema["brick"].dataType)
+
+    def nested(classes: DataFrame, kind: int, parents: list[str]) -> DataFrame:
+        """Classes with their bricks as documents; a class or family code of null stands for none."""
+        one = F.when(
+            F.col("class_code").isNotNull(),
+            F.struct(F.col("class_code").alias("_code"), F.col("description").alias("_text"), "brick"),
         )
-        family = F.struct(
-            F.col("family_code").alias("_code"),
-            F.col("family_description").alias("_text"),
-            F.array(cls).alias("class"),
+        families = _collected(classes, [*parents, *family], "class_code", one, "class").withColumn(
+            "class", F.filter("class", lambda c: c.isNotNull())
         )
-        return rows.select(
-            "ord",
-            F.lit(True).alias("lead"),
-            F.col("segment_code").alias("_code"),
-            F.col("segment_description").alias("_text"),
-            F.array(family).alias("family"),
+        whole = F.when(
+            F.col("family_code").isNotNull(),
+            F.struct(F.col("family_code").alias("_code"), F.col("family_description").alias("_text"), "class"),
         )
-
-    with_classes = nest(classes).unionByName(nest(bricks))
-    no_class = with_classes.schema["family"].dataType.elementType["class"].dataType
-    families = (
-        t.families.withColumnRenamed("description", "family_text")
-        .join(t.segments, "segment_code")
-        .select(
+        docs = _collected(families, parents, "family_code", whole, "family")
+        return docs.select(
             F.struct(
-                F.lit(1).alias("kind"), F.col("family_code").cast("bigint").alias("key"), F.lit(0).alias("part")
+                F.lit(kind).alias("kind"), F.col("segment_code").cast("bigint").alias("key"), F.col("chunk").alias("part")
             ).alias("ord"),
             F.lit(True).alias("lead"),
             F.col("segment_code").alias("_code"),
-            F.col("description").alias("_text"),
-            F.array(
-                F.struct(
-                    F.col("family_code").alias("_code"),
-                    F.col("family_text").alias("_text"),
-                    F.lit(None).cast(no_class).alias("class"),
-                )
-            ).alias("family"),
+            F.col("segment_description").alias("_text"),
+            F.filter("family", lambda f: f.isNotNull()).alias("family"),
         )
+
+    # By the fixed ratios a segment has 20 families, and these few classes each.
+    skeleton = (
+        t.segments.withColumnRenamed("description", "segment_description")
+        .join(t.families.withColumnRenamed("description", "family_description"), "segment_code", "left")
+        .join(t.classes, "family_code", "left")
+        .withColumns({"chunk": F.lit(-1).cast("bigint"), "brick": no_brick})
+        .repartition("segment_code", "chunk")
     )
-    return with_classes.unionByName(families)
+    return nested(skeleton, 0, segment).unionByName(nested(per_class, 1, segment))
 
 
 # ---- products -------------------------------------------------------------------
@@ -272,6 +257,25 @@ def fdc_nutrients(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def off_dump(spark: SparkSession, sf: str, path: str) -> None:
+    """The crowdsourced products as a JSON dump."""
+    off_raw(spark, sf).write.json(path)
+
+
+def fdc_dump(spark: SparkSession, sf: str, path: str) -> None:
+    """The laboratory foods with their nutrient lists, repeated names left in, as a JSON dump.
+
+    An order has few lines, so its list is short.
+    """
+    entry = F.struct("seq", "name", "amount", "unit_name")
+    listed = F.transform(
+        F.array_sort(F.collect_list(entry)),
+        lambda e: F.struct(e["name"].alias("name"), e["amount"].alias("amount"), e["unit_name"].alias("unit_name")),
+    )
+    lists = fdc_nutrients(spark, sf).groupBy("fdc_id").agg(listed.alias("nutrients"))
+    fdc_foods(spark, sf).join(lists, "fdc_id", "left").write.json(path)
+
+
 def metadata_rows(spark: SparkSession, sf: str) -> DataFrame:
     """(key, value, seq): metadata writes, one per event."""
     return table(spark, sf, "events").select(

@@ -176,6 +176,36 @@ def test_refresh_replaces_the_current_version(spark, tmp_path):
     assert Taxonomy.read(spark, out, "1").bricks.count() == 4
 
 
+FIRST_UNSOUND = """<schema><segment code="50000000" text="s"><family code="f1" text="f">
+  <class text="no code"><brick code="b1" text="without a class"/><brick code="b1" text="again"/></class>
+  <class code="c1" text="kept"><brick code="b1" text="sound"/><brick code="b1" text="late"/></class></family></segment></schema>"""
+
+
+def test_a_later_sound_visit_wins(spark, tmp_path):
+    path, out = tmp_path / "first.xml", str(tmp_path / "out")
+    path.write_text(FIRST_UNSOUND)
+    ingest.ingest_taxonomy(spark, str(path), out, "1")
+    assert rows(Taxonomy.read(spark, out).bricks) == [("b1", "sound", "c1")]
+    assert rows(tables.read_table(spark, out, "skipped_visits")) == [("bricks", "b1", 2)]
+
+
+def test_a_failed_import_leaves_the_published_version(spark, tmp_path):
+    path, out = tmp_path / "broken.xml", str(tmp_path / "out")
+    path.write_text(ORPHANS)
+    ingest.ingest_taxonomy(spark, XML, out, "1")
+    held = Taxonomy.read(spark, out, "1").bricks
+    with pytest.raises(ValueError):
+        ingest.ingest_taxonomy(spark, str(path), out, "1")
+    assert tables.current_version(spark, out) == "1"
+    assert set(rows(held)) == set(rows(Taxonomy.read(spark, out).bricks)) == BRICKS
+    # A new import of the same version replaces it for new readers only.
+    ingest.ingest_taxonomy(spark, XML, out, "1", segments=("60000000",))
+    assert set(rows(held)) == BRICKS
+    assert rows(Taxonomy.read(spark, out, "1").bricks) == [("10000009", "Yarn", "60101500")]
+    with pytest.raises(FileNotFoundError):
+        tables.folder_of(spark, out, "9")
+
+
 def test_metadata_upsert(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string")
     new = spark.createDataFrame([("b", "1"), ("c", "3")], "key string, value string")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from pantryline.operators.containment import first_containing
 from pantryline.operators.dedup import first_wins, last_wins, one_per_key
-from pantryline.operators.groups import attach_lists, nested_list, split_groups
+from pantryline.operators.groups import attach_lists, nested_list, numbered_children, with_children
 from pantryline.operators.integrity import missing_keys, null_keys, orphans
-from pantryline.operators.paging import number_rows, page_after, page_of
+from pantryline.operators.paging import MAX_TOP_ROWS, number_rows, numbered_page, page_after, page_of
+from pantryline.operators.skew import SALTS, SHARE, hot_keys, join_parent
 
 
 def test_first_wins_ignores_input_order(spark):
@@ -39,28 +40,44 @@ def skewed(spark):
     return spark.createDataFrame(rows, "p string, c string"), rows
 
 
-def test_hot_group_is_split_whole_and_bounded(spark):
+def test_children_of_a_hot_parent_keep_their_order(spark):
     df, rows = skewed(spark)
-    parts = nested_list(df, "p", ["c"], "items", part_rows=100).collect()
-    sizes = {}
-    content = {}
-    for r in parts:
-        items = [x["c"] for x in r["items"]]
-        assert items == sorted(items)
-        sizes.setdefault(r["p"], []).append(len(items))
-        content.setdefault(r["p"], []).extend(items)
-    assert sum(map(len, content.values())) == len(rows)
-    for p, c in rows:
-        assert p in content
-    assert sorted(content["hot"]) == sorted(c for p, c in rows if p == "hot")
-    assert len(sizes["hot"]) == 30 and max(sizes["hot"]) < 200
-    assert all(len(s) == 1 for p, s in sizes.items() if p != "hot")
-
-
-def test_split_by_weight(spark):
-    df = spark.createDataFrame([("a", i, 50) for i in range(100)], "k string, i int, w int")
-    parts = split_groups(df, "k", ["i"], part_rows=500, weight=F.col("w")).select("part").distinct().count()
-    assert parts == 10
+    got = numbered_children(df.repartition(7), "p", "c", "n").collect()
+    want = {}
+    for p, c in sorted(rows):
+        want.setdefault(p, []).append(c)
+    assert len(got) == len(rows)
+    for r in got:
+        assert want[r["p"]][r["position"] - 1] == r["c"] and r["n"] == len(want[r["p"]])
+
+
+def test_childless_parents_have_one_row(spark):
+    parents = spark.createDataFrame([("hot", 1), ("none", 2)], "p string, x int")
+    df, _ = skewed(spark)
+    got = with_children(parents, numbered_children(df, "p", "c", "n"), "p", "n")
+    assert got.filter("p = 'hot'").count() == 3000
+    assert [tuple(r) for r in got.filter("p = 'none'").collect()] == [("none", 2, None, None, 0)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_join_parent_equals_a_plain_join(spark, how):
+    df, _ = skewed(spark)
+    rows = df.unionByName(spark.createDataFrame([(None, f"n{i}") for i in range(50)] + [("absent", "z")], "p string, c string"))
+    parents = df.select("p").distinct().filter("p <> 'p5'").withColumn("x", F.length("p"))
+    if how in ("left_semi", "left_anti"):
+        parents = parents.select("p")
+    got = join_parent(rows, parents, "p", how)
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(parents, "p", how).collect()))
+    assert join_parent(rows.limit(0), parents, "p", how).count() == 0
+
+
+def test_hot_keys_are_few_and_spread(spark):
+    df, _ = skewed(spark)
+    assert [r["p"] for r in hot_keys(df, "p").collect()] == ["hot"]
+    many = spark.range(5000).withColumn("k", F.col("id") % 150)
+    assert hot_keys(many, "k").count() < SHARE
+    salted = df.filter("p = 'hot'").select(F.pmod(F.xxhash64("p", "c"), F.lit(SALTS)).alias("g")).groupBy("g").count()
+    assert salted.agg(F.max("count")).first()[0] < 3000 / 10
 
 
 def test_parent_without_children_gets_empty_list(spark):
@@ -163,8 +180,28 @@ def test_number_rows(spark, partitions):
     assert number_rows(df.limit(0), "code").count() == 0
 
 
-def test_deep_page_equals_shallow_page(spark):
-    df = spark.createDataFrame([(str(i),) for i in range(300)], "code string").repartition(3)
+def test_every_way_to_a_page_gives_the_same(spark):
+    codes = sorted(str(i) for i in range(300))
+    df = spark.createDataFrame([(c,) for c in codes], "code string").repartition(3)
     for page in (1, 7, 15, 16):
-        want = [r[0] for r in page_of(df, "code", page, 20).rows.collect()]
-        assert [r[0] for r in page_of(df, "code", page, 20, deep_rows=0).rows.collect()] == want
+        want = codes[(page - 1) * 20 : page * 20]
+        for way in (page_of, numbered_page):
+            got = way(df, "code", page, 20)
+            assert [r[0] for r in got.rows.collect()] == want
+            assert got.info.first()["count"] == 300
+    with pytest.raises(ValueError, match="numbered_page"):
+        page_of(df, "code", MAX_TOP_ROWS, 20)
+
+
+def test_an_empty_page_has_its_envelope(spark):
+    df = spark.createDataFrame([(str(i),) for i in range(40)], "code string")
+    for way in (page_of, numbered_page):
+        assert [tuple(r) for r in way(df, "code", 9, 20).flat().collect()] == [(None, 40, None, 8)]
+        assert [tuple(r) for r in way(df.limit(0), "code", 1, 20).flat().collect()] == [(None, 0, None, None)]
+        assert len(way(df, "code", 2, 20).flat().collect()) == 20
+
+
+def test_numbering_by_several_columns_and_few_ranges(spark):
+    df, rows = skewed(spark)
+    got = {(r["p"], r["c"]): r["position"] for r in number_rows(df, ["p", "c"], ranges=2).collect()}
+    assert got == {row: i for i, row in enumerate(sorted(rows), 1)}

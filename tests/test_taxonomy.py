@@ -45,7 +45,8 @@ def test_brick_path(t):
 
 
 def test_segment_detail(t):
-    got = {r["segment_code"]: [f["family_code"] for f in r["families"]] for r in tx.segment_detail(t).collect()}
+    details = tx.segment_detail(t, ["1", "2", "3"]).collect()
+    got = {r["segment_code"]: [f["family_code"] for f in r["families"]] for r in details}
     assert got == {"1": ["11", "12", "13"], "2": ["21"], "3": []}
     one = tx.segment_detail(t, ["2"]).collect()
     assert len(one) == 1 and one[0]["families"][0]["description"] == "Misc"
@@ -53,7 +54,7 @@ def test_segment_detail(t):
 
 
 def test_family_detail(t):
-    got = {r["family_code"]: r for r in tx.family_detail(t).collect()}
+    got = {r["family_code"]: r for r in tx.family_detail(t, ["11", "12", "21"]).collect()}
     assert got["11"]["full_path"] == "Food > Fruit"
     assert got["11"]["segment_code_details"].asDict() == {"segment_code": "1", "segment_description": "Food"}
     assert [(c["class_code"], c["description"]) for c in got["11"]["classes"]] == [("111", "Fresh"), ("112", "")]
@@ -62,7 +63,7 @@ def test_family_detail(t):
 
 
 def test_class_detail(t):
-    got = {r["class_code"]: r for r in tx.class_detail(t).collect()}
+    got = {r["class_code"]: r for r in tx.class_detail(t, ["111", "999"]).collect()}
     assert got["111"]["full_path"] == "Food > Fruit > Fresh"
     assert got["111"]["family_code_details"].asDict() == {
         "family_code": "11", "description": "Fruit", "segment_code": "1", "segment_description": "Food",
@@ -94,21 +95,24 @@ def test_whole_table_form_has_the_same_content(t):
         for r in tx.brick_detail(t, codes).collect()
         for a in r["attributes"]
     }
-    values = {r["att_type_code"]: [tuple(v) for v in r["values"]] for r in tx.type_values(t).collect()}
+    values = {}
+    for r in tx.type_values(t).orderBy("att_type_code", "position").collect():
+        values.setdefault(r["att_type_code"], []).append((r["att_value_code"], r["att_value_text"]))
+        assert r["position"] == len(values[r["att_type_code"]])
     factored = {}
     for r in tx.brick_attributes(t).collect():
-        for a in r["attributes"]:
-            factored[r["brick_code"], a["att_type_code"]] = values.get(a["att_type_code"], [])
-            assert a["n_values"] == len(values.get(a["att_type_code"], []))
+        if r["n_types"]:
+            factored[r["brick_code"], r["att_type_code"]] = values.get(r["att_type_code"], [])
+            assert r["n_values"] == len(values.get(r["att_type_code"], []))
     assert factored == detail
+    assert {r["brick_code"] for r in tx.brick_attributes(t).collect()} == set(codes)
 
 
-def test_detail_in_parts_is_whole(t):
-    whole = {r["segment_code"]: sorted(map(tuple, r["families"])) for r in tx.segment_detail(t).collect()}
-    parts = {}
-    for r in tx.segment_detail(t, part_rows=1).collect():
-        parts.setdefault(r["segment_code"], []).extend(map(tuple, r["families"]))
-    assert {k: sorted(v) for k, v in parts.items()} == whole
+def test_child_rows(t):
+    got = sorted(tuple(r) for r in tx.child_rows(t, "segment").select("segment_code", "position", "family_code", "n_families").collect() if r[1])
+    assert got == [("1", 1, "11", 3), ("1", 2, "12", 3), ("1", 3, "13", 3), ("2", 1, "21", 1)]
+    alone = [tuple(r) for r in tx.child_rows(t, "segment").filter("n_families = 0").collect()]
+    assert alone == [("3", "", None, None, None, 0)]
 
 
 def test_lists(t):
