@@ -29,8 +29,9 @@ from pantryline.llm.common import LETTER, batches, bounded_sample
 
 ORDERS = 3
 BUCKETS = 1 << 15
-#: The sample: about so many rows per language at most, of the most frequent languages.
+#: The sample: so many rows and landmarks per language at most, of the most frequent languages, and in all.
 ROWS_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE, MAX_LANGUAGES = 500, 100, 64
+SAMPLE_ROWS, LANDMARKS = 4000, 512
 RIDGE = 1e-3
 UNKNOWN = "und"
 PIECE, BATCH = 1 << 18, 64
@@ -92,6 +93,7 @@ def fit(labels: list[str], bits: np.ndarray, landmarks: int = LANDMARKS_PER_LANG
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
     of = np.array([languages.index(x) for x in labels])
+    landmarks = max(1, min(landmarks, LANDMARKS // len(languages)))
     chosen = np.concatenate([np.nonzero(of == k)[0][:landmarks] for k in range(len(languages))])
     marks = bits[chosen]
     values, vectors = np.linalg.eigh(kernel(marks, marks))
@@ -113,12 +115,13 @@ def learn(
 ) -> Model:
     """Fit on a bounded sample of the rows (doc_id, text, lang) that have a language and a letter.
 
-    The driver receives `rows_per_language` * `max_languages` bit vectors of BUCKETS / 8 bytes at most.
+    The driver receives SAMPLE_ROWS bit vectors of BUCKETS / 8 bytes at most.
     """
     known = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     if not counts:
         return fit([], np.zeros((0, BUCKETS), bool))
+    rows_per_language = max(1, min(rows_per_language, SAMPLE_ROWS // len(counts)))
     share = F.create_map(*[F.lit(x) for c in counts for x in (c["lang"], min(1.0, 1.5 * rows_per_language / c["n"]))])
     draw = F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 

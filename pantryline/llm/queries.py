@@ -103,4 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op6_benchmark_leaks": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_byte_shards": sharding.ORACLE,
+    "op5_near_duplicates": neardup.ORACLE,
+    "op6_benchmark_leaks": decontaminate.ORACLE,
+    "op9_warc_round_trip": warc.ORACLE,
+}

@@ -86,3 +86,26 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = N_SHARDS, ranges: i
         .write.partitionBy("shard")
         .parquet(path)
     )
+
+
+#: The same for DuckDB, the checksum byte by byte from its table.
+ORACLE = """
+WITH RECURSIVE steps AS (
+  SELECT b, b AS c, 0 AS k FROM (SELECT unnest(range(256)) AS b)
+  UNION ALL
+  SELECT b, CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
+), crc AS (SELECT list(c ORDER BY b) AS lut FROM steps WHERE k = 8),
+raw AS (SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pairs AS (SELECT doc_id, size, regexp_extract_all(h, '..') AS p FROM raw),
+sized AS (
+  SELECT doc_id, size, xor(list_reduce(
+      list_transform(p, lambda x: cast('0x' || x AS BIGINT)), lambda a, x: xor(a >> 8, lut[(xor(a, x) & 255) + 1]),
+      4294967295), 4294967295) AS text_crc32
+  FROM pairs, crc
+), placed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS run, sum(size) OVER () AS total FROM sized
+), cut AS (SELECT *, cast((2 * run - size) * 40 // (2 * total) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, cast(NULL AS INTEGER) AS grown_shard
+FROM cut
+"""

@@ -264,3 +264,19 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
     joined = segments.mapInArrow(lambda parts: batches(whole(parts), result_names, RESULT_TYPES, 128), RESULT)
     out = direct.unionByName(joined)
     return out if with_payload else out.drop("payload")
+
+
+#: What the archives must give back, for DuckDB; a digest is eight times five hex digits as four letters.
+ORACLE = """
+WITH hashed AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+first AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS f FROM hashed)
+SELECT page_id, strlen(body) AS payload_bytes,
+  array_to_string(list_transform(list_transform(range(8), lambda i: cast('0x' || substr(hex, 5 * i + 1, 5) AS BIGINT)),
+    lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 15 & 31) + 1, 1)
+      || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 10 & 31) + 1, 1)
+      || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 5 & 31) + 1, 1)
+      || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> f THEN f END AS refers_to
+FROM first
+"""
