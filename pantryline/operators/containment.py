@@ -1,20 +1,23 @@
 """First text containing each label, as equality joins on substrings.
 
 `text LIKE '%label%'` over two tables is a nested loop. Here every text is cut into
-its substrings of the label lengths that occur, the smallest code is kept per
-substring before and after the shuffle, and labels meet them by equality: the work
-grows with the texts, no (label, text) pairs are formed, and a substring found in a
-third of the texts is one aggregated row.
+its substrings of the label lengths that occur, and these meet the labels by equality
+before anything is gathered; the smallest code is kept per label before and after the
+shuffle, so a label found in a third of the texts is one row per task.
 
 Labels with wildcards take a second path: equality on their longest literal piece,
-then LIKE on the candidates. Labels of wildcards only match any text long enough.
+then LIKE on the candidates, where the texts of a piece that nearly all have are spread.
+Labels of wildcards only match any text long enough, which a running minimum over the
+distinct lengths answers.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from pantryline.functions.text import ascii_fold, like_escape
+from pantryline.operators.skew import join_parent
 
 
 def _substrings(texts: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -61,32 +64,36 @@ def first_containing(labels: DataFrame, texts: DataFrame) -> DataFrame:
     wild = keys.filter(F.col("wild") & (F.col("n") > 0))
     bare = keys.filter(F.col("n") == 0)
 
-    by_piece = (
-        _substrings(folded, plain.select("n")).groupBy("piece").agg(F.min("code").alias("code"))
+    plain_hits = (
+        _substrings(folded, plain.select("n"))
+        .join(plain.select("folded", "piece"), "piece")
+        .groupBy("folded")
+        .agg(F.min("code").alias("code"))
     )
-    plain_hits = plain.join(by_piece, "piece").select("folded", "code")
 
     # Each text once per distinct piece; LIKE decides inside the join.
     candidates = _substrings(folded, wild.select("n")).distinct()
     pattern = F.concat(F.lit("%"), like_escape(F.col("folded")), F.lit("%"))
     wild_hits = (
-        candidates.join(wild.select("folded", "piece"), "piece")
+        join_parent(candidates, wild.select("folded", "piece"), "piece", "inner")
         .filter(F.like(F.col("text"), pattern))
         .groupBy("folded")
         .agg(F.min("code").alias("code"))
     )
 
-    # Smallest code among texts of at least k characters, for every k up to the longest.
-    by_length = folded.groupBy(F.char_length("text").alias("length")).agg(F.min("code").alias("code"))
+    # Smallest code among texts of at least k characters: from the longest text down, a length before
+    # an equally long label. As many rows as there are distinct lengths of texts and labels.
+    length = F.char_length(F.replace("folded", F.lit("%"), F.lit("")))
+    by_length = folded.groupBy(F.char_length("text").alias("k")).agg(F.min("code").alias("code"))
+    asked = bare.select(length.alias("k"), F.lit(None).cast(folded.schema["code"].dataType).alias("code")).distinct()
+    downwards = Window.orderBy(F.desc("k"), "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at_least = (
-        by_length.select(F.explode(F.sequence(F.lit(0), F.col("length"))).alias("k"), "code")
-        .groupBy("k")
-        .agg(F.min("code").alias("code"))
-    )
-    bare_hits = (
-        bare.select("folded", F.char_length(F.replace("folded", F.lit("%"), F.lit(""))).alias("k"))
-        .join(at_least, "k")
-        .select("folded", "code")
+        by_length.withColumn("asked", F.lit(0))
+        .unionByName(asked.withColumn("asked", F.lit(1)))
+        .withColumn("code", F.min("code").over(downwards))
+        .filter((F.col("asked") == 1) & F.col("code").isNotNull())
+        .select("k", "code")
     )
+    bare_hits = bare.select("folded", length.alias("k")).join(at_least, "k").select("folded", "code")
     hits = plain_hits.unionByName(wild_hits).unionByName(bare_hits)
     return wanted.join(hits, "folded").select("label", "code")

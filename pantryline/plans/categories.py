@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pantryline.functions.text import fallback_label, tag_label
 from pantryline.operators.containment import first_containing
+from pantryline.operators.skew import join_parent
 from pantryline.plans.taxonomy import Taxonomy, with_brick_path
 from pantryline.session import staged
 
@@ -31,7 +32,7 @@ def map_tag_lists(tags: DataFrame, t: Taxonomy) -> DataFrame:
     brick decides. The distinct lists and labels are staged: each is used several
     times below, and the products should be read for them only once.
     """
-    heads = staged(tags.select("head").filter(F.size("head") > 0).distinct(), "heads")
+    heads = staged(tags.select("head").filter(F.col("head").isNotNull()).distinct(), "heads")
     placed = heads.select("head", F.posexplode("head").alias("at", "tag")).select(
         "head", "at", tag_label(F.col("tag")).alias("label")
     )
@@ -47,14 +48,15 @@ def map_categories(products: DataFrame, t: Taxonomy, tags: str = "categories") -
 
     Tag lists repeat across products, so the distinct ones are mapped and joined back.
     Without a mapping the first five tags stand in as labels. An empty `matched_label`
-    comes from a tag such as `en:`, which every description contains.
+    comes from a tag such as `en:`, which every description contains. Products without
+    tags meet nothing, and popular tag lists are spread. Runs jobs when called: the distinct
+    tag lists and labels are written to the shared folder.
     """
-    head = F.slice(F.col(tags), 1, MAPPED_TAGS)
+    head = F.when(F.size(tags) > 0, F.slice(F.col(tags), 1, MAPPED_TAGS))
     mapped = map_tag_lists(products.select(head.alias("head")), t)
     fallback = F.transform(F.slice(F.col(tags), 1, FALLBACK_TAGS), fallback_label)
     return (
-        products.withColumn("head", head)
-        .join(mapped, "head", "left")
+        join_parent(products.withColumn("head", head), mapped, "head")
         .withColumn("mapped", F.col("path_parts").isNotNull())
         .withColumn("category_hierarchy", F.coalesce(F.col("path_parts"), fallback, F.array()))
         .drop("head", "path_parts")

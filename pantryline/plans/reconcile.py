@@ -33,21 +33,24 @@ def reconcile(
     """Canonical products of the asked-for barcodes, or of the whole catalogue.
 
     `off` is `named_only(shape_off(...))`, `fdc` one wide row per barcode as
-    `fdc_by_gtin` gives. Both sides have one row per barcode before they meet, so
-    a barcode cannot multiply rows or make a join partition hot. Barcodes without any
-    source are dropped.
+    `fdc_by_gtin` gives. Both sources are restricted to the asked-for barcodes before
+    anything else, and have one row per barcode before they meet, so a barcode cannot
+    multiply rows or make a join partition hot. Of several crowdsourced records of a barcode
+    the one with most fields filled counts. Rows without a barcode and barcodes without any
+    source are dropped. Runs jobs when called, as the mapping of tags does.
     """
+    off, fdc = off.filter(F.col("barcode").isNotNull()), fdc.filter(F.col("gtin").isNotNull())
+    if gtins is not None:
+        wanted = gtins.select(F.col(gtins.columns[0]).alias("gtin")).filter(F.col("gtin").isNotNull()).distinct()
+        off = off.join(wanted.withColumnRenamed("gtin", "barcode"), "barcode", "left_semi")
+        fdc = fdc.join(wanted, "gtin", "left_semi")
     # Mapped before de-duplication: the latter leaves rows partitioned for the joins.
     categorised = one_per_key(map_categories(off, t), "barcode")
     left = categorised.select(
         F.col("barcode").alias("gtin"), F.struct(*[c for c in categorised.columns if c != "barcode"]).alias("o")
     )
     right = fdc.select("gtin", F.struct(*[c for c in fdc.columns if c != "gtin"]).alias("u"))
-    if gtins is None:
-        both = left.join(right, "gtin", "full")
-    else:
-        wanted = gtins.select(F.col(gtins.columns[0]).alias("gtin")).distinct()
-        both = wanted.join(left, "gtin", "left").join(right, "gtin", "left")
+    both = left.join(right, "gtin", "full")
 
     o, u = F.col("o"), F.col("u")
     sources = F.array_compact(

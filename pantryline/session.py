@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.ui.enabled": "false",
 }
 
+# Work folders of this process, until they are cleared.
+_FOLDERS: list[str] = []
+
 
 def local_session(cores: str = "8", app: str = "pantryline", **extra: str) -> SparkSession:
     """A local session for tests and benchmarks. On a cluster the caller brings its own."""
@@ -42,7 +45,19 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="pantryline-")
-    return f"{base.rstrip('/')}/pantryline-{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/pantryline-{purpose}-{uuid.uuid4().hex}"
+    _FOLDERS.append(path)
+    return path
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Delete the work folders that this process has made, once nothing reads them any more."""
+    n = len(_FOLDERS)
+    for path in _FOLDERS:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _FOLDERS.clear()
+    return n
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:

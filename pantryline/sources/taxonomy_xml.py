@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pantryline.functions.versions import UNKNOWN
@@ -11,8 +13,9 @@ from pantryline.schemas import SEGMENT
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """One row per `segment` element with its nested children; `ord` is its place.
 
-    A malformed file is an error. Files are not split, so within a file the running
-    id follows document order; files follow each other by name.
+    A malformed file is an error. A file is one task, and a segment one row of it, so large
+    catalogues come as folders of many files. Within a file the running id follows document
+    order; files follow each other by name.
     """
     rows = (
         spark.read.format("xml")
@@ -44,20 +47,37 @@ def spread_families(docs: DataFrame) -> DataFrame:
     )
 
 
+def _first_tag(spark: SparkSession, status, chunk: int = 1 << 14) -> str:
+    """A file up to the end of its first start tag; empty when it has none."""
+    path = status.getPath()
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
+    try:
+        data = b""
+        while True:
+            more = bytes(stream.readNBytes(chunk))
+            data += more
+            found = re.search(rb"<[^\W\d][^>]*>", data)
+            if found or not more:
+                return found[0].decode("utf-8", "replace") if found else ""
+    finally:
+        stream.close()
+
+
 def read_document_date(spark: SparkSession, path: str) -> DataFrame:
     """(xml_source, xml_date): the `dateUtc` of each file's root element, else `unknown`.
 
-    The text is read tag by tag, so the root's name need not be known and the nested
-    content is never assembled.
+    A read of metadata, one per file when called: each is opened, and read only up to the end of its
+    first start tag. The root's name need not be known.
     """
-    tags = spark.read.option("lineSep", ">").text(path).select(
-        F.input_file_name().alias("xml_source"), F.monotonically_increasing_id().alias("at"), "value"
-    )
-    elements = tags.filter(F.col("value").rlike(r"^\s*<[\p{L}_]"))
-    root = elements.groupBy("xml_source").agg(F.min_by("value", "at").alias("tag"))
-    date = F.regexp_extract("tag", r"(?s)\sdateUtc\s*=\s*[\"']([^\"']*)[\"']", 1)
-    has_date = F.col("tag").rlike(r"\sdateUtc\s*=")
-    return root.select("xml_source", F.when(has_date, date).otherwise(UNKNOWN).alias("xml_date"))
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s for top in fs.globStatus(root) or [] for s in fs.listStatus(top.getPath())]
+    files = [s for s in found if s.isFile() and s.getPath().getName()[0] not in "_."]
+    rows = []
+    for status in files:
+        date = re.search(r"\sdateUtc\s*=\s*[\"']([^\"']*)[\"']", _first_tag(spark, status))
+        rows.append((status.getPath().toString(), date[1] if date else UNKNOWN))
+    return spark.createDataFrame(rows, "xml_source string, xml_date string")
 
 
 def write_segments(docs: DataFrame, path: str, date: str | None = None) -> None:

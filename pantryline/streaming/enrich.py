@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def enrich(lookups: DataFrame, canonical: DataFrame, key: str = "gtin") -> DataFrame:
+def enrich(lookups: DataFrame, canonical: DataFrame, key: str = "gtin", salts: int = 8) -> DataFrame:
     """Lookups (streaming or batch) with their product; those without one are dropped.
 
     Stateless: the canonical table has one row per barcode, so no watermark is needed
-    and nothing is kept between batches.
+    and nothing is kept between batches. A stream can't be counted beforehand, so lookups of
+    every barcode are spread over `salts` groups, and each product is there once for each.
     """
-    joined = lookups.join(canonical, key, "left")
-    return joined.filter(joined["data_sources"].isNotNull())
+    group = F.pmod(F.xxhash64(*lookups.columns), F.lit(salts)).cast("int")
+    repeated = canonical.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    joined = lookups.withColumn("__salt", group).join(repeated, [key, "__salt"], "left").drop("__salt")
+    return joined.filter(F.col("data_sources").isNotNull())
 
 
 def write_stream(

@@ -171,6 +171,25 @@ def test_first_containing_without_wildcards_or_texts(spark):
     assert first_containing(lab.limit(0), t).count() == 0
 
 
+def test_first_containing_in_long_texts(spark):
+    """Texts of 10,000 characters, an anchor that all of them have, and nothing broadcast."""
+    rng = random.Random(8)
+    texts = [(f"{i:03}", "".join(rng.choices("abcdefgh o", k=10_000))) for i in range(30)]
+    texts.append(("900", "a plain needle in it"))
+    labels = ["o", "o%", "%o_a%", "needle", "o%zzz", "_" * 9_999, "_" * 10_001, "%", "need__"]
+    t = spark.createDataFrame(texts, "code string, text string").repartition(4)
+    lab = spark.createDataFrame([(x,) for x in labels], "label string")
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    for name in names:
+        spark.conf.set(name, "-1")
+    try:
+        got = {r["label"]: r["code"] for r in first_containing(lab, t).collect()}
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert got == brute_first(labels, texts)
+
+
 @pytest.mark.parametrize("partitions", [1, 5])
 def test_number_rows(spark, partitions):
     codes = [str(i) for i in range(500)]
