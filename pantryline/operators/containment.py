@@ -21,18 +21,18 @@ from pantryline.operators.skew import join_parent
 
 
 def _substrings(texts: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(text, code, piece): the substrings of each text whose length occurs in `lengths`.
+    """(code, piece): the distinct substrings of each text whose length occurs in `lengths`.
 
-    `lengths` reduces to one array no longer than the longest label.
+    `lengths` reduces to one array no longer than the longest label. The text itself isn't repeated
+    for its pieces; `code` finds it again.
     """
     wanted = lengths.agg(F.collect_set("n").alias("ns")).scalar()
     sized = texts.select("text", "code", F.explode(wanted).alias("n")).filter(
         F.col("n") <= F.char_length("text")
     )
-    placed = sized.select(
-        "text", "code", "n", F.explode(F.sequence(F.lit(1), F.char_length("text") - F.col("n") + 1)).alias("at")
-    )
-    return placed.select("text", "code", F.substr("text", F.col("at"), F.col("n")).alias("piece"))
+    places = F.sequence(F.lit(1), F.char_length("text") - F.col("n") + 1)
+    pieces = F.transform(places, lambda at: F.substr("text", at, F.col("n")))
+    return sized.select("code", F.explode(F.array_distinct(pieces)).alias("piece"))
 
 
 def first_containing(labels: DataFrame, texts: DataFrame) -> DataFrame:
@@ -71,11 +71,13 @@ def first_containing(labels: DataFrame, texts: DataFrame) -> DataFrame:
         .agg(F.min("code").alias("code"))
     )
 
-    # Each text once per distinct piece; LIKE decides inside the join.
-    candidates = _substrings(folded, wild.select("n")).distinct()
+    # Each text once per label with a piece of it; a code has one text. LIKE decides.
     pattern = F.concat(F.lit("%"), like_escape(F.col("folded")), F.lit("%"))
+    candidates = join_parent(
+        _substrings(folded, wild.select("n")), wild.select("folded", "piece"), "piece", "inner"
+    ).select("code", "folded")
     wild_hits = (
-        join_parent(candidates, wild.select("folded", "piece"), "piece", "inner")
+        candidates.join(folded, "code")
         .filter(F.like(F.col("text"), pattern))
         .groupBy("folded")
         .agg(F.min("code").alias("code"))
