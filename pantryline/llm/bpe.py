@@ -29,7 +29,7 @@ from pantryline.llm.common import batches, texts_of
 VOCABULARY = "word_bpe_49k.json"
 #: Entries held at most per worker: of the caches of words and of words with their punctuation, and
 #: of the one of pairs. A full cache is emptied.
-WORD_CACHE, PAIR_CACHE = 300_000, 1_000_000
+WORD_CACHE, PAIR_CACHE = 100_000, 300_000
 #: A symbol that ends a word is the same character shifted by this much.
 END = 0x8000
 
@@ -217,6 +217,11 @@ class WordBpe:
     def _piece(self, text: str) -> bytes:
         return self._plain(text) if PLAIN.fullmatch(text) else self._ruled(text)
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        for cache in (self._words, self._chunks, self._pairs):
+            cache.clear()
+
     def decode(self, ids: bytes, chunk: int = 1 << 16) -> bytes:
         """The tokens' names in UTF-8, a space between them, as the file names no other decoder."""
         out = []
@@ -257,6 +262,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, with_ids: bo
                     hashlib.sha256(ids).hexdigest(),
                     hashlib.sha256(bpe.decode(ids)).hexdigest(),
                 )
+        bpe.forget()  # the worker goes on with other tasks
 
     out = docs.select("doc_id", "text").mapInArrow(
         lambda parts: batches(rows(parts), names, types, 256),

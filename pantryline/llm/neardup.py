@@ -44,7 +44,8 @@ BANDS, ROWS = 40, 5
 SKETCH_FLOOR = 0.63
 #: About the largest sides of a block, and groups over which a leader's followers are spread.
 BLOCK_LEADERS, BLOCK_MEMBERS, SALTS = 512, 4096, 256
-WORD_CACHE = 400_000
+#: Entries held at most per worker of the word cache; a full one is emptied.
+WORD_CACHE = 150_000
 
 P1 = np.uint64(0x9E3779B97F4A7C15)
 P2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -151,6 +152,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 slots = sketch(elements, bands * rows)
                 keys = band_keys(slots, bands, rows).view(np.int64)
                 yield doc_id, len(elements), k1, k2, keys, (slots & np.uint64(255)).astype(np.uint8).tobytes()
+        _word_hashes().clear()  # the worker goes on with other tasks
 
     names = ["doc_id", "n", "k1", "k2", "bands", "slots"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
@@ -179,6 +181,7 @@ def verified(tests: DataFrame, docs: DataFrame, words: int, threshold: float) ->
                 elements = shingle_set(words_of(text.as_py()), words)
                 if len(elements):
                     yield doc_id, elements.tobytes()
+        _word_hashes().clear()
 
     wanted = staged(tests.select(F.col("id").alias("doc_id")).distinct(), "wanted")
     full = staged(

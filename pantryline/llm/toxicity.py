@@ -35,7 +35,8 @@ LEVELS = (0.0, 0.004, 0.008, 0.016)
 BEGINNINGS = range(3, 9)
 #: Weights of the counterfactual penalty and of the plain one, and steps of the fit.
 COUNTERFACTUAL, RIDGE, STEPS = 1.0, 1e-3, 400
-WORD_CACHE = 400_000
+#: Entries held at most per worker of the word cache, which is that of one model; a full one is emptied.
+WORD_CACHE = 150_000
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Names of groups of people, kind by kind; each is swapped for the next of its kind.
@@ -78,6 +79,10 @@ def levels_of(words: list[str]) -> set[tuple[int, int]]:
     return {(k, j) for k, n in counts.items() for j, level in enumerate(LEVELS) if n >= level * total}
 
 
+#: Of the model last used in this process: places of the chosen keys by word.
+_CACHE: dict[str, object] = {"model": None, "words": {}}
+
+
 @dataclass
 class Model:
     """Intercept, and for each chosen key a weight per level."""
@@ -86,24 +91,17 @@ class Model:
     keys: dict[int, int]
     weights: np.ndarray
 
-    def __post_init__(self):
-        self.words: dict[str, bytes] = {}
-
-    def __getstate__(self):
-        return self.bias, self.keys, self.weights
-
-    def __setstate__(self, state):
-        self.bias, self.keys, self.weights = state
-        self.words = {}
-
     def places(self, word: str) -> bytes:
         """Places of the chosen keys that a word has."""
-        known = self.words.get(word)
+        if _CACHE["model"] is not self:
+            _CACHE.update(model=self, words={})
+        words = _CACHE["words"]
+        known = words.get(word)
         if known is None:
-            if len(self.words) >= WORD_CACHE:
-                self.words.clear()
+            if len(words) >= WORD_CACHE:
+                words.clear()
             known = np.array([self.keys[k] for k in keys_of(word) if k in self.keys], np.int32).tobytes()
-            self.words[word] = known
+            words[word] = known
         return known
 
     def score(self, text: str | None) -> float:
@@ -238,6 +236,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 score = shared.value.score(text.as_py())
                 yield doc_id, score, int(score >= 0.5)
+        _CACHE.update(model=None, words={})  # the worker goes on with other tasks
 
     names, types = ["doc_id", "score", "predicted"], [pa.int64(), pa.float64(), pa.int32()]
     return docs.select("doc_id", "text").mapInArrow(
@@ -253,5 +252,6 @@ def accepted(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             yield part.filter(pa.array([shared.value.score(t.as_py()) < below for t in part.column(place)], pa.bool_()))
+        _CACHE.update(model=None, words={})
 
     return docs.mapInArrow(rows, docs.schema)
