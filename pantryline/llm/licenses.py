@@ -8,6 +8,13 @@ between are aligned in the same way. A gap without such a word is aligned by its
 subsequence; a gap is never longer than a region. Coverage is the share of the template's words
 that are matched.
 
+Triples alone would lose texts whose words are broken up or partly repeated. So wherever SPREAD times
+as many words as a template has hold enough of its words, in any order, the stretch is also searched
+for the best chains of matched words, each inserted word costing INSERTED of a matched one; such a
+chain's range is aligned, widened as a region is if that stays below the coverage, and a stretch
+without any hit is aligned as a whole. Of alignment and chain the one with more matched words
+counts. A license spread over more than SPREAD times its words is found by its triples only.
+
 Results, per row: `hits` in the order of the text, best first only where they begin at the same
 word; empty for a null or empty text. Of hits that overlap, the one with more matched words stays.
 Rows keep their doc_id, null and repeated ones too. Whole texts are read; other columns play no part.
@@ -21,12 +28,15 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pantryline.llm.common import batches
 
 COVERAGE = 0.8
+#: What a foreign word between matched ones costs, and over how many times its words a template may be spread.
+INSERTED, SPREAD = 0.2, 3
 WORD = re.compile(r"[^\W_]+")
 
 #: Notices and license texts, as they are commonly published.
@@ -128,12 +138,16 @@ class Scanner:
         self.texts = [
             [self.numbers.setdefault(w, len(self.numbers)) for w in WORD.findall(t.lower())] for t in templates.values()
         ]
+        self.totals = [Counter(words) for words in self.texts]
+        self.places: list[dict[int, list[int]]] = [defaultdict(list) for _ in self.texts]  # of each word, the last first
         self.seeds: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
         for t, words in enumerate(self.texts):
             if len(words) < 3:
                 raise ValueError(f"template {self.names[t]} has less than three words")
             for q in range(len(words) - 2):
                 self.seeds[tuple(words[q : q + 3])].append((t, q))
+            for q in reversed(range(len(words))):
+                self.places[t][words[q]].append(q)
 
     def regions(self, ids: list) -> Iterator[tuple[int, int, int]]:
         """(template, begin, end) of the stretches of a text that may hold a template."""
@@ -163,6 +177,94 @@ class Scanner:
                 yield t, max(past, first - 2 * q_first - 1), end
                 past = last + 3
 
+    def holds(self, t: int, counts: Counter) -> bool:
+        """Whether words, given by their counts, could make up enough of a template in some order."""
+        total = self.totals[t]
+        return sum([min(n, counts[w]) for w, n in total.items() if w in counts]) >= self.coverage * len(self.texts[t])
+
+    def stretches(self, ids: list, t: int) -> Iterator[tuple[int, int]]:
+        """(begin, end) such that any SPREAD times as many words that hold a template lie within one of them."""
+        total, size = self.totals[t], len(self.texts[t])
+        width, least = SPREAD * size, self.coverage * size
+        at = [p for p, w in enumerate(ids) if w in total]
+        have, covered, left = Counter(), 0, 0
+        merged: list[list[int]] = []
+        for p in at:
+            have[ids[p]] += 1
+            covered += have[ids[p]] <= total[ids[p]]
+            while p - at[left] >= width:
+                gone = ids[at[left]]
+                covered -= have[gone] <= total[gone]
+                have[gone] -= 1
+                left += 1
+            if covered >= least:
+                if merged and at[left] <= merged[-1][1]:
+                    merged[-1][1] = p + 1
+                else:
+                    merged.append([at[left], p + 1])
+        for first, last in merged:
+            for begin in range(first, max(first + 1, last - width), width):
+                yield begin, min(last, begin + 2 * width)
+
+    def chain(self, ids: list, t: int, begin: int, end: int) -> tuple[float, int, int, int, int, int]:
+        """The best chain of matched words: score, matched words, first and last place in text and template."""
+        places, size = self.places[t], len(self.texts[t])
+        value = np.full(size, -np.inf)  # per place in the template: best score of a chain ending there, at place 0
+        chains: list[tuple[int, int, int]] = [(0, 0, 0)] * size
+        best = (0.0, 0, begin, begin, 0, 0)
+        for p in range(begin, end):
+            for q in places[ids[p]] if ids[p] in places else ():
+                score, own = 1.0, (1, p, q)
+                if q:
+                    k = int(value[:q].argmax())
+                    before = value[k] - INSERTED * (p - 1)
+                    if before > 0:
+                        n, p_first, q_first = chains[k]
+                        score, own = 1 + before, (n + 1, p_first, q_first)
+                if score + INSERTED * p > value[q]:
+                    value[q], chains[q] = score + INSERTED * p, own
+                if score > best[0] + 1e-9:
+                    best = (score, own[0], own[1], p, own[2], q)
+        return best
+
+    def chained(self, ids: list, t: int, found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+        """(matched, first, last) of hits besides those already `found`; only beside those that are the whole template."""
+        own = self.texts[t]
+        need = self.coverage * len(own)
+        least = max(1.0, need - INSERTED * (SPREAD * len(own) - need))  # of a hit within SPREAD times its words
+        known = sorted({(first, last) for _, first, last in found})
+        whole = sorted({(first, last) for n, first, last in found if n == len(own)})
+        lasts, whole_lasts = (sorted(last for _, last in some) for some in (known, whole))
+        for begin, end in self.stretches(ids, t):
+            any_hit = bisect_left(lasts, begin) < bisect_left(known, (end, 0))
+            todo, free = [], begin
+            for first, last in whole[bisect_left(whole_lasts, begin) : bisect_left(whole, (end, 0))]:
+                todo.append((free, first))
+                free = max(free, last + 1)
+            todo.append((free, end))
+            while todo:
+                low, high = todo.pop()
+                if high - low < need or not self.holds(t, Counter(ids[low:high])):
+                    continue
+                score, n, first, last, q_first, q_last = self.chain(ids, t, low, high)
+                if score < least:
+                    continue
+                hit = (max(n, len(align(ids[first : last + 1], own))), first, last)
+                if hit[0] < need:
+                    hit = self.aligned(ids, t, max(low, first - 2 * q_first - 1), min(high, last + 2 * (len(own) - q_last)))
+                if hit[0] >= need:
+                    any_hit = True
+                    yield hit
+                    first, last = min(first, hit[1]), max(last, hit[2])
+                todo += [(low, first), (last + 1, high)]
+            if not any_hit and (hit := self.aligned(ids, t, begin, end))[0] >= need:
+                yield hit
+
+    def aligned(self, ids: list, t: int, begin: int, end: int) -> tuple[int, int, int]:
+        """(matched, first, last) of a stretch aligned with a template."""
+        matched = align(ids[begin:end], self.texts[t])
+        return (len(matched), begin + matched[0][0], begin + matched[-1][0]) if matched else (0, begin, begin)
+
     def scan(self, text: str | None) -> list[dict]:
         """Hits that reach the coverage, none overlapping another."""
         if not text:
@@ -172,14 +274,19 @@ class Scanner:
         found = []
         for t, begin, end in self.regions(ids):
             own = self.texts[t]
-            matched = align(ids[begin:end], own)
-            if len(matched) >= self.coverage * len(own):
-                first, last = begin + matched[0][0], begin + matched[-1][0]
-                found.append((len(matched), len(matched) / len(own), t, first, last))
-        kept: list[tuple] = []
-        for hit in sorted(found, key=lambda h: (-h[0], -h[1], h[3], h[2])):
-            if all(hit[4] < k[3] or hit[3] > k[4] for k in kept):
-                kept.append(hit)
+            n, first, last = self.aligned(ids, t, begin, end)
+            if n >= self.coverage * len(own):
+                found.append((n, n / len(own), t, first, last))
+        counts = Counter(ids)
+        for t, own in enumerate(self.texts):
+            if self.holds(t, counts):
+                known = [(h[0], h[3], h[4]) for h in found if h[2] == t]
+                found += [(n, n / len(own), t, first, last) for n, first, last in self.chained(ids, t, known)]
+        kept: list[tuple] = []  # by place
+        for hit in sorted(found, key=lambda h: (-h[0], -h[1], h[4] - h[3], h[3], h[2])):
+            k = bisect_left(kept, hit[3], key=lambda h: h[4])
+            if k == len(kept) or hit[4] < kept[k][3]:
+                kept.insert(k, hit)
         # Lower case may be longer than the text, so only where it isn't are its places those of the text.
         where = words if len(text.lower()) == len(text) else list(WORD.finditer(text))
         return [
@@ -188,7 +295,7 @@ class Scanner:
                 "start": where[first].start() if last < len(where) else None,
                 "stop": where[last].end() if last < len(where) else None,
             }
-            for n, share, t, first, last in sorted(kept, key=lambda h: h[3])
+            for n, share, t, first, last in kept
         ]
 
 

@@ -196,3 +196,40 @@ def test_scanning_documents(spark, edge_docs, no_docs):
     text = "x " + licenses.TEMPLATES["MIT-notice"] + " y " + licenses.TEMPLATES["MIT-notice"]
     hits = licenses.scan_licenses(spark.createDataFrame([(None, text)], "doc_id long, text string")).first().hits
     assert [text[h.start : h.stop] for h in hits] == ["Released under the MIT License"] * 2
+
+
+def found_in(text):
+    return [(h["template"], h["matched"]) for h in SCANNER.scan(text)]
+
+
+def test_repeated_phrases_and_broken_runs_hide_no_license():
+    gpl = licenses.TEMPLATES["GPL-3.0"]
+    repeated = gpl.replace("Public License as", "Public License (the GNU General Public License, GPL) as")
+    assert found_in(repeated) == [("GPL-3.0", 80)]
+    assert found_in(f"{repeated} and once more: {repeated}") == [("GPL-3.0", 80)] * 2
+    words = gpl.split()
+    broken = " ".join(w if i % 2 else f"{w} x{i}" for i, w in enumerate(words))
+    assert found_in(f"some text {broken} some text") == [("GPL-3.0", 80)]
+    assert found_in("Released under MIT License") == [("MIT-notice", 4)]
+
+
+@pytest.mark.parametrize("name", list(licenses.TEMPLATES))
+def test_what_the_whole_text_aligns_with_is_found(name):
+    """One edited license within words of no license: phrases of it repeated, words lost, replaced and inserted."""
+    rng, own = np.random.default_rng(len(name)), SCANNER.texts[SCANNER.names.index(name)]
+    by_number = {n: w for w, n in SCANNER.numbers.items()}
+    accepted = 0
+    for _ in range(60):
+        words = [by_number[n] for n in own]
+        for _ in range(rng.integers(0, 4)):
+            size, at, to = rng.integers(1, 8), rng.integers(len(words)), rng.integers(len(words))
+            words[to:to] = words[at : at + size]
+        rate = rng.choice([0.0, 0.05, 0.1, 0.15])
+        words = [w for w in words if rng.random() >= rate]
+        words = [x for w in words for x in ([w, "foreign"] if rng.random() < rate else [w])]
+        words = ["foreign"] * int(rng.integers(0, 200)) + words + ["foreign"] * int(rng.integers(0, 200))
+        most = len(licenses.align([SCANNER.numbers.get(w) for w in words], own))
+        if most >= 0.8 * len(own):
+            accepted += 1
+            assert any(h["template"] == name and h["coverage"] >= 0.8 for h in SCANNER.scan(" ".join(words))), words
+    assert accepted > 10
