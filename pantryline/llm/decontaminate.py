@@ -11,9 +11,9 @@ equality; pairs with enough hits are verified on the full sets of their document
 
 All of it is DataFrame functions. Results, per pair: doc_id, item_id, n_shingles of the item,
 n_shared, containment. Null and empty texts are in no pair. An item shorter than a shingle is
-found in documents that are just this sequence. Rows equal in doc_id and text count once; rows
-with a null doc_id are reported with null. Equal items are reported each. Other columns play no
-part.
+found in documents that are just this sequence. Rows equal in doc_id and text, or in item_id and
+text, count once; rows with a null doc_id are reported with null. Equal texts with different
+item_ids are reported each, and so are different texts with one item_id. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -68,8 +68,9 @@ def contained(
 
     `text_key` is a hash of the text, telling rows with the same doc_id apart. Runs jobs when called.
     """
-    items = shingled(benchmark.select("item_id", "text"), ["item_id"], words).select(
-        "item_id", F.size("shingles").alias("n_shingles"), F.explode("shingles").alias("hash")
+    given = benchmark.select("item_id", "text", F.xxhash64("text").alias("item_key")).distinct()
+    items = shingled(given, ["item_id", "item_key"], words).select(
+        "item_id", "item_key", F.size("shingles").alias("n_shingles"), F.explode("shingles").alias("hash")
     )
     items = staged(items.withColumn("needed", _needed(F.col("n_shingles"), threshold)), "items")
 
@@ -96,10 +97,10 @@ def contained(
     enough = F.greatest(F.lit(1), F.floor(expected - DEVIATIONS * F.sqrt(expected * (1 - share))))
     candidates = staged(
         sketched.join(items, "hash")
-        .groupBy("doc_id", "text_key", "item_id", "needed", "extra")
+        .groupBy("doc_id", "text_key", "item_id", "item_key", "needed", "extra")
         .agg(F.count(F.lit(1)).alias("hits"))
         .filter(F.col("hits") >= enough)
-        .select("doc_id", "text_key", "item_id"),
+        .select("doc_id", "text_key"),
         "candidates",
     )
 
@@ -108,12 +109,10 @@ def contained(
     same = (keyed["text_key"] == wanted["text_key"]) & keyed["doc_id"].eqNullSafe(wanted["__id"])
     chosen = keyed.join(wanted, same, "left_semi").dropDuplicates(["doc_id", "text_key"])
     full = shingled(chosen, ["doc_id", "text_key"], words).select("doc_id", "text_key", F.explode("shingles").alias("hash"))
-    met = full.join(items.drop("needed"), "hash").groupBy("doc_id", "text_key", "item_id", "n_shingles").agg(
-        F.count(F.lit(1)).alias("n_shared")
-    )
-    return met.filter(F.col("n_shared") >= _needed(F.col("n_shingles"), threshold)).withColumn(
-        "containment", F.col("n_shared") / F.col("n_shingles")
-    )
+    of_pair = ["doc_id", "text_key", "item_id", "item_key", "n_shingles"]
+    met = full.join(items.drop("needed"), "hash").groupBy(*of_pair).agg(F.count(F.lit(1)).alias("n_shared"))
+    reached = met.filter(F.col("n_shared") >= _needed(F.col("n_shingles"), threshold)).drop("item_key")
+    return reached.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
 def clean_of(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:

@@ -191,6 +191,17 @@ def test_containment_of_awkward_rows(spark, edge_docs, no_docs):
     assert decontaminate.clean_of(edge_docs, benchmark.limit(0)).count() == edge_docs.count()
 
 
+def test_repeated_benchmark_rows_count_once(spark):
+    item = " ".join(f"w{i}" for i in range(14))  # ten shingles
+    other = " ".join(f"v{i}" for i in range(14))
+    docs = [(0, item), (1, " ".join(item.split()[:8]) + " and then something else"), (2, f"{' '.join(item.split()[:8])} x {' '.join(other.split()[:8])}")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item), (1, item), (1, other), (2, item)], "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.n_shingles, r.n_shared, r.containment) for r in decontaminate.contained(docs, benchmark).collect()]
+    assert sorted(got) == [(0, 1, 10, 10, 1.0), (0, 2, 10, 10, 1.0)]
+    assert sorted(r.doc_id for r in decontaminate.clean_of(docs, benchmark).collect()) == [1, 2]
+
+
 def test_containment_needs_no_python(spark, edge_docs):
     benchmark = spark.createDataFrame([(1, "the same words in the same order")], "item_id long, text string")
     plan = decontaminate.contained(edge_docs, benchmark)._jdf.queryExecution().toString()
