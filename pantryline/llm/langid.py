@@ -23,14 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from pantryline.llm.common import LETTER, batches, bounded_sample
+from pantryline.llm.common import LETTER, batches
 
 ORDERS = 3
 BUCKETS = 1 << 15
-#: The sample: so many rows and landmarks per language at most, of the most frequent languages, and in all.
-ROWS_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE, MAX_LANGUAGES = 500, 100, 64
+#: The sample: so many rows and landmarks per language at most, and in all; but one of each language at least.
+ROWS_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE = 500, 100
 SAMPLE_ROWS, LANDMARKS = 4000, 512
 RIDGE = 1e-3
 UNKNOWN = "und"
@@ -110,20 +110,23 @@ def fit(labels: list[str], bits: np.ndarray, landmarks: int = LANDMARKS_PER_LANG
 
 
 def learn(
-    rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, landmarks: int = LANDMARKS_PER_LANGUAGE,
-    max_languages: int = MAX_LANGUAGES,
+    rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, landmarks: int = LANDMARKS_PER_LANGUAGE
 ) -> Model:
     """Fit on a bounded sample of the rows (doc_id, text, lang) that have a language and a letter.
 
-    The driver receives SAMPLE_ROWS bit vectors of BUCKETS / 8 bytes at most.
+    Every language that occurs is learned, however rare. The driver receives SAMPLE_ROWS bit vectors of
+    BUCKETS / 8 bytes at most, or one a language if there are more languages.
     """
-    known = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    lettered = F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
+    draw = F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    known = rows.filter(lettered).select("doc_id", "text", "lang", draw.alias("draw"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")).collect()
     if not counts:
         return fit([], np.zeros((0, BUCKETS), bool))
     rows_per_language = max(1, min(rows_per_language, SAMPLE_ROWS // len(counts)))
-    share = F.create_map(*[F.lit(x) for c in counts for x in (c["lang"], min(1.0, 1.5 * rows_per_language / c["n"]))])
-    draw = F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # The row that is drawn first is in, whatever the share.
+    bound = {c["lang"]: max(c["least"], 1.5 * rows_per_language / c["n"]) for c in counts}
+    share = F.create_map(*[F.lit(x) for pair in sorted(bound.items()) for x in pair])
 
     def packed(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for part in parts:
@@ -131,11 +134,14 @@ def learn(
                 if LETTER.search(text.as_py()):
                     yield doc_id.as_py(), lang.as_py(), np.packbits(presence(text.as_py())).tobytes()
 
-    drawn = known.filter(draw < share[F.col("lang")]).mapInArrow(
+    drawn = known.filter(F.col("draw") <= share[F.col("lang")]).select("doc_id", "text", "lang").mapInArrow(
         lambda parts: batches(packed(parts), ["doc_id", "lang", "bits"], [pa.int64(), pa.string(), pa.binary()], 128),
         "doc_id long, lang string, bits binary",
     )
-    sample = bounded_sample(drawn, "doc_id", rows_per_language * len(counts)).collect()
+    key = F.xxhash64(F.lit("sample"), "doc_id")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id", "bits"))
+    sample = drawn.withColumn("place", first).filter(F.col("place") <= rows_per_language).collect()
+    sample.sort(key=lambda r: (r["place"], r["lang"]))
     bits = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in sample], bool).reshape(-1, BUCKETS)
     return fit([r["lang"] for r in sample], bits, landmarks)
 

@@ -256,6 +256,18 @@ def test_languages_of_awkward_rows(spark, edge_docs, no_docs):
     assert {r.lang_pred for r in langid.predict(edge_docs, nothing).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """Seventy languages of an alphabet each: two with many rows, and the last with one."""
+    def text(k, i):
+        return " ".join(chr(0x4E00 + 20 * k + (i + j) % 20) * 3 for j in range(12))
+
+    sizes = [800, 800, *[3] * 67, 1]
+    data = [(1000 * k + i, text(k, i), f"l{k:02}") for k, n in enumerate(sizes) for i in range(n)]
+    model = langid.learn(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert model.languages == [f"l{k:02}" for k in range(70)]
+    assert [lang for lang, _ in langid.identify([text(k, 7) for k in range(70)], model)] == model.languages
+
+
 def test_toxicity_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
