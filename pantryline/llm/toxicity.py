@@ -146,11 +146,12 @@ def solve(
 
 def learn(
     docs: DataFrame, labelled: DataFrame, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS,
-    features: int = FEATURES, counterfactual: float = COUNTERFACTUAL,
+    features: int = FEATURES, counterfactual: float = COUNTERFACTUAL, identities=IDENTITIES,
 ) -> Model:
     """Fit on a bounded sample of `labelled` (doc_id, toxic 0 or 1), whose texts are in `docs`.
 
-    The sample's ids are chosen first, so only its rows leave the scan. The driver receives the chosen
+    `identities` are kinds of names in lower case, each a tuple as in IDENTITIES. The sample's ids are
+    chosen first, so only its rows leave the scan. The driver receives the chosen
     features and the sample's rows as bits. Runs jobs when called.
     """
     rows = labelled.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).distinct()
@@ -204,7 +205,7 @@ def learn(
         for part in parts:
             for text, toxic in zip(part.column(0), part.column(1).to_pylist(), strict=True):
                 own = words_of(text.as_py())
-                other = swapped(own)
+                other = swapped(own, identities)
                 yield toxic, bits(own), None if other is None else bits(other)
 
     collected = (

@@ -308,6 +308,17 @@ def test_swapped_names_change_no_score(insults):
     assert fair.score(mention) < 0.5 < fair.score("w1 scum w2 " + "w5 " * 50)
 
 
+def test_names_are_those_that_the_caller_gives(insults):
+    docs = insults.select("doc_id", F.replace("text", F.lit("immigrants"), F.lit("martians")).alias("text"))
+    labelled = insults.select("doc_id", "toxic")
+    mention = "w1 w2 w3 martians w4 " + "w5 " * 50
+    other = mention.replace("martians", "venusians")
+    gap = lambda m: m.score(mention) - m.score(other)
+    assert gap(toxicity.learn(docs, labelled, counterfactual=50.0)) > 0.3
+    named = toxicity.learn(docs, labelled, counterfactual=50.0, identities=(("martians", "venusians"),))
+    assert abs(gap(named)) < 0.1
+
+
 def test_toxicity_of_awkward_rows(insults, edge_docs, no_docs):
     model = toxicity.learn(insults.select("doc_id", "text"), insults.select("doc_id", "toxic"))
     rows = toxicity.predict(edge_docs, model).collect()
