@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pantryline.llm import bpe, decontaminate, langid, licenses, neardup, neighbours, sharding, tokenfile, toxicity, warc
+from pantryline.llm import bpe, decontaminate, langid, licenses, neardup, neighbours, repeats, sharding, tokenfile, toxicity, warc
 from pantryline.llm.common import crc_of_id, table, work_dir
 
 
@@ -90,6 +90,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(found, 5, 0).select("doc_id", "held_out", "score", "predicted")
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return cut.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_byte_shards": op2_byte_shards,
@@ -101,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_toxicity": op10_toxicity,
+    "op12_repeats": op12_repeats,
 }
 
 ORACLES: dict[str, str] = {
