@@ -1 +1 @@
-"""Operators for preparing training corpora: ten methods and the queries that apply them."""
+"""Operators for preparing training corpora: thirteen methods and the queries that apply them."""

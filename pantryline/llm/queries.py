@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pantryline.llm import bpe, decontaminate, langid, licenses, neardup, neighbours, repeats, sharding, tokenfile, toxicity, warc
-from pantryline.llm.common import crc_of_id, table, work_dir
+from pantryline.llm import (
+    bpe, centroids, decontaminate, langid, licenses, neardup, neighbours, repeats, sharding, tokenfile, toxicity, warc,
+    whitening,
+)
+from pantryline.llm.common import crc_of_id, staged, table, work_dir
 
 
 def ranges_of(spark: SparkSession) -> int:
@@ -90,6 +93,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(found, 5, 0).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.learn(vectors))
+
+
 def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.without_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
@@ -99,6 +107,19 @@ def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its cluster, and what its distances add up to."""
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    rows = staged(found.rows, "assigned")
+    inertia = rows.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    total = inertia.agg(F.sum("cluster_inertia").alias("inertia")).scalar()
+    # A row per centroid.
+    known = inertia.withColumn("inertia", total).join(found.digests(), "cluster")
+    return rows.join(F.broadcast(known), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_byte_shards": op2_byte_shards,
@@ -110,7 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
     "op12_repeats": op12_repeats,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLES: dict[str, str] = {
@@ -118,4 +141,5 @@ ORACLES: dict[str, str] = {
     "op5_near_duplicates": neardup.ORACLE,
     "op6_benchmark_leaks": decontaminate.ORACLE,
     "op9_warc_round_trip": warc.ORACLE,
+    "op13_centroids": centroids.ORACLE,
 }
