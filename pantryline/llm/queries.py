@@ -141,5 +141,6 @@ ORACLES: dict[str, str] = {
     "op5_near_duplicates": neardup.ORACLE,
     "op6_benchmark_leaks": decontaminate.ORACLE,
     "op9_warc_round_trip": warc.ORACLE,
+    "op12_repeats": repeats.ORACLE,
     "op13_centroids": centroids.ORACLE,
 }

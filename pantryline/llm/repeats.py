@@ -509,3 +509,26 @@ def without_repeats(
 def _stops(chunk: Chunk, suffixes: np.ndarray) -> np.ndarray:
     last = chunk.last[suffixes]
     return np.where(last >= chunk.first[suffixes], last + chunk.width, 0)
+
+
+ORACLE = """
+WITH texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+strings AS (
+  SELECT r, i, sha256(substr(h, 2 * i + 1, 800)) AS s FROM (SELECT r, h, unnest(range(n - 399)) AS i FROM texts WHERE n >= 400)),
+starts AS (
+  SELECT unnest(places, recursive := true) FROM (
+    SELECT list({'r': r, 'i': i}) AS places FROM strings GROUP BY s HAVING count(*) > 1)),
+stretches AS (
+  SELECT r, i, sum(CASE WHEN i <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS stretch
+  FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM starts)),
+spans AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM stretches GROUP BY r, stretch),
+cuts AS (
+  SELECT r, a, b FROM spans UNION ALL SELECT r, n, n FROM texts),
+pieces AS (
+  SELECT r, a, b, substr(h, 2 * done + 1, 2 * (a - done)) AS piece FROM (
+    SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a, b), 0) AS done FROM cuts) JOIN texts USING (r))
+SELECT doc_id, n AS n_bytes, sum(b - a)::BIGINT AS n_removed, count(*) - 1 AS n_spans,
+  sha256(unhex(coalesce(string_agg(piece, '' ORDER BY a, b), ''))) AS kept_sha256
+FROM pieces JOIN texts USING (r) GROUP BY r, doc_id, n
+"""
