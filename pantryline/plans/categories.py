@@ -17,10 +17,11 @@ FALLBACK_TAGS = 5
 def label_paths(labels: DataFrame, t: Taxonomy) -> DataFrame:
     """(label, brick_code, path_parts) of the first brick whose description contains the label.
 
-    A label whose first brick has an empty path counts as not found.
+    A label whose first brick has an empty path counts as not found. Runs jobs when called; the labels
+    found are written to the shared folder, and only their bricks get a path.
     """
     texts = t.bricks.select(F.col("brick_code").alias("code"), F.col("description").alias("text"))
-    found = first_containing(labels, texts).withColumnRenamed("code", "brick_code")
+    found = staged(first_containing(labels, texts).withColumnRenamed("code", "brick_code"), "found")
     paths = with_brick_path(found.join(t.bricks, "brick_code"), t)
     return paths.select("label", "brick_code", "path_parts").filter(F.size("path_parts") > 0)
 
@@ -29,14 +30,14 @@ def map_tag_lists(tags: DataFrame, t: Taxonomy) -> DataFrame:
     """(head, brick_code, path_parts, matched_label) for every distinct leading tag list that maps.
 
     `tags` has `head`, the first tags of a product. The first tag, in order, with a
-    brick decides. The distinct lists and labels are staged: each is used several
-    times below, and the products should be read for them only once.
+    brick decides. The distinct lists are staged: they are used several times below, and the
+    products should be read for them only once.
     """
     heads = staged(tags.select("head").filter(F.col("head").isNotNull()).distinct(), "heads")
     placed = heads.select("head", F.posexplode("head").alias("at", "tag")).select(
         "head", "at", tag_label(F.col("tag")).alias("label")
     )
-    paths = label_paths(staged(placed.select("label").distinct(), "labels"), t)
+    paths = label_paths(placed.select("label").distinct(), t)
     hit = placed.join(paths, "label").groupBy("head").agg(
         F.min_by(F.struct("brick_code", "path_parts", F.col("label").alias("matched_label")), "at").alias("hit")
     )

@@ -2,16 +2,17 @@ from __future__ import annotations
 
 import random
 import re
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
 
-from pantryline.operators.containment import first_containing
+from pantryline.operators.containment import _anchors, _postings, first_containing
 from pantryline.operators.dedup import first_wins, last_wins, one_per_key
 from pantryline.operators.groups import attach_lists, nested_list, numbered_children, with_children
 from pantryline.operators.integrity import missing_keys, null_keys, orphans
 from pantryline.operators.paging import MAX_TOP_ROWS, number_rows, numbered_page, page_after, page_of
-from pantryline.operators.skew import SALTS, SHARE, hot_keys, join_parent
+from pantryline.operators.skew import SHARE, hot_groups, join_parent
 
 
 def test_first_wins_ignores_input_order(spark):
@@ -71,13 +72,52 @@ def test_join_parent_equals_a_plain_join(spark, how):
     assert join_parent(rows.limit(0), parents, "p", how).count() == 0
 
 
-def test_hot_keys_are_few_and_spread(spark):
+def test_hot_keys_are_few_and_have_their_share_of_groups(spark):
     df, _ = skewed(spark)
-    assert [r["p"] for r in hot_keys(df, "p").collect()] == ["hot"]
-    many = spark.range(5000).withColumn("k", F.col("id") % 150)
-    assert hot_keys(many, "k").count() < SHARE
-    salted = df.filter("p = 'hot'").select(F.pmod(F.xxhash64("p", "c"), F.lit(SALTS)).alias("g")).groupBy("g").count()
-    assert salted.agg(F.max("count")).first()[0] < 3000 / 10
+    assert list(hot_groups(df, "p").values()) == [86]  # a third of all rows
+    assert hot_groups(df.limit(0), "p") == {} and hot_groups(df.withColumn("p", F.lit(None)), "p") == {}
+    many = spark.range(60_000).withColumn("k", F.array(F.col("id") % 150))
+    assert len(hot_groups(many, "k")) == 150 < SHARE
+    # Among more keys than a sketch has counters, one in a hundred rows is found still.
+    rare = spark.range(300_000).withColumn("k", F.when(F.col("id") % 100 == 0, "hot").otherwise(F.col("id").cast("string")))
+    assert list(hot_groups(rare, "k").values()) == [3]
+
+
+@contextmanager
+def plain_shuffles(spark, partitions):
+    """Nothing broadcast, nothing planned anew, so many partitions."""
+    plain = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": str(partitions),
+    }
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("equal", [True, False])
+def test_half_of_all_rows_on_one_key_are_dealt_to_many_tasks(spark, equal):
+    """Rows that differ make up to 128 groups; of equal ones each of the 64 partitions makes one."""
+    half = F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string"))
+    rows = spark.range(0, 40_000, 1, 64).select(half.alias("p"), F.lit("same") if equal else "id")
+    parents = rows.select("p").distinct().withColumn("x", F.lit(1))
+    with plain_shuffles(spark, 200):
+        joined = join_parent(rows, parents, "p", "inner").filter("p = 'hot'")
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) > 32 and max(sizes) < 20_000 / 8
+
+
+def test_join_parent_takes_maps_and_dotted_names(spark):
+    rows = spark.sql("""select id % 3 p, map('a', id) m, array(map('b', id)) n, struct(map(1, id) x) o, id `d.e`
+                        from range(60)""")
+    parents = spark.range(2).withColumnRenamed("id", "p").withColumn("x", F.lit("y"))
+    assert join_parent(rows, parents, "p").count() == 60
+    assert join_parent(rows, parents, "p", "inner").agg(F.sum("`d.e`")).first()[0] == sum(i for i in range(60) if i % 3 < 2)
 
 
 def test_parent_without_children_gets_empty_list(spark):
@@ -190,6 +230,38 @@ def test_first_containing_in_long_texts(spark):
     assert got == brute_first(labels, texts)
 
 
+def test_short_labels_and_every_length(spark):
+    """Labels shorter than a gram, of its length and longer, and pieces of such lengths between wildcards."""
+    rng = random.Random(11)
+    texts = [(f"{i:03}", "".join(rng.choices("abcAB ü", k=rng.randint(0, 14)))) for i in range(300)]
+    plain = ["".join(rng.choices("abc ü", k=k)) for k in range(1, 9) for _ in range(25)]
+    wild = ["".join(rng.choices("abü%_", k=k)) for k in range(2, 8) for _ in range(25)]
+    t = spark.createDataFrame(texts, "code string, text string")
+    got = {r["label"]: r["code"] for r in first_containing(spark.createDataFrame([(x,) for x in plain + wild], "label string"), t).collect()}
+    assert got == brute_first({*plain, *wild}, texts)
+
+
+def test_postings_follow_the_texts_not_the_labels(spark):
+    """A posting a character, whatever the number and lengths of labels."""
+    texts = spark.range(50).select(F.col("id").cast("string").alias("code"), F.repeat(F.lit("some words "), 20).alias("text"))
+    assert _postings(texts, spark.createDataFrame([(3,)], "n int")).count() == 50 * (220 - 2)
+    anchors = _anchors(
+        spark.createDataFrame([("zebra words", "zebra words", 11), ("qqq", "qqq", 3)], "folded string, piece string, n int"),
+        spark.createDataFrame([(g, 1 if g == "ra " else 9) for g in ("zeb", "ebr", "bra", "ra ", "a w", " wo", "wor", "ord", "rds")], "gram string, n_postings long"),
+    )
+    assert [tuple(r)[0::3] for r in anchors.select("folded", "n", "gram", "offset").collect()] == [("zebra words", 4)]
+
+
+def test_a_gram_of_nearly_all_texts_is_spread(spark):
+    texts = spark.range(0, 20_000, 1, 32).select(
+        F.format_string("%06d", "id").alias("code"), F.concat(F.lit("aab"), F.col("id").cast("string")).alias("text")
+    )
+    labels = spark.createDataFrame([("aab19999",), ("a%b1234",), ("aab",), ("aab9_9",)], "label string")
+    with plain_shuffles(spark, 64):
+        got = {r["label"]: r["code"] for r in first_containing(labels, texts).collect()}
+    assert got == {"aab19999": "019999", "a%b1234": "001234", "aab": "000000", "aab9_9": "000909"}
+
+
 @pytest.mark.parametrize("partitions", [1, 5])
 def test_number_rows(spark, partitions):
     codes = [str(i) for i in range(500)]
