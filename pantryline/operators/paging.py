@@ -1,17 +1,29 @@
-"""Pages of an ordered table, with the totals and page numbers that go with them."""
+"""Pages of an ordered table, with the totals and page numbers that go with them.
+
+A page of any table is one pass: the top rows, and the total observed on the way. A table whose pages
+are read often, or far down, is stored in ranges of its order with a directory of their sizes; there every
+page, the first or the millionth, opens the one or two ranges it lies in.
+"""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from pantryline.session import staged
+from pantryline.session import work_dir
 
 DEFAULT_PAGE_SIZE = 20
 MAX_PAGE_SIZE = 100
-# A task of a top-k holds all rows up to the page's end.
-MAX_TOP_ROWS = 10_000_000
+#: Rows that a task of a top-k may hold; a page that ends further down is read from ranges.
+TOP_ROWS = 1_000_000
+#: Rows of a stored range.
+RANGE_ROWS = 100_000
+# Rows of a partition are numbered in these bits of `monotonically_increasing_id`.
+_WITHIN = (1 << 33) - 1
 
 
 def next_page(page: Column, size: Column, total: Column) -> Column:
@@ -49,62 +61,125 @@ class Page:
         return rows.unionByName(self.info.filter(found == 0).select(*none, *self.info.columns))
 
 
+def _ranged(df: DataFrame, order: list[str], ranges: int) -> DataFrame:
+    """Rows dealt into ranges of the order, with `__range` and, from 0, their place `__at` within."""
+    return (
+        df.repartitionByRange(ranges, *order)
+        .sortWithinPartitions(*order)
+        .withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit(_WITHIN))})
+    )
+
+
+def _directory(rows: DataFrame) -> DataFrame:
+    """(range, start, n): the rows before each range, and its own. One row a range that has any."""
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(F.col("__range").alias("range")).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), "n")
+
+
 def number_rows(
     df: DataFrame, order: str | list[str], name: str = "position", ranges: int | None = None
 ) -> DataFrame:
     """Add the 1-based place of every row in the whole order, without a single-task window.
 
-    Rows are split into ranges of `order`, as many as shuffle partitions unless told. Rows are then
-    counted within their range, and each range starts after the sizes of those before it. `order` must
+    Rows are split into ranges of `order`, as many as shuffle partitions unless told, and sorted and
+    counted within; each range starts after the sizes of those before it. `order` must
     be unique: equal values are numbered in no particular order. Runs a job when called: the split is
     written to the shared folder, so that it stays the same however often it is read.
     """
+    spark = df.sparkSession
     order = [order] if isinstance(order, str) else order
-    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split = staged(
-        df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "numbered"
-    )
-    # At most one row per range.
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = split.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).select(
-        "__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start")
-    )
-    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    return (
-        split.withColumn("__within", within)
-        .join(starts, "__range")
-        .select(*df.columns, (F.col("__start") + F.col("__within")).alias(name))
-    )
+    path = work_dir(spark, "numbered")
+    split = _ranged(df, order, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    split.write.parquet(path)
+    split = spark.read.schema(split.schema).parquet(path)
+    starts = F.broadcast(_directory(split).withColumnRenamed("range", "__range"))  # one row a range
+    return split.join(starts, "__range").select(*df.columns, (F.col("start") + F.col("__at") + 1).alias(name))
 
 
-def _envelope(df: DataFrame, page: int, page_size: int) -> DataFrame:
-    p, s = F.lit(page).cast("bigint"), F.lit(page_size).cast("bigint")
-    return df.agg(F.count(F.lit(1)).alias("count")).select(
-        "count",
-        next_page(p, s, F.col("count")).alias("next"),
-        previous_page(p).alias("previous"),
-    )
+def _envelope(count: int, page: int, page_size: int) -> tuple[int, int | None, int | None]:
+    """(count, next, previous) as `next_page` and `previous_page` give them."""
+    return count, page + 1 if page * page_size < count else None, page - 1 if page > 1 else None
+
+
+def _page(df: DataFrame, rows: list, count: int, page: int, page_size: int) -> Page:
+    """A page's few rows and its envelope."""
+    spark = df.sparkSession
+    info = spark.createDataFrame([_envelope(count, page, page_size)], "count long, next long, previous long")
+    return Page(spark.createDataFrame(rows, df.schema), info)
+
+
+def _top(df: DataFrame, order: str, offset: int, n: int) -> tuple[list, int]:
+    """The n rows after `offset` in the order, and how many rows there are, in one pass."""
+    seen = Observation()
+    rows = df.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(order).offset(offset).limit(n).collect()
+    return rows, seen.get.get("n", 0)
 
 
 def page_of(df: DataFrame, order: str, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> Page:
-    """Page by offset: a top-k of `page * page_size` rows, whatever the page.
+    """Page by offset. Runs a single pass when called, a top-k whose total is observed on the way.
 
-    `page_after` is cheaper when the last code of the previous page is known; `numbered_page` holds
-    no more rows for a later page than for the first.
+    A task of a top-k holds all rows up to the page's end, so pages far down are read from ranges,
+    as `numbered_page` does. `page_after` is cheaper when the last code of the previous page is known,
+    `read_page` when the table is stored for paging.
     """
     check_page(page, page_size)
-    if page * page_size > MAX_TOP_ROWS:
-        raise ValueError(f"a page that ends after row {MAX_TOP_ROWS} is read by numbered_page or page_after")
-    rows = df.orderBy(order).offset((page - 1) * page_size).limit(page_size)
-    return Page(rows, _envelope(df, page, page_size))
+    if page * page_size > TOP_ROWS:
+        return numbered_page(df, order, page, page_size)
+    return _page(df, *_top(df, order, (page - 1) * page_size, page_size), page, page_size)
+
 
+def store_pages(df: DataFrame, order: str, path: str, range_rows: int = RANGE_ROWS) -> None:
+    """Write a table below `path` for `read_page`: a folder a range of its order, and their directory.
+
+    Reads `df` twice, to count and to sort it. Rows equal in `order` keep the places they get here.
+    """
+    ranges = max(1, -(-df.count() // range_rows))
+    (
+        _ranged(df, [order], ranges)
+        .write.partitionBy("__range")
+        .option(f"parquet.bloom.filter.enabled#{order}", "true")
+        .parquet(f"{path}/rows")
+    )
+    spark = df.sparkSession
+    schema = StructType([*df.schema.fields, StructField("__at", LongType()), StructField("__range", IntegerType())])
+    _directory(spark.read.schema(schema).parquet(f"{path}/rows")).coalesce(1).write.parquet(f"{path}/directory")
+    spark.createDataFrame([(schema.json(), order)], _STORED).coalesce(1).write.json(f"{path}/layout")
 
-def numbered_page(df: DataFrame, order: str, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> Page:
-    """The same page from rows numbered in parallel. Runs a job when called, as `number_rows` does."""
+
+_STORED = "schema string, sorted_by string"
+
+
+def read_page(spark: SparkSession, path: str, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> Page:
+    """A page of a stored table: its ranges are found in the directory, and only these are opened.
+
+    Total and page numbers come from the directory.
+    """
+    check_page(page, page_size)
+    offset = (page - 1) * page_size
+    layout = spark.read.schema(_STORED).json(f"{path}/layout").first()
+    directory = spark.read.parquet(f"{path}/directory")
+    overlap = (F.col("start") < offset + page_size) & (F.col("start") + F.col("n") > offset)
+    # A page is shorter than a range, or else as many ranges as it has rows overlap it.
+    found = directory.agg(
+        F.sum("n").alias("count"), F.collect_list(F.when(overlap, F.struct("range", "start"))).alias("ranges")
+    ).first()
+    stored = spark.read.schema(StructType.fromJson(json.loads(layout["schema"]))).parquet(f"{path}/rows")
+    named = stored.filter(F.col("__range").isin([r["range"] for r in found["ranges"]]))
+    start = reduce(lambda c, r: c.when(F.col("__range") == r["range"], r["start"]), found["ranges"], F.when(F.lit(False), 0))
+    rows = named.withColumn("__place", start + F.col("__at")).filter((F.col("__place") >= offset) & (F.col("__place") < offset + page_size))
+    page_rows = rows.orderBy("__place").drop("__place", "__at", "__range")
+    return _page(page_rows, page_rows.collect(), found["count"] or 0, page, page_size)
+
+
+def numbered_page(
+    df: DataFrame, order: str, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE, range_rows: int = RANGE_ROWS
+) -> Page:
+    """The same page by way of `store_pages`, into the shared folder: no task holds more rows for a later page."""
     check_page(page, page_size)
-    place, offset = F.col("__position"), (page - 1) * page_size
-    rows = number_rows(df, order, "__position").filter((place > offset) & (place <= offset + page_size))
-    return Page(rows.drop("__position").orderBy(order), _envelope(df, page, page_size))
+    path = work_dir(df.sparkSession, "pages")
+    store_pages(df, order, path, range_rows)
+    return read_page(df.sparkSession, path, page, page_size)
 
 
 def page_after(df: DataFrame, order: str, last: str | None, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
@@ -115,7 +190,8 @@ def page_after(df: DataFrame, order: str, last: str | None, page_size: int = DEF
 
 
 def capped_hits(df: DataFrame, order: str, n: int, max_size: int, total: str) -> Page:
-    """The first `n` hits by `order`, and the number of all hits in `info.<total>`."""
+    """The first `n` hits by `order`, and the number of all hits in `info.<total>`, in one pass when called."""
     check_page(1, n, max_size)
-    info = df.agg(F.count(F.lit(1)).alias(total))
-    return Page(df.orderBy(order).limit(n), info)
+    rows, count = _top(df, order, 0, n)
+    spark = df.sparkSession
+    return Page(spark.createDataFrame(rows, df.schema), spark.createDataFrame([(count,)], f"{total} long"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 #: A key is hot when it holds more than one of so many parts of the rows; so there are fewer hot keys than this.
@@ -24,15 +24,23 @@ def _hashable(kind: DataType) -> bool:
     return _hashable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, MapType)
 
 
-def hot_groups(rows: DataFrame, key: str) -> dict[int, int]:
-    """Hash of each hot key, with the number of groups its rows are to be spread over: fewer than SHARE entries.
+def hot_sketch(key: str) -> tuple[Column, Column]:
+    """Aggregates over rows that have a key, for `hot_from`: a frequent-items sketch of COUNTERS counters, and a count.
 
-    Runs a job: every task keeps a frequent-items sketch of COUNTERS counters, and the sketches are
-    merged once. Nothing is shuffled by key.
+    Every task keeps a sketch, and the sketches are merged once; nothing is shuffled by key.
     """
-    hashed = F.expr(f"approx_top_k(xxhash64(`{key}`), {SHARE}, {COUNTERS})")
-    found, total = rows.filter(F.col(f"`{key}`").isNotNull()).agg(hashed, F.count(F.lit(1))).first()
-    return {r["item"]: math.ceil(SPREAD * r["count"] / total) for r in found or [] if r["count"] * SHARE > total}
+    return F.expr(f"approx_top_k(xxhash64(`{key}`), {SHARE}, {COUNTERS})").alias("__top"), F.count(F.lit(1)).alias("__rows")
+
+
+def hot_from(row: Row) -> dict[int, int]:
+    """Hash of each hot key, with the number of groups its rows are to be spread over: fewer than SHARE entries."""
+    total = row["__rows"]
+    return {x["item"]: math.ceil(SPREAD * x["count"] / total) for x in row["__top"] or [] if x["count"] * SHARE > total}
+
+
+def hot_groups(rows: DataFrame, key: str) -> dict[int, int]:
+    """The hot keys of a relation. Runs a job that reads its keys."""
+    return hot_from(rows.filter(F.col(f"`{key}`").isNotNull()).agg(*hot_sketch(key)).first())
 
 
 def hot_groups_of(counts: DataFrame, key: str, n: str) -> dict[int, int]:

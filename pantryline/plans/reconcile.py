@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pantryline.functions.nutrients import nutrient_value
 from pantryline.functions.text import truthy
 from pantryline.operators.dedup import one_per_key
 from pantryline.plans.categories import map_categories
 from pantryline.plans.taxonomy import Taxonomy
+from pantryline.sources.buckets import only_keys, read_bucketed, store_bucketed
 
 # Source names, in the order they are listed.
 OFF, FDC, GPC = "OpenFoodFacts", "USDA_FDC", "GS1_GPC"
@@ -44,11 +45,40 @@ def reconcile(
         wanted = gtins.select(F.col(gtins.columns[0]).alias("gtin")).filter(F.col("gtin").isNotNull()).distinct()
         off = off.join(wanted.withColumnRenamed("gtin", "barcode"), "barcode", "left_semi")
         fdc = fdc.join(wanted, "gtin", "left_semi")
-    # Mapped before de-duplication: the latter leaves rows partitioned for the joins.
-    categorised = one_per_key(map_categories(off, t), "barcode")
-    left = categorised.select(
-        F.col("barcode").alias("gtin"), F.struct(*[c for c in categorised.columns if c != "barcode"]).alias("o")
-    )
+    return _merged(_one_per_barcode(off, t), fdc)
+
+
+def _one_per_barcode(off: DataFrame, t: Taxonomy) -> DataFrame:
+    """Crowdsourced products with their categories, one per barcode, as `gtin`.
+
+    Mapped before de-duplication: the latter leaves rows partitioned for the joins.
+    """
+    return one_per_key(map_categories(off, t), "barcode").withColumnRenamed("barcode", "gtin")
+
+
+def store_sources(off: DataFrame, fdc: DataFrame, t: Taxonomy, path: str, buckets: int) -> None:
+    """Write both sources below `path`, each with one row per barcode, in equal buckets of it.
+
+    The inputs are those of `reconcile`. Mapping of categories and choice of records happen here, once;
+    `reconcile_stored` then needs no exchange of either source.
+    """
+    store_bucketed(_one_per_barcode(off.filter(F.col("barcode").isNotNull()), t), f"{path}/off", "gtin", buckets)
+    store_bucketed(fdc.filter(F.col("gtin").isNotNull()), f"{path}/fdc", "gtin", buckets)
+
+
+def reconcile_stored(spark: SparkSession, path: str, gtins: list[str] | DataFrame | None = None) -> DataFrame:
+    """What `reconcile` gives, from stored sources: bucket meets bucket, and neither side is shuffled.
+
+    A list of barcodes opens only their buckets; of a table of barcodes (first column) only these are
+    dealt into buckets.
+    """
+    off, fdc = (only_keys(read_bucketed(spark, f"{path}/{name}"), "gtin", gtins) for name in ("off", "fdc"))
+    return _merged(off, fdc)
+
+
+def _merged(off: DataFrame, fdc: DataFrame) -> DataFrame:
+    """Canonical products from one row per barcode of each source."""
+    left = off.select("gtin", F.struct(*[c for c in off.columns if c != "gtin"]).alias("o"))
     right = fdc.select("gtin", F.struct(*[c for c in fdc.columns if c != "gtin"]).alias("u"))
     both = left.join(right, "gtin", "full")
 

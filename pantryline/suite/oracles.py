@@ -324,6 +324,7 @@ SELECT class_code, total, page, (page - 1) * 5 AS "offset",
   CASE WHEN page > 1 THEN page - 1 END AS "previous" FROM pages""",
     "list_past_the_end": _page("segments", "segment_code", "true", 90_000, 100),
     "list_numbered": _page("bricks", "brick_code", "brick_code ILIKE '%1%' OR description ILIKE '%1%'", 4, 100),
+    "list_stored": _page("bricks", "brick_code", "true", 13, 90),
     "segment_detail": f"""WITH {HIERARCHY}, {_children("families", "family_code", "segment_code")}
 SELECT segment_code, description, position, coalesce(n, 0) AS n_families, family_code, child_description
 FROM segments LEFT JOIN kids USING (segment_code)""",

@@ -12,16 +12,16 @@ from pantryline.functions.text import fallback_label, sorted_csv, tag_label, tit
 from pantryline.functions.versions import file_stem, strip_v, version_from_path, version_status
 from pantryline.operators.dedup import first_wins
 from pantryline.operators.integrity import null_keys, orphans
-from pantryline.operators.paging import next_page, number_rows, numbered_page, previous_page
+from pantryline.operators.paging import next_page, number_rows, numbered_page, previous_page, read_page, store_pages
 from pantryline.plans import ingest, products, refresh, search, taxonomy as tx
 from pantryline.plans.categories import map_categories
-from pantryline.plans.reconcile import reconcile
+from pantryline.plans.reconcile import reconcile, reconcile_stored, store_sources
 from pantryline.session import work_dir
 from pantryline.sources import metadata
 from pantryline.sources.products import read_fdc, read_off
 from pantryline.sources.tables import read_table
 from pantryline.sources.taxonomy_xml import write_segments
-from pantryline.streaming.enrich import enrich, write_stream
+from pantryline.streaming.enrich import read_enriched, store_canonical, write_stream
 from pantryline.suite import standins as s
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,6 +133,14 @@ def list_numbered(spark: SparkSession, sf: str) -> DataFrame:
     return numbered_page(bricks, "brick_code", page=4, page_size=100).flat()
 
 
+@query
+def list_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of all bricks, stored for paging."""
+    path = work_dir(spark, "bricks")
+    store_pages(tx.matching(s.taxonomy(spark, sf), "brick"), "brick_code", path, range_rows=500)
+    return read_page(spark, path, page=13, page_size=90).flat()
+
+
 @query
 def segment_detail(spark: SparkSession, sf: str) -> DataFrame:
     return tx.child_rows(s.taxonomy(spark, sf), "segment")
@@ -591,9 +599,13 @@ def category_fallback(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _canonical(spark: SparkSession, sf: str, gtins: DataFrame | None = None) -> DataFrame:
+def _sources(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, tx.Taxonomy]:
     off = products.named_only(products.shape_off(s.off_raw(spark, sf)))
-    return reconcile(off, _wide_foods(spark, sf), s.part_taxonomy(spark, sf), gtins)
+    return off, _wide_foods(spark, sf), s.part_taxonomy(spark, sf)
+
+
+def _canonical(spark: SparkSession, sf: str) -> DataFrame:
+    return reconcile(*_sources(spark, sf))
 
 
 def _flat_product(df: DataFrame) -> list[Column]:
@@ -612,9 +624,10 @@ def _flat_product(df: DataFrame) -> list[Column]:
 
 @query
 def reconcile_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Canonical products of every order key used as a barcode; most have no source."""
-    gtins = s.table(spark, sf, "orders").select(s.text("o_orderkey"))
-    df = _canonical(spark, sf, gtins)
+    """Canonical products of every order key used as a barcode, from stored sources; most have no source."""
+    path = work_dir(spark, "sources")
+    store_sources(*_sources(spark, sf), path, buckets=8)
+    df = reconcile_stored(spark, path, s.table(spark, sf, "orders").select(s.text("o_orderkey")))
     return df.select("gtin", *_flat_product(df))
 
 
@@ -633,19 +646,15 @@ def reconcile_nutrients(spark: SparkSession, sf: str) -> DataFrame:
 def stream_enrich(spark: SparkSession, sf: str) -> DataFrame:
     """The event stream, each event looking up its user's key as a barcode."""
     base = work_dir(spark, "stream")
-    canonical_path = f"{base}/canonical"
-    _canonical(spark, sf).write.parquet(canonical_path)
+    store_canonical(_canonical(spark, sf), f"{base}/canonical", buckets=16)
     events = (
         spark.readStream.schema(s.table(spark, sf, "events").schema)
         .option("pathGlobFilter", "events.parquet")
         .parquet(sf)
         .select("event_id", s.text("user_id").alias("gtin"))
     )
-    stream = write_stream(
-        enrich(events, spark.read.parquet(canonical_path)), f"{base}/out", f"{base}/checkpoint"
-    )
-    stream.awaitTermination()
-    out = spark.read.parquet(f"{base}/out")
+    write_stream(events, f"{base}/canonical", f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    out = read_enriched(spark, f"{base}/out")
     return out.select("event_id", "gtin", *_flat_product(out))
 
 

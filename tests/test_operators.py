@@ -11,7 +11,8 @@ from pantryline.operators.containment import _anchors, _postings, first_containi
 from pantryline.operators.dedup import first_wins, last_wins, one_per_key
 from pantryline.operators.groups import attach_lists, nested_list, numbered_children, with_children
 from pantryline.operators.integrity import missing_keys, null_keys, orphans
-from pantryline.operators.paging import MAX_TOP_ROWS, number_rows, numbered_page, page_after, page_of
+from pantryline.operators import paging
+from pantryline.operators.paging import number_rows, numbered_page, page_after, page_of, read_page, store_pages
 from pantryline.operators.skew import SHARE, hot_groups, join_parent
 
 
@@ -280,8 +281,43 @@ def test_every_way_to_a_page_gives_the_same(spark):
             got = way(df, "code", page, 20)
             assert [r[0] for r in got.rows.collect()] == want
             assert got.info.first()["count"] == 300
-    with pytest.raises(ValueError, match="numbered_page"):
-        page_of(df, "code", MAX_TOP_ROWS, 20)
+
+
+def test_a_page_far_down_is_read_from_ranges(spark, monkeypatch):
+    df = spark.range(5000).select(F.format_string("%05d", "id").alias("code"), F.create_map("id", "id").alias("m"))
+    monkeypatch.setattr(paging, "TOP_ROWS", 1000)
+    p = page_of(df, "code", 41, 100)
+    assert [r["code"] for r in p.rows.collect()] == [f"{i:05}" for i in range(4000, 4100)]
+    assert tuple(p.info.first()) == (5000, 42, 40)
+
+
+def test_a_stored_page_opens_its_ranges_only(spark, tmp_path):
+    """The last page costs what the first does: at most two of fifty ranges."""
+    path = str(tmp_path / "pages")
+    store_pages(spark.range(5000).select(F.format_string("%05d", "id").alias("code"), "id"), "code", path, range_rows=100)
+    for page, size in ((1, 100), (2, 70), (50, 100), (167, 30), (5000, 1), (51, 100)):
+        p = read_page(spark, path, page, size)
+        assert [r["id"] for r in p.rows.collect()] == list(range(5000))[(page - 1) * size : page * size]
+        assert tuple(p.info.first()) == (5000, page + 1 if page * size < 5000 else None, page - 1 or None)
+    folders = {f.name: f for f in (tmp_path / "pages" / "rows").iterdir() if f.is_dir()}
+    assert len(folders) > 40
+    keep = read_page(spark, path, 25, 100).rows.first()["id"]
+    # Without the files of other ranges the page is still there.
+    for f in folders.values():
+        ids = [r["id"] for r in spark.read.parquet(str(f)).collect()]
+        if max(ids) < keep - 100 or min(ids) > keep + 200:
+            for part in f.iterdir():
+                part.unlink()
+    assert [r["id"] for r in read_page(spark, path, 25, 100).rows.collect()] == list(range(2400, 2500))
+
+
+def test_a_page_is_one_pass(spark):
+    """The rows and their number come from one scan, counted by the rows that it lets through."""
+    passed = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: passed.add(1) or x)
+    df = spark.range(0, 500, 1, 4).select(count("id").alias("code"))
+    assert page_of(df, "code", 2, 20).flat().count() == 20
+    assert passed.value == 500
 
 
 def test_an_empty_page_has_its_envelope(spark):

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F, types as T
 from pantryline.functions.nutrients import FDC_NUTRIENTS, OFF_NUTRIENTS
 from pantryline.plans.categories import map_categories
 from pantryline.plans.products import fdc_by_gtin, named_only, shape_off, with_wide_nutrients
-from pantryline.plans.reconcile import reconcile, sodium_in_mg
+from pantryline.plans.reconcile import reconcile, reconcile_stored, sodium_in_mg, store_sources
 from pantryline.plans.taxonomy import Taxonomy
 from pantryline.schemas import CANONICAL, FDC_RAW, OFF_RAW, TAXONOMY_TABLES
+from pantryline.sources.buckets import _name, buckets_for, only_keys, read_bucketed, store_bucketed
 
 BRICKS = [
     ("b3", "Beverages (Cold)", "c1"), ("b1", "Cold beverages", "c2"), ("b2", "Oat Milk", "c1"), ("b0", "", "none"),
@@ -233,3 +234,54 @@ def test_hot_tag_list(spark):
     )
     got = map_categories(df, taxonomy(spark))
     assert got.count() == 3000 and got.filter("mapped").count() == 1000
+
+
+def test_stored_sources_give_the_same_without_an_exchange(spark, tmp_path):
+    """Bucket meets bucket: not even a broadcast may help, and no row of either source is shuffled."""
+    off, fdc = make(3)
+    off = named_only(shape_off(spark.createDataFrame(off, OFF_RAW)))
+    fdc = fdc_by_gtin(with_wide_nutrients(spark.createDataFrame(fdc, FDC_RAW)))
+    t, path = taxonomy(spark), str(tmp_path / "sources")
+    store_sources(off, fdc, t, path, buckets=8)
+    columns = [f.name for f in CANONICAL.fields]
+    rows = lambda df: sorted(map(str, df.select(*columns).collect()))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    asked = spark.createDataFrame([("3",), ("5",), ("5",), ("none",), (None,)], "code string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = reconcile_stored(spark, path)
+        assert rows(whole) == rows(reconcile(off, fdc, t))
+        assert "Exchange" not in plan(whole) and plan(whole).count("Bucketed: true") == 2
+
+        some = reconcile_stored(spark, path, ["3", "5", "none"])
+        assert rows(some) == rows(reconcile(off, fdc, t, asked)) == rows(reconcile_stored(spark, path, asked))
+        assert "Exchange" not in plan(some)
+        one = plan(reconcile_stored(spark, path, ["3"]))
+        assert one.count("SelectedBucketsCount: 1 out of 8") == 2
+
+        # Of a table of barcodes only these are dealt: every exchange lies above them, none above a source.
+        text = plan(reconcile_stored(spark, path, asked))
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        lines = [x for x in text.split("Initial Plan")[0].splitlines() if x.strip()]
+        above = None
+        for line in lines:
+            if above is not None and depth(line) <= above:
+                above = None
+            if above is not None:
+                assert "Bucketed: true" not in line
+            elif "Exchange" in line:
+                above = depth(line)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_later_session_reads_stored_buckets(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    df = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "gtin string, x int")
+    store_bucketed(df, path, "gtin", 4)
+    other = spark.newSession()
+    other.sql(f"DROP TABLE IF EXISTS `{_name(path)}`")
+    assert sorted(map(str, read_bucketed(other, path).collect())) == sorted(map(str, df.collect()))
+    assert [r["x"] for r in only_keys(read_bucketed(other, path), "gtin", ["b", None]).collect()] == [3]
+    assert [buckets_for(n) for n in (0, 16_000_000, 16_000_001, 10**9)] == [8, 8, 16, 512]
