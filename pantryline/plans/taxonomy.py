@@ -15,6 +15,10 @@ from pantryline.schemas import TAXONOMY_TABLES
 from pantryline.sources.tables import folder_of, read_checked
 
 
+#: Literals that reach Parquet as such.
+PUSHED = 10
+
+
 @dataclass(frozen=True)
 class Taxonomy:
     """The eight classification tables."""
@@ -66,13 +70,27 @@ def level(name: str) -> Level:
 
 
 def _only(df: DataFrame, column: str, codes: list[str] | DataFrame | None) -> DataFrame:
-    """Restrict to codes: a literal list reaches the scan, a DataFrame becomes a semi join."""
+    """Restrict to codes: a literal list reaches the scan, a DataFrame becomes a semi join.
+
+    Parquet takes up to ten literals as such, and only the range of a longer list, so lists are given
+    in tens: row groups are then skipped by the codes themselves.
+    """
     if codes is None:
         return df
     if isinstance(codes, DataFrame):
         wanted = codes.select(F.col(codes.columns[0]).alias(column)).distinct()
         return df.join(wanted, column, "left_semi")
-    return df.filter(F.col(column).isin(list(codes)))
+    wanted = sorted({c for c in codes if c is not None})
+    tens = [F.col(column).isin(wanted[i : i + PUSHED]) for i in range(0, len(wanted), PUSHED)]
+    return df.filter(_any(tens))
+
+
+def _any(conditions: list[Column]) -> Column:
+    """OR as a balanced tree, so that long lists nest little."""
+    if len(conditions) < 2:
+        return conditions[0] if conditions else F.lit(False)
+    half = len(conditions) // 2
+    return _any(conditions[:half]) | _any(conditions[half:])
 
 
 # ---- lists ----------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -47,37 +48,49 @@ def spread_families(docs: DataFrame) -> DataFrame:
     )
 
 
-def _first_tag(spark: SparkSession, status, chunk: int = 1 << 14) -> str:
-    """A file up to the end of its first start tag; empty when it has none."""
-    path = status.getPath()
-    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
+# What may come before the root: comments, declarations and instructions; a doctype may hold brackets.
+_PROLOGUE = re.compile(rb"<!--.*?-->|<\?.*?\?>|<![A-Za-z](?:[^\[>]|\[.*?\])*>", re.S)
+_START_TAG = re.compile(rb"""<[^\W\d!?](?:[^>"']|"[^"]*"|'[^']*')*>""")
+
+
+def _first_tag(spark: SparkSession, path, chunk: int = 1 << 14) -> str:
+    """A file's first start tag outside comments; empty when it has none. Read through the codec of its name."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    stream = path.getFileSystem(conf).open(path)
+    codec = spark.sparkContext._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    if codec is not None:
+        stream = codec.createInputStream(stream)
     try:
         data = b""
         while True:
             more = bytes(stream.readNBytes(chunk))
-            data += more
-            found = re.search(rb"<[^\W\d][^>]*>", data)
+            data = _PROLOGUE.sub(b"", data + more)
+            # A comment that hasn't ended hides what follows it.
+            found = _START_TAG.search(data.split(b"<!--", 1)[0])
             if found or not more:
                 return found[0].decode("utf-8", "replace") if found else ""
     finally:
         stream.close()
 
 
-def read_document_date(spark: SparkSession, path: str) -> DataFrame:
+def read_document_date(spark: SparkSession, path: str, at_once: int = 32) -> DataFrame:
     """(xml_source, xml_date): the `dateUtc` of each file's root element, else `unknown`.
 
-    A read of metadata, one per file when called: each is opened, and read only up to the end of its
-    first start tag. The root's name need not be known.
+    A read of metadata when called: the driver opens so many files at a time, and each only up to the end of its
+    root's start tag, which for a task would be the shortest of jobs. The root's name need not be known.
+    Compressed files are read through their codec; tags in comments don't count.
     """
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = [s for top in fs.globStatus(root) or [] for s in fs.listStatus(top.getPath())]
-    files = [s for s in found if s.isFile() and s.getPath().getName()[0] not in "_."]
-    rows = []
-    for status in files:
-        date = re.search(r"\sdateUtc\s*=\s*[\"']([^\"']*)[\"']", _first_tag(spark, status))
-        rows.append((status.getPath().toString(), date[1] if date else UNKNOWN))
-    return spark.createDataFrame(rows, "xml_source string, xml_date string")
+    files = [s.getPath() for s in found if s.isFile() and s.getPath().getName()[0] not in "_."]
+
+    def date(file) -> tuple[str, str]:
+        value = re.search(r"\sdateUtc\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", _first_tag(spark, file))
+        return file.toString(), next((v for v in value.groups() if v is not None), UNKNOWN) if value else UNKNOWN
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return spark.createDataFrame(list(pool.map(date, files)), "xml_source string, xml_date string")
 
 
 def write_segments(docs: DataFrame, path: str, date: str | None = None) -> None:

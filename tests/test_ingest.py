@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import gzip
 import os
 from datetime import datetime, timezone
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pantryline.plans import ingest
-from pantryline.plans.taxonomy import Taxonomy, brick_detail
+from pantryline.plans.taxonomy import PUSHED, Taxonomy, _only, brick_detail
 from pantryline.schemas import TAXONOMY_TABLES
 from pantryline.sources import metadata, tables
 from pantryline.sources.taxonomy_xml import read_document_date, read_segments, spread_families
@@ -206,6 +207,114 @@ def test_a_failed_import_leaves_the_published_version(spark, tmp_path):
         tables.folder_of(spark, out, "9")
 
 
+def test_interleaved_imports_both_publish_in_an_order(spark, tmp_path, monkeypatch):
+    """The second takes the number that the first had read as free."""
+    root = str(tmp_path)
+    real, raced = tables._log_files, []
+
+    def slow(*args):
+        found = real(*args)
+        if not raced:
+            raced.append(True)
+            tables.publish(spark, root, "b", "folder-b")  # ends in between
+        return found
+
+    monkeypatch.setattr(tables, "_log_files", slow)
+    assert tables.publish(spark, root, "a", "folder-a") == 2
+    monkeypatch.undo()
+    assert tables.current_version(spark, root) == "a"
+    assert tables.folder_of(spark, root, "b") == "folder-b"
+    assert [e["seq"] for e in tables._entries(spark, root)] == [2, 1]
+    assert tables.publish(spark, root, "b", "folder-c") == 3
+    assert tables.folder_of(spark, root) == tables.folder_of(spark, root, "b") == "folder-c"
+
+
+def test_leftovers_of_failed_imports_can_go(spark, tmp_path):
+    out = str(tmp_path / "out")
+    ingest.ingest_taxonomy(spark, XML, out, "1")
+    (tmp_path / "broken.xml").write_text(ORPHANS)
+    with pytest.raises(ValueError):
+        ingest.ingest_taxonomy(spark, str(tmp_path / "broken.xml"), out, "2")
+    assert tables.unpublished(spark, out) == []  # too young
+    left = tables.remove_unpublished(spark, out, older_than_hours=0)
+    assert len(left) == 1 and left[0].startswith("2-")
+    assert tables.unpublished(spark, out, 0) == []
+    assert set(rows(Taxonomy.read(spark, out).bricks)) == BRICKS
+
+
+def test_dates_behind_comments_and_codecs(spark, tmp_path):
+    head = """<?xml version="1.0"?><!DOCTYPE schema [<!ENTITY x "y>">]>
+<!-- <schema dateUtc="1/1/1999"> --><!-- a > b -->"""
+    texts = {
+        "a.xml": head + """<schema note="dateUtc='0'" dateUtc='2/12/2024'><segment/></schema>""",
+        "b.xml.gz": head + '<schema dateUtc="3/1/2024"/>',
+        "c.xml": "<!--" + "x>" * 20_000 + '--><s dateUtc="it\'s"/>',
+        "d.xml": "<!-- never ends <schema dateUtc='1/1/1999'>",
+        "e.xml": "<schema><segment dateUtc='1/1/1999'/></schema>",
+        "f.xml": "",
+    }
+    for name, text in texts.items():
+        data = text.encode()
+        (tmp_path / name).write_bytes(gzip.compress(data) if name.endswith("gz") else data)
+    got = {r[0].rsplit("/", 1)[1]: r[1] for r in read_document_date(spark, str(tmp_path)).collect()}
+    assert got == {
+        "a.xml": "2/12/2024", "b.xml.gz": "3/1/2024", "c.xml": "it's", "d.xml": "unknown", "e.xml": "unknown", "f.xml": "unknown",
+    }
+
+
+def test_dates_of_many_files(spark, tmp_path):
+    for i in range(1000):
+        (tmp_path / f"{i:04}.xml").write_text(f'<!-- {i} --><schema dateUtc="{i}/1/2024"/>')
+    got = dict(map(tuple, read_document_date(spark, str(tmp_path)).collect()))
+    assert {k.rsplit("/", 1)[1]: v for k, v in got.items()} == {f"{i:04}.xml": f"{i}/1/2024" for i in range(1000)}
+
+
+def rows_scanned(df):
+    """Rows that the scans handed on, after row groups and pages were skipped."""
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif node.nodeName().startswith("Scan"):
+            found += node.metrics().apply("numOutputRows").value()
+        else:
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+            if node.nodeName().endswith("QueryStage"):
+                todo.append(node.plan())
+    return found
+
+
+def test_a_lookup_by_code_skips_row_groups(spark, tmp_path, monkeypatch):
+    """Five codes of 400,000 bricks read fewer than a tenth of the rows, an absent one none; long lists are whole."""
+    n = 400_000
+    bricks = spark.range(0, n, 1, 8).select(
+        F.format_string("%08d", F.pmod(F.xxhash64("id"), F.lit(10**8))).alias("brick_code"),
+        F.sha2(F.col("id").cast("string"), 256).alias("description"),
+        F.format_string("c%07d", (F.col("id") * 7919) % 100_000).alias("class_code"),
+        F.lit(None).cast("string").alias("reason"),
+    )
+    monkeypatch.setattr(tables, "ROW_GROUP", 128 << 10)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        tables.write_checked("bricks", bricks, str(tmp_path), "f")
+        stored = tables.read_checked(spark, "bricks", str(tmp_path), folder="f").filter("ok").select("brick_code", "description", "class_code")
+        empty = {name: spark.createDataFrame([], ", ".join(f"{c} string" for c in spec[0])) for name, spec in TAXONOMY_TABLES.items()}
+        t = Taxonomy(**{**empty, "bricks": stored})
+        codes = [r[0] for r in stored.select("brick_code").limit(5).collect()]
+        found = _only(t.bricks, "brick_code", codes)
+        assert found.count() >= 5 and rows_scanned(found) < n / 10
+        assert rows_scanned(_only(t.bricks, "brick_code", ["00000000x"])) == 0
+        many = [r[0] for r in stored.select("brick_code").sample(0.0002, 1).collect()]
+        assert len(many) > 3 * PUSHED
+        assert {r[0] for r in _only(t.bricks, "brick_code", [*many, None]).select("brick_code").collect()} == set(many)
+        assert _only(t.bricks, "brick_code", []).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_metadata_upsert(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string")
     new = spark.createDataFrame([("b", "1"), ("c", "3")], "key string, value string")
