@@ -440,16 +440,17 @@ def one_of_each(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOL
         docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"),
         "repeated",
     )
-    kept = docs.join(lost, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    order = F.struct(F.xxhash64("text"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.join(lost, "doc_id", "left_anti").select(*columns)
+    whole = F.struct(*columns)
+    order = F.struct(F.xxhash64("text"), F.xxhash64(*columns))
     single = (
         kept.join(again, "doc_id", "left_semi")
         .groupBy(F.col("doc_id").alias("__id"))
         .agg(F.min_by(whole, order).alias("__row"))
         .select("__row.*")
     )
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(single)
+    return kept.join(again, "doc_id", "left_anti").select(*columns).unionByName(single)
 
 
 #: The same components from all pairs that share a shingle, for DuckDB.
