@@ -130,7 +130,9 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """(id, vector, row) of the rows that take part; `row` tells rows with equal ids apart."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     vector = F.col("vector")
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<float>").alias("vector"))
+    # Single precision stays so; anything else is held, and searched, in double precision.
+    kind = "float" if vectors.schema[vector_column].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast(f"array<{kind}>").alias("vector"))
     rows = rows.filter(
         F.col("id").isNotNull() & vector.isNotNull() & F.forall(vector, finite) & F.exists(vector, lambda x: x != 0)
     )

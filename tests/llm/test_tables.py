@@ -114,6 +114,17 @@ def test_all_are_found_where_there_are_few(spark):
     assert neighbours.search(vectors.limit(0), F.col("id") % 4 == 0).collect() == []
 
 
+def test_doubles_are_searched_as_doubles(spark):
+    """Scores on the original vectors, and none lost for being beyond single precision."""
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=8) * (1e39 if i == 7 else 1)).tolist()) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(vectors, F.pmod(F.col("id"), F.lit(20)) == 0, 20).collect()
+    own = dict(rows)
+    assert {r.query_id for r in got} == {0, 20, 40} and any(r.id == 7 for r in got)
+    assert all(r.score == sum(np.array(own[r.query_id]) * np.array(own[r.id])) or np.isclose(r.score, np.dot(own[r.query_id], own[r.id]), rtol=1e-14) for r in got)
+
+
 def test_ties_and_repeated_vectors(spark):
     rows = [(i, [1.0, 0.0]) for i in range(30)] + [(0, [0.0, 1.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
