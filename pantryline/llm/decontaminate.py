@@ -7,11 +7,13 @@ smallest. The number of bins follows the document's size class (the next power o
 short item inside a very long document meets as dense a sketch as in a short one; how many bins
 each element has follows the smallest item. Both are set so that an item that is contained has
 fewer hits than asked for with a chance below 1e-6. Sketch elements meet the items' shingles by
-equality; pairs with enough hits are verified on the full sets of their documents.
+equality; pairs with enough hits are verified on the full sets of their documents. An item shorter
+than a shingle can't be sketched so: the documents' word sequences of just the lengths of such items
+meet these by equality.
 
 All of it is DataFrame functions. Results, per pair: doc_id, item_id, n_shingles of the item,
-n_shared, containment. Null and empty texts are in no pair. An item shorter than a shingle is
-found in documents that are just this sequence. Rows equal in doc_id and text, or in item_id and
+n_shared, containment. Null and empty texts are in no pair. An item shorter than a shingle is one
+element, its whole sequence, and found wherever these words follow each other. Rows equal in doc_id and text, or in item_id and
 text, count once; rows with a null doc_id are reported with null. Equal texts with different
 item_ids are reported each, and so are different texts with one item_id. Other columns play no part.
 """
@@ -44,7 +46,7 @@ def computed(rows: DataFrame, **columns: Column) -> DataFrame:
 
 
 def shingled(rows: DataFrame, keys: list[str], words: int = WORDS) -> DataFrame:
-    """keys, and `shingles`: the distinct hashes, ascending."""
+    """keys, `n_words`, and `shingles`: the distinct hashes, ascending."""
     listed = computed(rows.filter(F.col("text").isNotNull()), words=word_list(F.col("text"))).select(*keys, "words")
     size = F.size("words")
     hashes = F.transform(
@@ -53,7 +55,19 @@ def shingled(rows: DataFrame, keys: list[str], words: int = WORDS) -> DataFrame:
     )
     short = F.array(F.xxhash64(F.array_join("words", " ")))
     distinct = F.sort_array(F.array_distinct(F.when(size >= words, hashes).otherwise(short)))
-    return computed(listed.filter(size > 0), shingles=distinct).select(*keys, "shingles")
+    return computed(listed.filter(size > 0), shingles=distinct).select(*keys, size.alias("n_words"), "shingles")
+
+
+def _sequences(rows: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
+    """(keys, hash): the distinct sequences of so many words, few lengths below that of a shingle."""
+    listed = computed(rows.filter(F.col("text").isNotNull()), words=word_list(F.col("text"))).select(*keys, "words")
+
+    def of_length(n: int) -> Column:
+        starts = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: F.xxhash64(F.array_join(F.slice("words", at, n), " ")))
+
+    hashes = F.array_distinct(F.concat(*[of_length(n) for n in lengths]))
+    return listed.select(*keys, F.explode(hashes).alias("hash"))
 
 
 def _needed(n: Column, threshold: float) -> Column:
@@ -69,10 +83,13 @@ def contained(
     `text_key` is a hash of the text, telling rows with the same doc_id apart. Runs jobs when called.
     """
     given = benchmark.select("item_id", "text", F.xxhash64("text").alias("item_key")).distinct()
-    items = shingled(given, ["item_id", "item_key"], words).select(
-        "item_id", "item_key", F.size("shingles").alias("n_shingles"), F.explode("shingles").alias("hash")
+    every = shingled(given, ["item_id", "item_key"], words).select(
+        "item_id", "item_key", "n_words", F.size("shingles").alias("n_shingles"), F.explode("shingles").alias("hash")
     )
-    items = staged(items.withColumn("needed", _needed(F.col("n_shingles"), threshold)), "items")
+    every = staged(every.withColumn("needed", _needed(F.col("n_shingles"), threshold)), "items")
+    items = every.filter(F.col("n_words") >= words).drop("n_words")
+    short = every.filter(F.col("n_words") < words)
+    lengths = [r["n_words"] for r in short.select("n_words").distinct().collect()]  # below `words`
 
     # Bits beyond the size class: with a load of 2^-bits elements a bin, a share of about 1 - load / 2
     # of the elements is the smallest of its bin, and all but that of the fewest shared ones may be lost.
@@ -83,7 +100,7 @@ def contained(
     share = (1 - F.exp(-load)) / load
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    sets = shingled(keyed, ["doc_id", "text_key"], words).withColumn("extra", extra)
+    sets = shingled(keyed, ["doc_id", "text_key"], words).drop("n_words").withColumn("extra", extra)
     sets = sets.withColumn("shift", 64 - F.ceil(F.log2(F.size("shingles").cast("double"))).cast("int") - F.col("extra"))
     # Ascending hashes lie bin by bin, the smallest of each first.
     bin_of = lambda h: F.call_function("shiftrightunsigned", h, F.col("shift"))
@@ -112,6 +129,13 @@ def contained(
     of_pair = ["doc_id", "text_key", "item_id", "item_key", "n_shingles"]
     met = full.join(items.drop("needed"), "hash").groupBy(*of_pair).agg(F.count(F.lit(1)).alias("n_shared"))
     reached = met.filter(F.col("n_shared") >= _needed(F.col("n_shingles"), threshold)).drop("item_key")
+    if lengths:
+        met = _sequences(keyed, ["doc_id", "text_key"], lengths).join(short.select("item_id", "item_key", "hash"), "hash")
+        one = F.lit(1).cast("long")
+        found = met.select("doc_id", "text_key", "item_id", "item_key").distinct().drop("item_key")
+        reached = reached.unionByName(
+            found.select("doc_id", "text_key", "item_id", F.lit(1).alias("n_shingles"), one.alias("n_shared"))
+        )
     return reached.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
@@ -130,16 +154,19 @@ WITH listed AS (
     FROM documents
     UNION ALL
     SELECT 'b', item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark
+), lengths AS (
+    -- An item of fewer words than a shingle is one sequence; texts have the sequences of all such lengths.
+    SELECT DISTINCT 'd' AS kind, least(len(w), 5) AS k FROM listed WHERE kind = 'b' AND len(w) > 0
 ), shingles AS (
-    SELECT DISTINCT kind, id, unnest(CASE
-        WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-        ELSE [array_to_string(w, ' ')] END) AS s
-    FROM listed WHERE len(w) > 0
+    SELECT DISTINCT kind, id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+    FROM (SELECT kind, id, w, least(len(w), 5) AS k FROM listed WHERE kind = 'b'
+          UNION ALL SELECT kind, id, w, k FROM listed JOIN lengths USING (kind))
+    WHERE len(w) >= k AND k > 0
 ), items AS (
-    SELECT id AS item_id, s, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE kind = 'b'
+    SELECT id AS item_id, k, s, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE kind = 'b'
 )
 SELECT d.id AS doc_id, item_id, n AS n_shingles, count(*) AS n_shared, count(*) / n AS containment
-FROM shingles d JOIN items USING (s)
+FROM shingles d JOIN items USING (k, s)
 WHERE d.kind = 'd'
 GROUP BY d.id, item_id, n
 HAVING 100 * count(*) >= 80 * n

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -139,20 +140,19 @@ def test_sketches_estimate_similarity():
 # --- containment --------------------------------------------------------------------------------
 
 
-def plain_items(text):
+def plain_items(text, n=5):
     words = re.findall(r"[^\W_]+", (text or "").lower())
-    if len(words) < 5:
-        return {tuple(words)} if words else set()
-    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
 def check_contained(docs, benchmark):
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contained(docs, benchmark).collect()}
     want = {}
     for d in docs.select("doc_id", "text").collect():
-        own = plain_items(d.text)
+        own = set().union(*[plain_items(d.text, n) for n in range(1, 6)])
         for b in benchmark.collect():
-            item = plain_items(b.text)
+            n_words = len(re.findall(r"[^\W_]+", (b.text or "").lower()))
+            item = plain_items(b.text, min(5, n_words)) if n_words else set()
             if item and 100 * len(item & own) >= 80 * len(item):
                 want[d.doc_id, b.item_id] = (len(item), len(item & own))
     assert {k: (r.n_shingles, r.n_shared) for k, r in got.items()} == want
@@ -191,6 +191,24 @@ def test_containment_of_awkward_rows(spark, edge_docs, no_docs):
     assert decontaminate.clean_of(edge_docs, benchmark.limit(0)).count() == edge_docs.count()
 
 
+def test_short_items_are_found_inside_longer_texts(spark):
+    """Also by the SQL: the words of an item of one to four words follow each other anywhere."""
+    docs = [
+        (1, "The Secret answer: forty-two, said the machine, and then it went on for a while"), (2, "secret answer forty"),
+        (3, "answer"), (4, "forty two secret answer"), (5, "no such words stand here at all"), (6, "secret answer forty two"),
+    ]
+    items = [(1, "secret answer forty two"), (2, "answer"), (3, "forty, two"), (4, "the machine and"), (5, "a b c d e f"), (5, "while")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = check_contained(docs, benchmark.filter("item_id < 5"))
+    assert set(found) == {(1, 1), (6, 1), (1, 2), (2, 2), (3, 2), (4, 2), (6, 2), (1, 3), (4, 3), (6, 3), (1, 4)}
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    con.register("benchmark", benchmark.filter("item_id < 5").toArrow())
+    assert {r[:2] for r in con.execute(decontaminate.ORACLE).fetchall()} == set(found)
+    assert [r.doc_id for r in decontaminate.clean_of(docs, benchmark).collect()] == [5]
+
+
 def test_repeated_benchmark_rows_count_once(spark):
     item = " ".join(f"w{i}" for i in range(14))  # ten shingles
     other = " ".join(f"v{i}" for i in range(14))
@@ -334,3 +352,20 @@ def test_toxicity_of_awkward_rows(insults, edge_docs, no_docs):
 def test_held_out_rows_are_never_learned_from(spark):
     rows = learnable(spark.range(1000).withColumnRenamed("id", "doc_id"), 4, 2).collect()
     assert rows and all(zlib.crc32(str(r.doc_id).encode()) % 4 != 2 for r in rows)
+
+
+def test_columns_with_dots_are_kept(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 1), (2, "a b c d e f", 2), (2, "x", 3)], "doc_id long, text string, `n.x` int")
+    kept = neardup.one_of_each(docs)
+    assert kept.columns == ["doc_id", "text", "n.x"] and sorted(r["n.x"] for r in kept.collect()) == [1]
+
+
+def test_flushed_counts_give_the_same_model(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(["vile", "awful", "tree", "house", "river", "walk"], k=12)), i % 2) for i in range(80)]
+    rows = [(i, t + (" scum filth" if toxic else " meadow"), toxic) for i, t, toxic in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    whole = toxicity.learn(docs.drop("toxic"), docs)
+    monkeypatch.setattr(toxicity, "COUNTED", 5)
+    flushed = toxicity.learn(docs.drop("toxic"), docs)
+    assert whole.keys == flushed.keys and np.allclose(whole.weights, flushed.weights) and len(whole.keys) > 3
