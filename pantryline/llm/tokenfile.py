@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
@@ -41,8 +42,10 @@ BLOCK = 128
 PERCENTILE = 0.9
 #: A segment is closed once it holds this many ids; a document is never split.
 SEGMENT_IDS = 1 << 18
-#: Entries held at most per worker of each of the two caches; a full one is emptied.
-WORD_CACHE = 300_000
+#: Entries of each half of the two caches of a worker.
+CHUNK_CACHE, PIECE_CACHE = 400_000, 100_000
+#: Bytes of texts that are encoded together.
+ENCODED_BYTES = 8 << 20
 MAGIC = 0x31524650
 
 #: Texts of these characters only are split here by the same classes as in the library.
@@ -50,8 +53,11 @@ PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-į]*")
 WORDS = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\\s{LETTERS}{NUMBERS}]+|\\s+(?!\\S)|\\s+"
 )
+#: What often follows a word; not the apostrophe, which may begin an ending.
+MARKS = ".,;:!?"
 #: A space next to other white space.
-SPACE_RUN, WHITE = re.compile(" \\s|\\s "), " \t\n\r"
+WHITE = " \t\n\r"
+SPACE_RUNS = [" " + c for c in WHITE] + [c + " " for c in WHITE[1:]]
 
 
 # --- the block format ---------------------------------------------------------------------------
@@ -178,6 +184,30 @@ def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
 # --- encoding texts -----------------------------------------------------------------------------
 
 
+class Recent:
+    """What was met lately: when the new half is full it becomes the old one, and what is met there moves back.
+
+    So frequent words stay, and at most twice `size` entries are held.
+    """
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def find(self, word: str) -> bytes | None:
+        known = self.new.get(word)
+        if known is None and (known := self.old.get(word)) is not None:
+            self.keep(word, known)
+        return known
+
+    def keep(self, word: str, ids: bytes) -> bytes:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[word] = ids
+        return ids
+
+
 class ByteBpe:
     """Ids of texts from the tokenizers library, as little-endian unsigned 32-bit integers.
 
@@ -196,46 +226,85 @@ class ByteBpe:
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters = {i: c for i, c in enumerate(byte_characters())}
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.chunks, self.pieces = Recent(CHUNK_CACHE), Recent(PIECE_CACHE)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _merged(self, marks: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(marks)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
-        known = self.pieces.get(piece)
+        known = self.pieces.find(piece)
         if known is None:
-            if len(self.pieces) >= WORD_CACHE:
-                self.pieces.clear()
-            marks = piece.encode().decode("latin-1").translate(self.letters)
-            known = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(marks)]).tobytes()
+            known = self.pieces.keep(piece, self._merged(piece.encode().decode("latin-1").translate(self.letters)))
         return known
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk with the space before it."""
-        known = self.chunks.get(chunk)
-        if known is None:
-            if len(self.chunks) >= WORD_CACHE:
-                self.chunks.clear()
-            known = self.chunks[chunk] = self._pieces(" " + chunk)
-        return known
+        known = self.chunks.find(chunk)
+        if known is not None:
+            return known
+        word = chunk.rstrip(MARKS)
+        if not (word.isascii() and word.isalpha()):
+            ids = self._pieces(" " + chunk)
+        elif len(word) < len(chunk):  # the marks after a word are a piece of their own
+            ids = self._chunk(word) + self._piece(chunk[len(word) :])
+        else:  # letters are one piece, and ASCII letters stand for themselves
+            ids = self._merged(self.letters[ord(" ")] + chunk)
+        return self.chunks.keep(chunk, ids)
 
     def _pieces(self, text: str) -> bytes:
         return b"".join([self._piece(p) for p in WORDS.findall(text)])
 
-    def encode(self, text: str | None) -> bytes:
+    def _unsplit(self, text: str) -> bytes | None:
+        """Ids of a text that can't be cut at its spaces; None for one that can."""
         if not text:
             return b""
         if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return self.whole(text)
-        if text[0] in WHITE or text[-1] in WHITE or SPACE_RUN.search(text):
+        if text[0] in WHITE or text[-1] in WHITE or any(run in text for run in SPACE_RUNS):
             return self._pieces(text)
+        return None
+
+    def encode(self, text: str | None) -> bytes:
+        known = self._unsplit(text or "")
+        if known is not None:
+            return known
         first, *rest = text.split(" ")
-        known = self.chunks
-        try:
-            return self._pieces(first) + b"".join([known[c] for c in rest])
-        except KeyError:
-            return self._pieces(first) + b"".join([self._chunk(c) for c in rest])
+        return self._pieces(first) + b"".join([self._chunk(c) for c in rest])
+
+    def encode_all(self, texts: list[str | None], last: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each text, all ids in a row); `last` is appended to every text.
+
+        Arrow cuts the texts at their spaces and numbers the different chunks, so each is looked up
+        once, and numpy puts their ids in place. What comes before a text's first space, or a text that
+        can't be cut, is a chunk of its own.
+        """
+        alone = [self._unsplit(t or "") for t in texts]
+        cut = pa.array([t if ids is None else "" for t, ids in zip(texts, alone, strict=True)], pa.large_string())
+        listed = pc.split_pattern(cut, " ")
+        numbered = listed.values.dictionary_encode()
+        chunks = numbered.dictionary.to_pylist()
+        starts = np.asarray(listed.offsets)[:-1]
+        leading = listed.values.take(pa.array(starts)).to_pylist()
+        own = [self._pieces(word) if ids is None else ids for word, ids in zip(leading, alone, strict=True)]
+        places = np.array(numbered.indices, np.int64)
+        places[starts] = len(chunks) + np.arange(len(texts))
+        # A chunk that only begins texts has no space before it and isn't looked up.
+        used = np.zeros(len(chunks) + len(texts) + 1, bool)
+        used[places] = True
+        found = [self._chunk(c) if u else b"" for c, u in zip(chunks, used.tolist())] + own + [last]
+        places = np.insert(places, np.asarray(listed.offsets)[1:], len(found) - 1)
+        sizes = np.array([len(f) for f in found], np.int64) // 4
+        begins = np.cumsum(sizes) - sizes
+        counts = sizes[places]
+        ends = np.cumsum(counts)
+        at = np.repeat(begins[places] - (ends - counts), counts)
+        at += np.arange(len(at))
+        ids = np.frombuffer(b"".join(found), "<u4")[at]
+        until = np.concatenate([[0], ends])[np.asarray(listed.offsets)[1:] + np.arange(1, len(texts) + 1)]
+        return np.diff(until, prepend=0), ids
 
 
 @functools.cache
@@ -247,6 +316,16 @@ def byte_bpe(name: str = VOCABULARY) -> ByteBpe:
 # --- files --------------------------------------------------------------------------------------
 
 
+def _stretches(texts: pa.Array, limit: int) -> list[tuple[int, int]]:
+    """Neighbouring rows of about `limit` bytes together, a longer text by itself."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+    cuts = [0]
+    while cuts[-1] < len(ends):
+        before = int(ends[cuts[-1] - 1]) if cuts[-1] else 0
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, before + limit, "right"))))
+    return list(zip(cuts, cuts[1:]))
+
+
 def write_tokens(
     docs: DataFrame, path: str, ranges: int, vocabulary: str = VOCABULARY, end_id: int = END_ID,
     segment_ids: int = SEGMENT_IDS,
@@ -262,18 +341,25 @@ def write_tokens(
         part, seq, first = TaskContext.get().partitionId(), 0, 0
         doc_ids, counts, pieces, n = [], [], [], 0
         for batch in parts:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = bpe.encode(text.as_py()) + end
-                doc_ids.append(doc_id)
-                counts.append(len(ids) // 4)
-                pieces.append(ids)
-                n += counts[-1]
-                if n >= segment_ids:
-                    yield part, seq, first, n, encode_segment(doc_ids, counts, np.frombuffer(b"".join(pieces), "<u4"))
-                    seq, first = seq + 1, first + n
-                    doc_ids, counts, pieces, n = [], [], [], 0
+            for a, b in _stretches(batch.column(1), ENCODED_BYTES):
+                some = batch.slice(a, b - a)
+                numbers, own = some.column(0).to_pylist(), bpe.encode_all(some.column(1).to_pylist(), end)
+                at, ends = 0, np.cumsum(own[0])
+                while at < len(numbers):
+                    before = int(ends[at - 1]) if at else 0
+                    # Up to the document that closes the segment, or all of them.
+                    to = min(int(np.searchsorted(ends, before + segment_ids - n)) + 1, len(numbers))
+                    doc_ids += numbers[at:to]
+                    counts += own[0][at:to].tolist()
+                    pieces.append(own[1][before : int(ends[to - 1])])
+                    n += len(pieces[-1])
+                    at = to
+                    if n >= segment_ids:
+                        yield part, seq, first, n, encode_segment(doc_ids, counts, np.concatenate(pieces))
+                        seq, first = seq + 1, first + n
+                        doc_ids, counts, pieces, n = [], [], [], 0
         if doc_ids:
-            yield part, seq, first, n, encode_segment(doc_ids, counts, np.frombuffer(b"".join(pieces), "<u4"))
+            yield part, seq, first, n, encode_segment(doc_ids, counts, np.concatenate(pieces))
 
     order = ["doc_id", "__hash", "__row"]
     sorted_docs = (

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -72,6 +73,30 @@ def test_byte_ids_equal_the_library(text):
     assert np.frombuffer(tokenfile.byte_bpe().encode(text), "<u4").tolist() == BYTE_LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), TEXTS, st.lists(st.sampled_from(["a", "th", " ", "the", "'s", ", ", "1", "!", "é", "\n", " x"]), max_size=30).map("".join)), max_size=6))
+def test_texts_encoded_together_equal_the_library(texts):
+    counts, ids = tokenfile.byte_bpe().encode_all(texts, (2).to_bytes(4, "little"))
+    want = [BYTE_LIBRARY.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_stretches_of_texts():
+    texts = pa.array(["a" * n if n is not None else None for n in (3, 4, 20, None, 0, 9, 1, 1)])
+    assert tokenfile._stretches(texts, 10) == [(0, 2), (2, 3), (3, 7), (7, 8)]
+    assert tokenfile._stretches(texts[:0], 10) == []
+
+
+def test_forgetful_caches_change_no_byte_ids():
+    encoder = tokenfile.ByteBpe(tokenfile.vocabulary_path(tokenfile.VOCABULARY))
+    encoder.chunks, encoder.pieces = tokenfile.Recent(3), tokenfile.Recent(2)
+    text = "One, two; three! one Two? it's (three) one... ünd word, word word. don't\tthere x1 y-z one, two"
+    for _ in range(3):
+        for part in (text, text.swapcase(), text[::-1], text.replace(" ", "  ", 2)):
+            assert encoder.encode(part) == encoder.whole(part)
+    assert len(encoder.chunks.new) <= 3 and len(encoder.chunks.old) <= 3
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 1000])
 @pytest.mark.parametrize("high", [1, 2, 255, 1 << 17, 1 << 32])
 def test_blocks_round_trip(n, high):
