@@ -109,10 +109,15 @@ def _page(df: DataFrame, rows: list, count: int, page: int, page_size: int) -> P
     return Page(spark.createDataFrame(rows, df.schema), info)
 
 
+def top_rows(df: DataFrame, order: str, offset: int, n: int, seen: Observation) -> DataFrame:
+    """The n rows after `offset` in the order; `seen` observes how many rows there are, as `n`."""
+    return df.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(order).offset(offset).limit(n)
+
+
 def _top(df: DataFrame, order: str, offset: int, n: int) -> tuple[list, int]:
-    """The n rows after `offset` in the order, and how many rows there are, in one pass."""
+    """Those rows and their number, in one pass."""
     seen = Observation()
-    rows = df.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(order).offset(offset).limit(n).collect()
+    rows = top_rows(df, order, offset, n, seen).collect()
     return rows, seen.get.get("n", 0)
 
 

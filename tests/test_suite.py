@@ -9,13 +9,14 @@ import pytest
 import check
 from __spark_entry__ import entry
 from pantryline.functions.text import contains
+from pantryline.operators.paging import top_rows
 from pantryline.plans import taxonomy as tx
 from pantryline.plans.categories import map_categories
 from pantryline.plans.products import shape_off
 from pantryline.suite import standins as s
 from pantryline.suite.oracles import ORACLES
 from pantryline.suite.queries import QUERIES
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,8 +71,12 @@ def test_only_needed_columns_are_read(spark):
 
 
 def test_paging_keeps_only_the_page(spark):
-    text = plan(tx.list_level(s.taxonomy(spark, SF), "brick", page=2).rows)
-    assert "TakeOrderedAndProject" in text
+    bricks = tx.matching(s.taxonomy(spark, SF), "brick")
+    text = plan(top_rows(bricks, "brick_code", 20, 20, Observation()))
+    assert "TakeOrderedAndProject" in text and "CollectMetrics" in text
+    assert [r[0] for r in tx.list_level(s.taxonomy(spark, SF), "brick", page=2).rows.collect()] == [
+        r[0] for r in bricks.orderBy("brick_code").limit(40).tail(20)
+    ]
 
 
 def test_brick_path_shuffles_bricks_once_without_broadcast(spark):
