@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pantryline.llm.common import batches, texts_of
+from pantryline.llm.common import batches, relieve, small_batches, texts_of
 
 VOCABULARY = "word_bpe_49k.json"
 #: Entries held at most per worker: of the caches of words and of words with their punctuation, and
@@ -262,9 +262,10 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, with_ids: bo
                     hashlib.sha256(ids).hexdigest(),
                     hashlib.sha256(bpe.decode(ids)).hexdigest(),
                 )
-        bpe.forget()  # the worker goes on with other tasks
+        bpe.forget()
+        relieve()
 
-    out = docs.select("doc_id", "text").mapInArrow(
+    out = small_batches(docs).select("doc_id", "text").mapInArrow(
         lambda parts: batches(rows(parts), names, types, 256),
         "doc_id long, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string",
     )

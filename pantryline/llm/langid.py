@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pantryline.llm.common import LETTER, batches
+from pantryline.llm.common import LETTER, batches, relieve, small_batches
 
 ORDERS = 3
 BUCKETS = 1 << 15
@@ -187,5 +187,6 @@ def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
                 some = part.slice(at, BATCH)
                 found = identify(some.column(place).to_pylist(), shared.value)
                 yield some.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+        relieve()
 
-    return docs.mapInArrow(rows, docs.schema)
+    return small_batches(docs).mapInArrow(rows, docs.schema)

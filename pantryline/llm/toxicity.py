@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pantryline.llm.common import batches, bounded_sample, staged
+from pantryline.llm.common import batches, bounded_sample, filtered, relieve, small_batches, staged
 
 #: The sample: at most so many labelled rows of each class; and the most features chosen.
 TOXIC_ROWS, OTHER_ROWS, FEATURES = 2000, 5000, 2000
@@ -37,6 +37,8 @@ BEGINNINGS = range(3, 9)
 COUNTERFACTUAL, RIDGE, STEPS = 1.0, 1e-3, 400
 #: Entries held at most per worker of the word cache, which is that of one model; a full one is emptied.
 WORD_CACHE = 150_000
+#: Counted features that a task holds; sums are added up later, so a full table is sent and begun anew.
+COUNTED = 50_000
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Names of groups of people, kind by kind; each is swapped for the next of its kind.
@@ -162,7 +164,7 @@ def learn(
         "sample-ids",
     )
     # At most toxic_rows + other_rows rows.
-    sample = staged(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "sample")
+    sample = staged(small_batches(docs).select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "sample")
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         seen: dict[tuple[int, int], list[int]] = {}
@@ -170,8 +172,12 @@ def learn(
             for text, toxic in zip(part.column(0), part.column(1).to_pylist(), strict=True):
                 for feature in levels_of(words_of(text.as_py())):
                     seen.setdefault(feature, [0, 0])[toxic] += 1
-        for (key, level), (other, toxic) in seen.items():
-            yield key, level, other, toxic
+                if len(seen) >= COUNTED:
+                    yield from ((*feature, *n) for feature, n in seen.items())
+                    seen.clear()
+        yield from ((*feature, *n) for feature, n in seen.items())
+        seen.clear()
+        relieve()
 
     totals = sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()
     n = {r["toxic"]: r["n"] for r in totals}
@@ -237,10 +243,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 score = shared.value.score(text.as_py())
                 yield doc_id, score, int(score >= 0.5)
-        _CACHE.update(model=None, words={})  # the worker goes on with other tasks
+        _CACHE.update(model=None, words={})
+        relieve()
 
     names, types = ["doc_id", "score", "predicted"], [pa.int64(), pa.float64(), pa.int32()]
-    return docs.select("doc_id", "text").mapInArrow(
+    return small_batches(docs).select("doc_id", "text").mapInArrow(
         lambda parts: batches(rows(parts), names, types), "doc_id long, score double, predicted int"
     )
 
@@ -251,8 +258,8 @@ def accepted(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
     place = docs.columns.index("text")
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            yield part.filter(pa.array([shared.value.score(t.as_py()) < below for t in part.column(place)], pa.bool_()))
+        yield from filtered(parts, lambda some: [shared.value.score(t.as_py()) < below for t in some.column(place)])
         _CACHE.update(model=None, words={})
+        relieve()
 
-    return docs.mapInArrow(rows, docs.schema)
+    return small_batches(docs).mapInArrow(rows, docs.schema)
