@@ -157,7 +157,7 @@ def test_index_finds_every_code_within_the_radius():
         assert (index.within(codes[7], radius) == want).all()
 
 
-SCANNER = licenses.Scanner(licenses.TEMPLATES, 0.8)
+SCANNER = licenses.Scanner(licenses.TEMPLATES, 0.8, licenses.NAMES)
 
 
 def lcs(a, b):
@@ -224,12 +224,61 @@ def test_repeated_phrases_and_broken_runs_hide_no_license():
     assert found_in("Released under MIT License") == [("MIT-notice", 4)]
 
 
+NOTICES = {
+    "Released under the GPL License.": [],
+    "Released under the Apache License.": [],
+    "Released under the BSD License.": [],
+    "Released under the MIT-0 License.": [],
+    "Licensed under the Apache License, Version 1.1.": [],
+    "Licensed under CC BY 4.0.": ["CC-BY-4.0-notice"],
+    "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0-notice"],
+    "Licensed under CC BY-NC-ND 4.0.": ["CC-BY-NC-ND-4.0-notice"],
+    "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0-notice"],
+    "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0-notice"],
+    "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0-notice"],
+    "This is foreign licensed under the GNU Lesser foreign General Public License, version 3.": [],
+    "This work is licensed under the GNU General Public License, version 2 or version 3.": ["GPL-2.0-notice"],
+    "Released under the GPL License. Released under the MIT License. Released under the BSD License.": ["MIT-notice"],
+}
+
+
+@pytest.mark.parametrize("text", list(NOTICES))
+def test_notices_name_the_right_license_or_none(text):
+    assert [h["template"] for h in SCANNER.scan(f"some words before {text} and some after")] == NOTICES[text]
+
+
+@pytest.mark.parametrize("name", list(licenses.TEMPLATES))
+def test_every_template_is_told_from_all_others(name):
+    (hit,) = SCANNER.scan(f"before {licenses.TEMPLATES[name]} after")
+    assert (hit["template"], hit["coverage"]) == (name, 1.0)
+
+
+def test_a_license_may_be_spread_over_any_number_of_words():
+    words = licenses.TEMPLATES["MIT"].split()
+    text = " ".join(f"{w} {'foreign ' * 40}" for w in words)
+    assert [(h["template"], h["coverage"]) for h in SCANNER.scan(text)] == [("MIT", 1.0)]
+
+
+def test_names_and_phrases_must_be_words_of_their_template():
+    with pytest.raises(ValueError, match="has no"):
+        licenses.Scanner({"one": "some words of it"}, 0.8, {"one": ["other words"]})
+
+
+def stands_whole(words, phrase):
+    return any(words[p : p + len(phrase)] == phrase for p in range(len(words)))
+
+
 @pytest.mark.parametrize("name", list(licenses.TEMPLATES))
 def test_what_the_whole_text_aligns_with_is_found(name):
-    """One edited license within words of no license: phrases of it repeated, words lost, replaced and inserted."""
-    rng, own = np.random.default_rng(len(name)), SCANNER.texts[SCANNER.names.index(name)]
+    """One edited license within words of no license: phrases of it repeated, words lost, replaced and inserted.
+
+    Where the alignment of the whole text takes the names in, the license is found; where a word of a
+    name is nowhere, it isn't.
+    """
+    rng, t = np.random.default_rng(len(name)), SCANNER.names.index(name)
+    own, phrases = SCANNER.texts[t], [wanted for wanted, _ in SCANNER.phrases[t]]
     by_number = {n: w for w, n in SCANNER.numbers.items()}
-    accepted = 0
+    accepted = refused = 0
     for _ in range(60):
         words = [by_number[n] for n in own]
         for _ in range(rng.integers(0, 4)):
@@ -239,8 +288,26 @@ def test_what_the_whole_text_aligns_with_is_found(name):
         words = [w for w in words if rng.random() >= rate]
         words = [x for w in words for x in ([w, "foreign"] if rng.random() < rate else [w])]
         words = ["foreign"] * int(rng.integers(0, 200)) + words + ["foreign"] * int(rng.integers(0, 200))
-        most = len(licenses.align([SCANNER.numbers.get(w) for w in words], own))
-        if most >= 0.8 * len(own):
+        ids = [SCANNER.numbers.get(w) for w in words]
+        matched = licenses.align(ids, own)
+        at = dict((q, p) for p, q in matched)
+        dense = len(own) >= licenses.NOTICE or (matched and 2 * len(matched) > matched[-1][0] - matched[0][0])
+        named = all(
+            any(
+                own[q : q + len(w)] == w and all(at.get(q + i, -9) == at.get(q, -1) + i for i in range(len(w)))
+                for q in range(len(own))
+            )
+            for w in phrases
+        )
+        found = [h for h in SCANNER.scan(" ".join(words)) if h["template"] == name]
+        assert all(h["coverage"] >= 0.8 for h in found)
+        if len(matched) >= 0.8 * len(own) and named and dense:
             accepted += 1
-            assert any(h["template"] == name and h["coverage"] >= 0.8 for h in SCANNER.scan(" ".join(words))), words
+            assert found, words
+        if not all(set(w) <= set(ids) for w in phrases):
+            refused += 1
+            assert not found, words
+        if len(own) < licenses.NOTICE and not all(stands_whole(ids, w) for w in phrases):
+            assert not found, words
     assert accepted > 10
+    assert refused or len(own) >= licenses.NOTICE
