@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pantryline.functions.text import any_contains
 from pantryline.operators.paging import Page, capped_hits
+from pantryline.operators.trigrams import read_candidates, store_index
 from pantryline.plans.taxonomy import LEVELS, Taxonomy, matching
 
 CATEGORIES = {lv.table: name for name, lv in LEVELS.items()}
@@ -39,6 +41,32 @@ def search_taxonomy(t: Taxonomy, q: str, category: str = "all", ascii_only: bool
     return reduce(DataFrame.unionByName, hits).orderBy("rank", "code").drop("rank")
 
 
+def index_taxonomy(t: Taxonomy, path: str) -> None:
+    """Store the four levels with an index of the grams of codes and descriptions, for `narrowed_taxonomy`."""
+    for lv in LEVELS.values():
+        store_index(getattr(t, lv.table), lv.code, [lv.code, "description"], f"{path}/{lv.table}")
+
+
+def narrowed_taxonomy(t: Taxonomy, spark: SparkSession, path: str, q: str, category: str = "all") -> Taxonomy:
+    """`t` with the levels to search cut down to the stored rows that may contain `q`; search finds the same in it."""
+    levels = {
+        lv.table: read_candidates(spark, f"{path}/{lv.table}", lv.code, q)
+        for lv in LEVELS.values()
+        if category in ("all", lv.table)
+    }
+    return replace(t, **levels)
+
+
+def index_products(off: DataFrame, path: str) -> None:
+    """Store shaped products with an index of what `search_products` looks at."""
+    store_index(off, "barcode", ["product_name", "brands"], path)
+
+
+def index_foods(fdc: DataFrame, path: str) -> None:
+    """Store foods with an index of what `search_foods` looks at."""
+    store_index(fdc, "fdc_id", ["description", "brand_owner", "brand_name"], path)
+
+
 def search_products(off: DataFrame, q: str, n: int = DEFAULT_HITS) -> Page:
     """Shaped products whose name or brands contain `q`: the first `n` by barcode, and the total.
 

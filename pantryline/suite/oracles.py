@@ -496,3 +496,5 @@ WHERE gtin IN (SELECT cast(o_orderkey AS varchar) FROM orders)""",
     "stream_enrich": f"""WITH {CATALOGUE} SELECT event_id, gtin, {_PRODUCT}
 FROM events JOIN canonical ON gtin = cast(user_id AS varchar)""",
 }
+# The same results through stored indexes.
+ORACLES |= {f"{name}_indexed": ORACLES[name] for name in ("search_all", "off_search", "usda_search")}

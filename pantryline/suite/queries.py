@@ -13,6 +13,7 @@ from pantryline.functions.versions import file_stem, strip_v, version_from_path,
 from pantryline.operators.dedup import first_wins
 from pantryline.operators.integrity import null_keys, orphans
 from pantryline.operators.paging import next_page, number_rows, numbered_page, previous_page, read_page, store_pages
+from pantryline.operators.trigrams import read_candidates
 from pantryline.plans import ingest, products, refresh, search, taxonomy as tx
 from pantryline.plans.categories import map_categories
 from pantryline.plans.reconcile import reconcile, reconcile_stored, store_sources
@@ -255,6 +256,13 @@ def search_category(spark: SparkSession, sf: str) -> DataFrame:
     return search.search_taxonomy(s.taxonomy(spark, sf), "Low", "bricks")
 
 
+@query
+def search_all_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    t, path = s.taxonomy(spark, sf), work_dir(spark, "search")
+    search.index_taxonomy(t, path)
+    return search.search_taxonomy(search.narrowed_taxonomy(t, spark, path, "17"), "17")
+
+
 # ---- ingest ---------------------------------------------------------------------
 
 
@@ -546,6 +554,21 @@ def usda_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.search_foods(s.fdc_foods(spark, sf), "owner 1_3", 200).flat()
 
 
+@query
+def off_search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    path = work_dir(spark, "search")
+    search.index_products(products.with_nutrient_map(products.shape_off(s.off_raw(spark, sf))), path)
+    hits = search.search_products(read_candidates(spark, path, "barcode", "RING"), "RING").flat()
+    return hits.select("barcode", "product_name", "brands", "total", F.size("nutrients_per_100g").alias("n_nutrients"))
+
+
+@query
+def usda_search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    path = work_dir(spark, "search")
+    search.index_foods(s.fdc_foods(spark, sf), path)
+    return search.search_foods(read_candidates(spark, path, "fdc_id", "owner 1_3"), "owner 1_3", 200).flat()
+
+
 @query
 def usda_food(spark: SparkSession, sf: str) -> DataFrame:
     """Full records from a dump, with their nutrient map; of repeated names the last one stays."""
