@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pantryline.session import work_dir
 
@@ -22,6 +22,8 @@ MAX_PAGE_SIZE = 100
 TOP_ROWS = 1_000_000
 #: Rows of a stored range.
 RANGE_ROWS = 100_000
+#: Rows that a task sorts and writes, in as many ranges as they make.
+TASK_ROWS = 50_000
 # Rows of a partition are numbered in these bits of `monotonically_increasing_id`.
 _WITHIN = (1 << 33) - 1
 
@@ -137,17 +139,23 @@ def page_of(df: DataFrame, order: str, page: int = 1, page_size: int = DEFAULT_P
 def store_pages(df: DataFrame, order: str, path: str, range_rows: int = RANGE_ROWS) -> None:
     """Write a table below `path` for `read_page`: a folder a range of its order, and their directory.
 
-    Reads `df` twice, to count and to sort it. Rows equal in `order` keep the places they get here.
+    Reads `df` twice, to count and to sort it. Rows equal in `order` keep the places they get here. A task
+    writes many ranges when these are short, and a range's bloom filter has the size for
+    its rows; without their number it would be a megabyte.
     """
-    ranges = max(1, -(-df.count() // range_rows))
+    tasks = max(1, -(-df.count() // max(range_rows, TASK_ROWS)))
+    at = F.col("__at") % range_rows
     (
-        _ranged(df, [order], ranges)
+        _ranged(df, [order], tasks)
+        # A range is named by the id of its first row.
+        .withColumns({"__range": F.monotonically_increasing_id() - at, "__at": at})
         .write.partitionBy("__range")
         .option(f"parquet.bloom.filter.enabled#{order}", "true")
+        .option(f"parquet.bloom.filter.expected.ndv#{order}", str(range_rows))
         .parquet(f"{path}/rows")
     )
     spark = df.sparkSession
-    schema = StructType([*df.schema.fields, StructField("__at", LongType()), StructField("__range", IntegerType())])
+    schema = StructType([*df.schema.fields, StructField("__at", LongType()), StructField("__range", LongType())])
     _directory(spark.read.schema(schema).parquet(f"{path}/rows")).coalesce(1).write.parquet(f"{path}/directory")
     spark.createDataFrame([(schema.json(), order)], _STORED).coalesce(1).write.json(f"{path}/layout")
 
@@ -169,8 +177,10 @@ def read_page(spark: SparkSession, path: str, page: int = 1, page_size: int = DE
     found = directory.agg(
         F.sum("n").alias("count"), F.collect_list(F.when(overlap, F.struct("range", "start"))).alias("ranges")
     ).first()
-    stored = spark.read.schema(StructType.fromJson(json.loads(layout["schema"]))).parquet(f"{path}/rows")
-    named = stored.filter(F.col("__range").isin([r["range"] for r in found["ranges"]]))
+    # Only these folders are listed, of however many there are.
+    folders = [f"{path}/rows/__range={r['range']}" for r in found["ranges"]]
+    reader = spark.read.schema(StructType.fromJson(json.loads(layout["schema"]))).option("basePath", f"{path}/rows")
+    named = reader.parquet(*folders or [f"{path}/rows"])
     start = reduce(lambda c, r: c.when(F.col("__range") == r["range"], r["start"]), found["ranges"], F.when(F.lit(False), 0))
     rows = named.withColumn("__place", start + F.col("__at")).filter((F.col("__place") >= offset) & (F.col("__place") < offset + page_size))
     page_rows = rows.orderBy("__place").drop("__place", "__at", "__range")

@@ -311,6 +311,19 @@ def test_a_stored_page_opens_its_ranges_only(spark, tmp_path):
     assert [r["id"] for r in read_page(spark, path, 25, 100).rows.collect()] == list(range(2400, 2500))
 
 
+def test_short_ranges_are_small_files_of_few_tasks(spark, tmp_path, monkeypatch):
+    """Fifty ranges of 100 rows: a few kilobytes each, written by five tasks, and exactly 100 rows in most."""
+    monkeypatch.setattr(paging, "TASK_ROWS", 1000)
+    path = tmp_path / "pages"
+    store_pages(spark.range(5000).select(F.format_string("%05d", "id").alias("code")), "code", str(path), range_rows=100)
+    files = list((path / "rows").glob("*/*.parquet"))
+    assert len(files) >= 50 and max(f.stat().st_size for f in files) < 20_000
+    assert len({f.name.split("-")[1] for f in files}) <= 5
+    sizes = [r["n"] for r in spark.read.parquet(str(path / "directory")).collect()]
+    assert sum(sizes) == 5000 and max(sizes) == 100 and sizes.count(100) >= 45
+    assert [r[0] for r in read_page(spark, str(path), 9, 90).rows.collect()] == [f"{i:05}" for i in range(720, 810)]
+
+
 def test_a_page_is_one_pass(spark):
     """The rows and their number come from one scan, counted by the rows that it lets through."""
     passed = spark.sparkContext.accumulator(0)
