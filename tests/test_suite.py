@@ -64,6 +64,17 @@ def test_code_lookup_reaches_the_scan(spark):
     assert re.search(r"DataFilters: \[[^\]]*cast\(o_orderkey#\d+L as string\) = 7", plan(detail))
 
 
+def test_documents_take_bounded_tasks_and_carry_lines_as_numbers(spark, monkeypatch):
+    """Tasks follow the number of lines, and the texts made of a line are in no exchange before the documents."""
+    monkeypatch.setattr(s, "DOCUMENT_ROWS", 300)
+    lines = s.table(spark, SF, "lineitem").count()
+    text = s.documents(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    parts = -(-lines // 300)
+    assert parts > 8 and re.search(rf"Exchange hashpartitioning\(segment_code#\d+, chunk#\d+L, {parts}\), REPARTITION_BY_NUM", text)
+    made = [line for line in text.splitlines() if "Supplier " in line]
+    assert made and all("Project" in line for line in made)
+
+
 def test_only_needed_columns_are_read(spark):
     text = plan(tx.matching(s.taxonomy(spark, SF), "brick", "low"))
     schema = re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)
