@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 
 from pantryline.plans import search, taxonomy as tx
@@ -88,6 +90,27 @@ def test_brick_detail_lookup(spark, t):
         assert got["1111"]["class_code_details"]["segment_description"] == "Food"
 
 
+def test_brick_detail_in_ranges_sends_a_list_once_to_each(spark, t, monkeypatch):
+    """A type of 50 values under 400 bricks: few of its lists are moved, and the result is the same in any ranges."""
+    codes = [f"{i:04}" for i in range(400)]
+    wide = replace(
+        t,
+        bricks=spark.createDataFrame([(c, "x", "111") for c in codes], "brick_code string, description string, class_code string"),
+        attribute_values=spark.createDataFrame([(f"w{i:02}", "text") for i in range(50)], "att_value_code string, att_value_text string"),
+        brick_attribute_types=spark.createDataFrame([(c, "t1") for c in codes], "brick_code string, att_type_code string"),
+        attribute_type_values=spark.createDataFrame([("t1", f"w{i:02}") for i in range(50)], "att_type_code string, att_value_code string"),
+    )
+    for links in (150_000, 20):
+        monkeypatch.setattr(tx, "RANGE_LINKS", links)
+        df = tx.brick_detail(wide, codes)
+        got = {r["brick_code"]: r["attributes"] for r in df.collect()}
+        assert set(got) == set(codes)
+        assert all(len(a) == 1 and [v[0] for v in a[0]["values"]] == [f"w{i:02}" for i in range(50)] for a in got.values())
+    text = df._jdf.queryExecution().executedPlan().toString()
+    # After the ranges are dealt nothing is shuffled by brick.
+    assert "hashpartitioning(range" in text and "hashpartitioning(brick_code" not in text
+
+
 def test_whole_table_form_has_the_same_content(t):
     codes = [b[0] for b in T["bricks"]]
     detail = {
