@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 
 import pytest
@@ -111,6 +112,12 @@ def test_brick_detail_in_ranges_sends_a_list_once_to_each(spark, t, monkeypatch)
     assert "hashpartitioning(range" in text and "hashpartitioning(brick_code" not in text
 
 
+def test_children_are_joined_once(t):
+    """The links of all bricks meet the bricks a single time, numbers and sizes included."""
+    text = tx.brick_attributes(t)._jdf.queryExecution().executedPlan().toString()
+    assert text.split("Initial Plan")[0].count("__salt") and len(re.findall(r"FileScan parquet \[[^\]]*att_type_text", text)) == 1
+
+
 def test_whole_table_form_has_the_same_content(t):
     codes = [b[0] for b in T["bricks"]]
     detail = {
