@@ -16,7 +16,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 
     A malformed file is an error. A file is one task, and a segment one row of it, so large
     catalogues come as folders of many files. Within a file the running id follows document
-    order; files follow each other by name.
+    order; files follow each other by name, of which their number in `ord` is made.
     """
     rows = (
         spark.read.format("xml")
@@ -25,8 +25,14 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
         .schema(SEGMENT)
         .load(path)
     )
-    place = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    return rows.select(place.alias("ord"), F.lit(True).alias("lead"), "_code", "_text", "family")
+    # One row a file, from the listing that the reader has made; both name files in the same way.
+    files = spark.createDataFrame(list(enumerate(sorted(rows.inputFiles()))), "file int, name string")
+    named = rows.select("*", F.input_file_name().alias("name"), F.monotonically_increasing_id().alias("at"))
+    unknown = F.raise_error(F.concat(F.lit("not among the files listed: "), F.col("name"))).cast("int")
+    place = F.struct(F.coalesce("file", unknown).alias("file"), "at")
+    return named.join(F.broadcast(files), "name", "left").select(
+        place.alias("ord"), F.lit(True).alias("lead"), "_code", "_text", "family"
+    )
 
 
 def spread_families(docs: DataFrame) -> DataFrame:
@@ -94,7 +100,7 @@ def read_document_date(spark: SparkSession, path: str, at_once: int = 32) -> Dat
 
 
 def write_segments(docs: DataFrame, path: str, date: str | None = None) -> None:
-    """Write `segment` rows as XML files of the same shape."""
+    """Write `segment` rows as XML files of the same shape, without the blanks of an indent, which are read as events too."""
     root = f'schema dateUtc="{date}"' if date else "schema"
     (
         docs.select("_code", "_text", "family")
@@ -102,5 +108,6 @@ def write_segments(docs: DataFrame, path: str, date: str | None = None) -> None:
         .format("xml")
         .option("rootTag", root)
         .option("rowTag", "segment")
+        .option("indent", "")
         .save(path)
     )

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 import os
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -11,7 +12,7 @@ from pantryline.plans import ingest
 from pantryline.plans.taxonomy import PUSHED, Taxonomy, _only, brick_detail
 from pantryline.schemas import TAXONOMY_TABLES
 from pantryline.sources import metadata, tables
-from pantryline.sources.taxonomy_xml import read_document_date, read_segments, spread_families
+from pantryline.sources.taxonomy_xml import read_document_date, read_segments, spread_families, write_segments
 
 XML = os.path.join(os.path.dirname(__file__), "data", "en-v20251127.xml")
 
@@ -333,3 +334,60 @@ def test_detail_of_ingested_brick(spark, published):
         ("20000002", "If Organic", [("30000003", "Yes"), ("30000004", "No")]),
         ("20000003", "No values", []),
     ]
+
+
+def random_segments(rng, n):
+    """Segments whose codes repeat, with other texts and parents, or are missing."""
+    def node(tag, level, below):
+        code = None if rng.random() < 0.15 else rng.randrange(20 * 3**level)
+        attrs = "" if code is None else f' code="{level}{code}"'
+        text = rng.choice(["", f' text="t{rng.randrange(3)}"'])
+        inner = "".join(node(below[0], level + 1, below[1:]) for _ in range(rng.randrange(4))) if below else ""
+        return f"<{tag}{attrs}{text}>{inner}</{tag}>"
+
+    return "".join(node("segment", 0, ["family", "class", "brick", "attType", "attValue"]) for _ in range(n))
+
+
+def test_summed_visits_give_what_visits_one_by_one_do(spark, tmp_path):
+    """Files whose sizes rise and fall by name, in a folder whose name is encoded in paths."""
+    rng, folder, out = random.Random(3), tmp_path / "a b%20c", str(tmp_path / "out")
+    folder.mkdir()
+    for i, size in enumerate([1, 40, 3, 25, 2, 60]):
+        (folder / f"{i} %.xml").write_text(f"<schema>{random_segments(rng, size)}</schema>")
+    seen = ingest.visits(read_segments(spark, str(folder))).cache()
+    want = ingest.check_tables(ingest.tables_of(seen))
+    orphans = want.rejects.filter("reason like 'orphan%'").select("table_name").distinct()
+    assert {r[0] for r in orphans.collect()} == {"classes", "bricks", "brick_attribute_types"}
+    counts = ingest.ingest_taxonomy(spark, str(folder), out, "1", segments=None, on_violation="quarantine")
+    for name, got in Taxonomy.read(spark, out).tables().items():
+        assert sorted(rows(got), key=str) == sorted(rows(want.tables[name]), key=str)
+    assert sorted(rows(ingest.read_rejects(spark, out, "1"))) == sorted(rows(want.rejects))
+    assert sorted(rows(counts)) == sorted(rows(ingest.import_counts(seen)))
+    skipped = rows(tables.read_table(spark, out, "skipped_visits"))
+    assert skipped and sorted(skipped) == sorted(rows(ingest.skipped_visits(ingest.first_visits(seen))))
+    seen.unpersist()
+
+
+def test_visits_are_hashed_where_they_are_read(spark):
+    """One exchange, behind an aggregation; no visit is sorted or shuffled by itself."""
+    text = ingest.summed_visits(read_segments(spark, XML))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and text.count("HashAggregate") == 2
+    assert "Sort" not in text
+    assert "HashAggregate" in text[text.index("Exchange hashpartitioning"):]
+
+
+def test_sound_documents_meet_no_table(spark, tmp_path, monkeypatch):
+    """References are joined to what was rejected only; here that is nothing."""
+    monkeypatch.setattr(ingest, "join_parent", None)
+    ingest.ingest_taxonomy(spark, XML, str(tmp_path), "1")
+    assert set(rows(Taxonomy.read(spark, str(tmp_path)).brick_attribute_types)) == BRICK_TYPES
+
+
+def test_written_documents_have_no_indent(spark, tmp_path):
+    docs = read_segments(spark, XML)
+    write_segments(docs, str(tmp_path / "x"), "1/1/2025")
+    text = "".join(p.read_text() for p in (tmp_path / "x").glob("part*"))
+    assert "<family" in text and not any(line.startswith(" ") for line in text.splitlines())
+    assert sorted(map(str, rows(read_segments(spark, str(tmp_path / "x")).select("_code", "_text", "family")))) == sorted(
+        map(str, rows(docs.select("_code", "_text", "family")))
+    )
