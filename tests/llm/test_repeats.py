@@ -85,6 +85,55 @@ def test_slices_do_not_change_fingerprints(monkeypatch):
     assert len({*zip(*(x.tolist() for x in whole), strict=True)}) == len({data[s : s + 400].tobytes() for s in starts.tolist()})
 
 
+def some_chunk(seed: int) -> repeats.Chunk:
+    rng = np.random.default_rng(seed)
+    sizes = np.array([0, 399, 400, 0, 5000, 90_000, 700, 0])
+    data = rng.integers(0, 3, sizes.sum()).astype(np.uint8)
+    data[2000:3500] = data[40_000:41_500]
+    return repeats.Chunk(data, sizes, 400)
+
+
+def test_cores_and_hulls_share_their_sums(monkeypatch):
+    chunk, summed, plain = some_chunk(6), [], np.cumsum
+    monkeypatch.setattr(np, "cumsum", lambda x, **kw: (summed.append(len(x)), plain(x, **kw))[1])
+    core, hull = chunk.samples()
+    # One pass for each of two primes, and where slices overlap; six passes for cores and hulls by themselves.
+    assert sum(summed) < 2.2 * len(chunk.data)
+    assert (core == repeats.fingerprints(chunk.data, chunk.at, chunk.at + chunk.core)[0]).all()
+    assert len(np.unique(hull)) < len(hull)
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 200, 70_000])
+def test_entries_are_in_order(buckets):
+    rng = np.random.default_rng(7)
+    key, more = (rng.choice(rng.integers(0, 2**64, n, np.uint64), 4000) for n in (300, 20))
+    for key_bytes in (6, 8):
+        got = repeats.Entries(key, more, buckets, key_bytes, 8)
+        rest = (key // np.uint64(buckets) & np.uint64(2**48 - 1) if key_bytes < 8 else key).tolist()
+        pairs = list(zip((key % np.uint64(buckets)).tolist(), rest, (more >> np.uint64(1)).tolist(), strict=True))
+        want = sorted(set(pairs))
+        assert list(zip(got.bucket.tolist(), got.key.tolist(), (got.more >> np.uint64(1)).tolist(), strict=True)) == want
+        assert got.entry_of.tolist() == [want.index(x) for x in pairs]
+        assert got.first_of.tolist() == [pairs.index(x) for x in want]
+
+
+def test_stretches_stay_within_their_texts():
+    chunk = some_chunk(8)
+    a, b = chunk.offsets[2], chunk.offsets[5]
+    # Two whole texts side by side, two stretches that touch, one that is empty.
+    spans, kept = chunk.without(np.array([b + 50, a, a + 400, b, 9]), np.array([b + 60, a + 400, b, b + 50, 0]))
+    sizes = [0, 399, 0, 0, 0, 90_000 - 60, 700, 0]
+    assert [[(s["start"], s["stop"]) for s in x] for x in spans.to_pylist()] == [
+        [], [], [(0, 400)], [], [(0, 5000)], [(0, 60)], [], []
+    ]
+    assert [len(x) for x in kept.to_pylist()] == sizes
+    assert kept[5].as_py() == chunk.data[b + 60 : b + 90_000].tobytes()
+
+
+def test_texts_without_bytes(spark):
+    assert cut(spark, [None, "", None], 400) == [(0, [], b"")] * 3
+
+
 def test_awkward_rows(spark, edge_docs, no_docs):
     rows = repeats.without_repeats(edge_docs, 20).collect()
     assert len(rows) == edge_docs.count()
