@@ -112,6 +112,41 @@ def test_brick_detail_in_ranges_sends_a_list_once_to_each(spark, t, monkeypatch)
     assert "hashpartitioning(range" in text and "hashpartitioning(brick_code" not in text
 
 
+def test_brick_detail_moves_numbers_of_values(spark, t, monkeypatch):
+    """What goes to the ranges has no value's text while the values are few; beyond that it has, with the same result."""
+    twice = replace(
+        t,
+        attribute_values=spark.createDataFrame([("v2", None), ("v1", "b"), ("v1", "a"), ("v1", "a"), (None, "x")], "att_value_code string, att_value_text string"),
+        attribute_type_values=spark.createDataFrame(
+            [("t1", "v1"), ("t1", "v2"), ("t1", "gone"), ("t1", None), (None, "v1")], "att_type_code string, att_value_code string"
+        ),
+    )
+
+    def dealt(node):
+        found = [node.schema().catalogString()] if "RepartitionByExpression [range" in node.nodeName() + " " + node.simpleString(9) else []
+        below = node.children()
+        return found + [x for i in range(below.size()) for x in dealt(below.apply(i))]
+
+    got = []
+    for most, text in ((1 << 20, False), (1, True)):
+        monkeypatch.setattr(tx, "DICTIONARY_BYTES", most)
+        df = tx.brick_detail(twice, ["1111", "8881", "1121", "zzz"])
+        schemas = dealt(df._jdf.queryExecution().optimizedPlan())
+        assert schemas and all(("att_value_text" in x) == text for x in schemas)
+        got.append({r["brick_code"]: r.asDict(True) for r in df.collect()})
+    assert got[0] == got[1] and set(got[0]) == {"1111", "8881", "1121"}
+    lists = {a["att_type_code"]: [tuple(v.values()) for v in a["values"]] for a in got[0]["1111"]["attributes"]}
+    assert lists == {"t1": [("v1", "a"), ("v1", "a"), ("v1", "b"), ("v2", None)], "t2": []}
+
+
+def test_brick_detail_bundles_hold_every_brick(spark, t, monkeypatch):
+    """Many bundles to a range, or one: the result is the same."""
+    codes = [b[0] for b in T["bricks"]]
+    want = sorted(map(str, tx.brick_detail(t, codes).collect()))
+    monkeypatch.setattr(tx, "BUNDLE", 1)
+    assert len(want) == len(codes) and sorted(map(str, tx.brick_detail(t, codes).collect())) == want
+
+
 def test_children_are_joined_once(t):
     """The links of all bricks meet the bricks a single time, numbers and sizes included."""
     text = tx.brick_attributes(t)._jdf.queryExecution().executedPlan().toString()
