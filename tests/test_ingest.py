@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pantryline.plans import ingest
 from pantryline.plans.taxonomy import PUSHED, Taxonomy, _only, brick_detail
 from pantryline.schemas import TAXONOMY_TABLES
-from pantryline.sources import metadata, tables
+from pantryline.sources import metadata, tables, taxonomy_xml
 from pantryline.sources.taxonomy_xml import read_document_date, read_segments, spread_families, write_segments
 
 XML = os.path.join(os.path.dirname(__file__), "data", "en-v20251127.xml")
@@ -391,3 +391,40 @@ def test_written_documents_have_no_indent(spark, tmp_path):
     assert sorted(map(str, rows(read_segments(spark, str(tmp_path / "x")).select("_code", "_text", "family")))) == sorted(
         map(str, rows(docs.select("_code", "_text", "family")))
     )
+
+
+def test_packed_documents_are_read_in_small_batches(spark, tmp_path, monkeypatch):
+    """What is packed gives the same rows, file for file in one order, and is dealt out by its packed size."""
+    rng, plain, packed = random.Random(5), tmp_path / "plain", tmp_path / "a b%20[c]"
+    for folder in (plain, packed):
+        folder.mkdir()
+    for i, size in enumerate([1, 40, 3, 25, 2, 60]):
+        text = f"<schema>{random_segments(rng, size)}</schema>".encode()
+        (plain / f"{i}.xml").write_bytes(text)
+        (packed / f"{i}.xml.gz").write_bytes(gzip.compress(text))
+    columns = ["_code", "_text", "family"]
+    in_order = lambda path: [tuple(r) for r in read_segments(spark, path).orderBy("ord").select(*columns).collect()]
+    folder = str(packed).replace("[", "\\[").replace("]", "\\]")
+    want = in_order(str(plain))
+    assert len(want) == 131 and in_order(folder) == want
+    monkeypatch.setattr(taxonomy_xml, "PACKED_BYTES", 1)
+    assert in_order(folder) == want
+    one_each = read_segments(spark, folder).select(F.spark_partition_id(), "ord.file").distinct().collect()
+    assert len(one_each) == len({r[0] for r in one_each}) == 6
+
+
+def test_documents_are_written_packed(spark, tmp_path):
+    docs = read_segments(spark, XML)
+    write_segments(docs, str(tmp_path / "x"), "1/1/2025", compression="gzip")
+    assert {p.name.split(".", 1)[1] for p in (tmp_path / "x").glob("part*")} == {"xml.gz"}
+    assert sorted(map(str, rows(read_segments(spark, str(tmp_path / "x")).select("_code", "_text", "family")))) == sorted(
+        map(str, rows(docs.select("_code", "_text", "family")))
+    )
+    assert {r["xml_date"] for r in read_document_date(spark, str(tmp_path / "x")).collect()} == {"1/1/2025"}
+
+
+def test_junctions_have_no_order(spark):
+    """Only a level's visits need the place of the first; pairs of parent and child go without."""
+    summed = ingest.summed_visits(read_segments(spark, XML))
+    got = summed.groupBy((F.col("kind") < ingest.JUNCTIONS).alias("level")).agg(F.count("ord"), F.count(F.lit(1))).collect()
+    assert {r[0]: r[1] == r[2] if r[0] else r[1] for r in got} == {True: True, False: 0}
