@@ -105,8 +105,8 @@ def summed_visits(docs: DataFrame) -> DataFrame:
 
     A kind below JUNCTIONS is the place of a level in LEVEL_TABLES, with a row for each text and, where the table
     has a parent, each parent of a code; JUNCTIONS and beyond are the JUNCTION_TABLES, with a row for each parent
-    and child. `ord` is that of the first visit of a level, null for a junction, whose rows have no order. All that is aggregated has a fixed width, so visits are hashed, not
-    sorted, and a task sends on what differs. `docs` come straight from `read_segments`: a file is read in one
+    and child. `ord` is that of the first visit of a level, null for a junction, whose rows have no order. All that is
+    aggregated has a fixed width, so visits are hashed, not sorted, and a task sends on what differs. `docs` come straight from `read_segments`: a file is read in one
     task from its start to its end, so the file's number and the row's place in the task are document order.
     """
     seen = _visits_by_depth(docs)
